@@ -38,7 +38,10 @@ def _zip(a: Column, b: Column, f) -> Column:
 def gram_columns(df: DataFrame, words: str, n: int, out: str) -> DataFrame:
     """Add ``out``: the hash of the ``n`` words from each place, by doubling.
 
-    Intermediate arrays are columns of their own, so that each is computed once.
+    Intermediate arrays are columns of their own, so that each is computed once. Explode
+    the result with the outer form only: for the inner one the planner infers a filter on
+    the array's size and pushes it through all of these columns, copying each of them
+    several times at every level.
     """
     df = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w)))
     have, step = {1: "_h1"}, 1
@@ -107,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     passes = []
     for length in lengths or [window]:
         prints = windows.filter(F.col("len") == length).select(F.split("text", " ").alias("_words"))
-        prints = _fingerprints(prints, length, window, gram).select(F.explode("_fp").alias("_print")).distinct()
+        prints = _fingerprints(prints, length, window, gram).select(F.explode_outer("_fp").alias("_print")).filter("_print is not null").distinct()
         marked = _fingerprints(counted, length, window, gram).select("doc_id", "n_words", F.explode_outer("_fp").alias("_fp"))
         joined = bounded_join(marked, prints, F.col("_fp") == F.col("_print"), "left", n_windows)
         passes.append(joined.select("doc_id", "n_words", F.col("_print").isNotNull().alias("suspect")))
@@ -123,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     for length in lengths:
         w = gram_columns(windows.filter(F.col("len") == length).select("text", F.split("text", " ").alias("_words")), "_words", length, "_key")
         w = w.select(F.element_at("_key", 1).alias("_print"), F.col("text").alias("_window"))
-        placed = gram_columns(own, "_words", length, "_key").select("doc_id", "_words", F.posexplode("_key").alias("_at", "_fp"))
+        placed = gram_columns(own, "_words", length, "_key").select("doc_id", "_words", F.posexplode_outer("_key").alias("_at", "_fp"))
         here = F.array_join(F.slice("_words", F.col("_at") + 1, length), " ")
         if n_windows <= BROADCAST_ROWS:
             found = placed.join(F.broadcast(w), F.col("_fp") == F.col("_print")).filter(here == F.col("_window"))
