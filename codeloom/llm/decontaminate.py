@@ -25,19 +25,16 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _from(a: Column, start: int) -> Column:
-    return F.slice(a, start + 1, F.greatest(F.size(a), F.lit(1)))
-
-
-def _zip(a: Column, b: Column, f) -> Column:
-    """f of equal places of two arrays; the longer one's tail is left out."""
-    n = F.least(F.size(a), F.size(b))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), f)
+def _shift(a: Column, places: int) -> Column:
+    return F.slice(a, places + 1, F.greatest(F.size(a), F.lit(1)))
 
 
 def gram_columns(df: DataFrame, words: str, n: int, out: str) -> DataFrame:
     """Add ``out``: the hash of the ``n`` words from each place, by doubling.
 
+    The last ``n - 1`` places hash the fewer words that are left; such values only widen
+    a candidate search, and saving them spares three array copies a level.
+
     Intermediate arrays are columns of their own, so that each is computed once. Explode
     the result with the outer form only: for the inner one the planner infers a filter on
     the array's size and pushes it through all of these columns, copying each of them
@@ -47,28 +44,28 @@ def gram_columns(df: DataFrame, words: str, n: int, out: str) -> DataFrame:
     have, step = {1: "_h1"}, 1
     while step * 2 <= n:
         name = f"_h{step * 2}"
-        df = df.withColumn(name, _zip(F.col(have[step]), _from(F.col(have[step]), step), lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn(name, F.zip_with(have[step], _shift(F.col(have[step]), step), lambda a, b: F.xxhash64(a, b)))
         step *= 2
         have[step] = name
     done, at = have[step], step
     while at < n:
         part = max(s for s in have if s <= n - at)
         name = f"_g{at + part}"
-        df = df.withColumn(name, _zip(F.col(done), _from(F.col(have[part]), at), lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn(name, F.zip_with(done, _shift(F.col(have[part]), at), lambda a, b: F.xxhash64(a, b)))
         done, at = name, at + part
     return df.withColumn(out, F.col(done)).drop(*[c for c in df.columns if c.startswith(("_h", "_g"))])
 
 
 def winnow_columns(df: DataFrame, grams: str, width: int, out: str) -> DataFrame:
-    """Add ``out``: the smallest of each ``width`` consecutive hashes, repeats left out."""
+    """Add ``out``: the smallest of the ``width`` hashes from each place, fewer at the end."""
     at, done, made = 1, grams, []
     while at < width:
         step = min(at, width - at)
         name = f"_m{at + step}"
-        df = df.withColumn(name, _zip(F.col(done), _from(F.col(done), step), lambda a, b: F.least(a, b)))
+        df = df.withColumn(name, F.zip_with(done, _shift(F.col(done), step), lambda a, b: F.least(a, b)))
         done, at = name, at + step
         made.append(name)
-    return df.withColumn(out, F.array_distinct(done)).drop(*made)
+    return df.withColumn(out, F.col(done)).drop(*made)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -80,11 +77,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return starts.select("len", text.alias("text"), "item_id").groupBy("len", "text").agg(F.collect_set("item_id").alias("items"))
 
 
-def _fingerprints(df: DataFrame, length: int, window: int, gram: int) -> DataFrame:
-    """Add _fp, the fingerprints of ``_words`` for windows of ``length`` words."""
+def _fingerprints(df: DataFrame, length: int, window: int, gram: int, distinct: bool = True) -> DataFrame:
+    """Add _fp, the fingerprints of ``_words`` for windows of ``length`` words.
+
+    The first one of a window of exactly ``length`` words stands for the window.
+    """
     if length < window:
-        return gram_columns(df, "_words", length, "_fp")
-    return winnow_columns(gram_columns(df, "_words", gram, "_grams"), "_grams", window - gram + 1, "_fp").drop("_grams")
+        marked = gram_columns(df, "_words", length, "_prints")
+    else:
+        marked = winnow_columns(gram_columns(df, "_words", gram, "_grams"), "_grams", window - gram + 1, "_prints").drop("_grams")
+    return marked.withColumn("_fp", F.array_distinct("_prints") if distinct else F.col("_prints")).drop("_prints")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -110,7 +112,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     passes = []
     for length in lengths or [window]:
         prints = windows.filter(F.col("len") == length).select(F.split("text", " ").alias("_words"))
-        prints = _fingerprints(prints, length, window, gram).select(F.explode_outer("_fp").alias("_print")).filter("_print is not null").distinct()
+        prints = _fingerprints(prints, length, window, gram, distinct=False).select(F.posexplode_outer("_fp").alias("_at", "_print"))
+        prints = prints.filter("_at = 0").select("_print").distinct()
         marked = _fingerprints(counted, length, window, gram).select("doc_id", "n_words", F.explode_outer("_fp").alias("_fp"))
         joined = bounded_join(marked, prints, F.col("_fp") == F.col("_print"), "left", n_windows)
         passes.append(joined.select("doc_id", "n_words", F.col("_print").isNotNull().alias("suspect")))
@@ -125,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     hits = None
     for length in lengths:
         w = gram_columns(windows.filter(F.col("len") == length).select("text", F.split("text", " ").alias("_words")), "_words", length, "_key")
-        w = w.select(F.element_at("_key", 1).alias("_print"), F.col("text").alias("_window"))
+        w = w.select(F.col("text").alias("_window"), F.posexplode_outer("_key").alias("_place", "_print")).filter("_place = 0").drop("_place")
         placed = gram_columns(own, "_words", length, "_key").select("doc_id", "_words", F.posexplode_outer("_key").alias("_at", "_fp"))
         here = F.array_join(F.slice("_words", F.col("_at") + 1, length), " ")
         if n_windows <= BROADCAST_ROWS:
