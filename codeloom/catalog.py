@@ -1,10 +1,8 @@
-"""Registry of the library's own queries and of their DuckDB counterparts."""
+"""All registered queries of the library and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from codeloom.plans import addition_queries, graph_queries, planning_queries  # noqa: F401  they register
+from codeloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
