@@ -6,6 +6,7 @@ Edges have source_file, target, resolved_file, kind, language and line.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import is_local
@@ -43,9 +44,10 @@ def page(df: DataFrame, order: list[str | Column], limit: int, offset: int = 0)
     """Rows offset .. offset + limit of a total order, with has_more from one row of look-ahead."""
     if limit < 1 or offset < 0:
         raise ValueError("limit must be at least 1 and offset at least 0")
+    # The look-ahead row is counted on the page itself, so the edges are scanned once.
     ahead = df.orderBy(*order).offset(offset).limit(limit + 1)
-    size = ahead.groupBy().agg((F.count("*") > limit).alias("has_more"))
-    return ahead.limit(limit).join(F.broadcast(size))
+    numbered = ahead.withColumn("_nth", F.row_number().over(W.orderBy(*order))).withColumn("has_more", F.count("*").over(W.partitionBy()) > limit)
+    return numbered.filter(F.col("_nth") <= limit).drop("_nth")
 
 
 def summary(edges: DataFrame, relation_kind: str = "base_type") -> DataFrame:

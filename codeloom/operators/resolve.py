@@ -226,16 +226,3 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         level = frontier.withColumn("depth", F.lit(d))
         found = level if found is None else found.unionByName(level)
     return found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
-
-
-def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All calls with callee_file and confidence after the direct and re-export arms.
-
-    C and C++ calls with candidates in several headers stay open.
-    """
-    calls = reset_calls(calls, files)
-    direct = direct_import_arm(imported_targets(calls, deps, files, symbols))
-    arms = [direct, reexport_arm(calls, deps, files, symbols, 1, -1), reexport_arm(calls, deps, files, symbols, 2, -2)]
-    winners = best_candidates(arms)
-    c_like = calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
-    return apply_winners(calls, drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi")))
