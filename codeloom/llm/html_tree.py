@@ -245,8 +245,11 @@ def choose_text(blocks: list[Block], importance: dict[str, float], least: float)
         kept = [b for b in kept if b.links * 2 <= len(b.text) or len(b.text) > 200]
         kept = [b for b in kept if importance.get(b.path, 1.0) >= least]
         return "\n\n".join(b.text for b in kept)
-    # Inside an article only nodes that say the same on all pages are the site's own.
-    kept = [b for b in kept if importance.get(b.path, 1.0) > 0.0]
+    # Inside an article only nodes that say the same on all pages are the site's own, unless
+    # that would be most of it: then the site repeats the article, not its furniture.
+    own = [b for b in kept if importance.get(b.path, 1.0) > 0.0]
+    if 2 * sum(len(b.text) for b in own) >= sum(len(b.text) for b in kept):
+        kept = own
     return "\n\n".join(b.text for b in kept)
 
 

@@ -88,7 +88,8 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeloom.llm.url_reputation import filter_urls
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")))
+    found = filter_urls(pages, page_outcomes(pages, _table(spark, sf_dir, "labels")))
+    return found.withColumn("bad_rate", F.round("bad_rate", 6)).withColumn("bad_bound", F.round("bad_bound", 6))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ from codeloom.llm.common import materialize, partitions
 SPAN = 100
 K = 40
 LEFT = SPAN - K
+#: Texts of a batch that are held as bytes at a time.
+ROWS = 2000
 #: Bytes hashed at a time; longer texts are hashed in pieces that overlap by SPAN - 1.
 PIECE = 1 << 20
 #: Suffixes are quicksorted to this depth.
@@ -47,6 +49,7 @@ SHALLOW = 16
 SMALL = 4096
 #: Groups of suffixes up to this size are compared pair by pair, inside the sorted order.
 FEW = 6
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 NULL_ID = -(1 << 63)
 #: Positions of the n-th row of a doc_id are offset by n times this.
 REPEAT = 1 << 40
@@ -141,9 +144,9 @@ def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, packed entries); an entry is a hash and a document group, twice if it occurs again there."""
-    for batch in batches:
-        group = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-        doc, _, h = anchors([t or b"" for t in batch.column(1).to_pylist()])
+    for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        group = part.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        doc, _, h = anchors([t or b"" for t in part.column(1).to_pylist()])
         code = _codes(h, buckets)
         order = np.lexsort((group[doc], code))
         code, g = code[order], group[doc][order]
@@ -501,7 +504,7 @@ def _cut(docs: pa.Table, cuts: pa.Table, names: list[str], texts: bool) -> pa.Ta
     if texts:
         # Characters that a cut went through are dropped; a null text stays null.
         null = docs["_bytes"].is_null().to_pylist()
-        out["text"] = pa.array([None if no else "".join(p.decode("utf-8", "ignore") for p in parts) for no, parts in zip(null, kept)], pa.string())
+        out["_text"] = pa.array([None if no else "".join(p.decode("utf-8", "ignore") for p in parts) for no, parts in zip(null, kept)], pa.string())
     return pa.table(
         out
         | {
@@ -524,7 +527,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left) and
     spans (start, end; bytes of the UTF-8 text); with ``texts`` also every column of
-    ``docs``, text being what is left with characters that were cut through dropped.
+    ``docs``, text being what is left with characters that were cut through dropped, and
+    a result whose name is taken ends in ``_cut``.
     Strings are judged on the input, not on what is left of it.
 
     Defined results: null and empty texts have no bytes; texts shorter than SPAN lose
@@ -536,19 +540,26 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     buckets = groups = min(1 << 16, 4 * partitions(spark))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("_group")
     raw = F.col("text").cast("binary").alias("_bytes")
+    number = F.col("doc_id").cast("long").alias("_id")
     thin = docs.select(group, raw)
 
     dealt = thin.mapInArrow(lambda it: _deal_anchors(it, buckets), "route int, blob binary")
     repeats = materialize(dealt.repartition("route").mapInArrow(_find_repeats, "route int, blob binary"), "repeats")
     _release(spark)
 
-    own = docs.select(group, F.col("doc_id").cast("long").alias("_id"), raw)
+    own = docs.select(group, number, raw)
     around = own.groupBy("_group").cogroup(repeats.groupBy("route")).applyInArrow(lambda d, r: _surroundings(d, r, buckets), "route int, blob binary")
     cuts = materialize(around.repartition("route").mapInArrow(lambda it: _sort_buckets(it, buckets), "route int, blob binary"), "cuts")
     _release(spark)
 
-    names = [c for c in docs.columns if c != "text"] if texts else ["doc_id"]
-    full = docs.select(*[F.col(f"`{c}`") for c in names], group, F.col("doc_id").cast("long").alias("_id"), raw)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["text string"] * texts
+    # Columns of the input go through under numbers, so that no name clashes.
+    carried = [c for c in docs.columns if c != "text"] if texts else ["doc_id"]
+    numbered = {f"_c{i}": c for i, c in enumerate(carried)}
+    full = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in numbered.items()], group, number, raw)
+    fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in numbered.items()] + ["_text string"] * texts
     schema = ", ".join(fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return full.groupBy("_group").cogroup(cuts.groupBy("route")).applyInArrow(lambda d, c: _cut(d, c, names, texts), schema)
+    cut = full.groupBy("_group").cogroup(cuts.groupBy("route")).applyInArrow(lambda d, c: _cut(d, c, list(numbered), texts), schema)
+    back = {c: n for n, c in numbered.items()} | ({"text": "_text"} if texts else {})
+    kept = [F.col(back[c]).alias(c) for c in docs.columns if c in back]
+    results = [F.col(c).alias(c if c not in carried else c + "_cut") for c in RESULTS]
+    return cut.select(*kept, *results)

@@ -247,6 +247,9 @@ def test_cut_edge_cases(spark):
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["n_removed"], r["text"]) for r in got.collect()), key=str)
     assert rows == sorted([(-1, 0, text + "é"), (1, 0, text[:99]), (2, 150, ""), (2, 150, ""), (3, 0, ""), (4, 0, None)], key=str)
     assert remove_repeats(frame(spark, [])).count() == 0
+    taken = frame(spark, [(1, text), (2, text)]).selectExpr("text", "doc_id", "n AS n_removed", "fp AS spans", "fp AS _c0", "fp AS _group", "fp AS _id", "fp AS _text")
+    rows = {r["doc_id"]: (r["n_removed"], r["n_removed_cut"], r["text"], r["_c0"], r["_text"]) for r in remove_repeats(taken, texts=True).collect()}
+    assert rows == {1: ("y", 0, text, 1, 1), 2: ("y", 150, "", 1, 1)}
 
 
 def test_pieces_of_long_texts(monkeypatch):

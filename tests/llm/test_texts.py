@@ -128,6 +128,15 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_site_that_repeats_one_article_keeps_it(spark):
+    page = "<body><article><h1>Title</h1><p>The same article on every page of the host.</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page) for i in range(9)]
+    rows += [(10 + i, f"http://g.example/{i}", f"<body><article><p>Article {i} of a host with furniture</p><p class=s>Share</p></article></body>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"Title\n\nThe same article on every page of the host."}
+    assert got[13] == "Article 3 of a host with furniture"
+
+
 def test_pages_give_their_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     squeeze = lambda s: re.sub(r"\s+", " ", s).strip()
