@@ -7,9 +7,13 @@ executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,12 +39,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows that go to a Python worker at once. Texts are long: the default of 10,000 rows
+#: takes tens of megabytes on either side of the pipe, in several copies.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside send at most BATCH_ROWS rows to Python at once."""
+    before = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def trim() -> None:
+    """Give freed memory of this Python worker back: workers live on and serve the next operator."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

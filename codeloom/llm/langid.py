@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import small_batches, trim
+
 #: Trigrams are hashed into this many counters for each language.
 BUCKETS = 1 << 16
 #: Log-likelihood that a change of language between two words costs.
@@ -24,7 +26,7 @@ SWITCH = 12.0
 #: A language is a candidate for a script that makes up this share of its letters.
 SCRIPT_SHARE = 0.001
 #: Code points that are scored together; bounds the memory of a worker, not the text.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 UNDETERMINED = "und"
 
 # First and last code point of scripts, from the Unicode block charts.
@@ -184,6 +186,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 words = split_words([texts[i] for i in part])
                 own[:BUCKETS] += np.bincount(words.buckets, minlength=BUCKETS)
                 own[BUCKETS:] += np.bincount(words.scripts, minlength=len(SCRIPT_NAMES))
+    trim()
     for lang, own in counts.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], names=["lang", "slot", "n"])
@@ -191,14 +194,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train_languages(labelled: DataFrame) -> LanguageModel:
     """Count all of ``labelled`` (lang, text). The driver gets at most BUCKETS sums a language."""
-    counts = (
-        labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("lang", "text")
-        .mapInArrow(_count_batches, "lang string, slot long, n long")
-        .groupBy("lang", "slot")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
+    spark = labelled.sparkSession
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sums = known.mapInArrow(_count_batches, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    with small_batches(spark):
+        counts = sums.toArrow()
     lang = np.array(counts["lang"].to_pylist(), dtype=object)
     languages = tuple(sorted(set(lang)))
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
@@ -228,6 +228,7 @@ def detect_languages(docs: DataFrame, model: LanguageModel, penalty: float = SWI
             if spans:
                 cols.append(pa.array([r[2] for r in rows], span))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
+        trim()
 
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     return docs.select("doc_id", "text").mapInArrow(label, schema)

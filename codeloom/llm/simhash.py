@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import bounded_join, materialize
+from codeloom.llm.common import bounded_join, materialize, trim
 from codeloom.llm.components import connected_components
 
 BITS = 3
@@ -54,6 +54,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int) -> Itera
     for batch in batches:
         fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+    trim()
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

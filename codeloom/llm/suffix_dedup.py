@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions
+from codeloom.llm.common import materialize, partitions, trim
 
 SPAN = 100
 K = 40
@@ -160,6 +160,7 @@ def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             c, gg = code[edges[k] : edges[k + 1]], g[edges[k] : edges[k + 1]]
             blobs.append((c & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (c >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes() + gg.astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["route", "blob"])
+    trim()
 
 
 def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,10 @@ def _surroundings(docs: pa.Table, repeats: pa.Table, buckets: int) -> pa.Table:
         if cuts[0]:
             routes.append(buckets + group)
             blobs.append(_pack_cuts(*cuts))
-    return pa.table({"route": pa.array(routes, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    out = pa.table({"route": pa.array(routes, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    del routes, blobs, found
+    trim()
+    return out
 
 
 # --- step 4: deep-shallow sorting ----------------------------------------------------
@@ -463,6 +467,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             c[1].append(start)
             c[2].append(end)
         yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([_pack_cuts(*c) for c in cuts.values()], pa.binary())], names=["route", "blob"])
+        trim()
 
 
 # --- step 5: cutting -----------------------------------------------------------------
