@@ -88,7 +88,8 @@ def resolve_paths(deps: DataFrame, known: DataFrame, ctx: paths.Context) -> Data
     some = rows.filter(F.col("candidate").endswith("/")).join(folders, F.col("candidate") == F.col("_dir")).select(*keys, "pos", "_path")
     hits = whole.unionByName(some)
     first = hits.groupBy(*keys).agg(F.min_by("_path", "pos").alias("resolved_file"), F.min("pos").alias("_first"), F.count("*").alias("_n"))
-    c_like = F.col("language").isin("c", "cpp") & (F.col("_first") > 0) & (F.col("_n") > 1)
+    by_root = (F.col("_first") > 0) | F.col("target").startswith("<")
+    c_like = F.col("language").isin("c", "cpp") & by_root & (F.col("_n") > 1)
     first = first.filter(~c_like).drop("_first", "_n")
     return deps.join(first, keys, "left")
 

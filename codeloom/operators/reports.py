@@ -62,6 +62,15 @@ def source_evidence(candidates: DataFrame, cap: int = PER_SOURCE) -> DataFrame:
     return own.select("source", F.least("_n", F.lit(cap)).alias("files"), F.greatest(F.col("_n") - cap, F.lit(0)).alias("omitted"))
 
 
+def benchmark_totals(runs: DataFrame, least_files: int, most_tokens: int) -> DataFrame:
+    """One row over runs (repository, files, lines, tokens): sums, the most, and how many break a guardrail."""
+    broken = (F.col("files") < least_files) | (F.col("tokens") > most_tokens)
+    return runs.agg(
+        F.count("*").alias("repositories"), F.sum("files").alias("files"), F.sum("lines").alias("lines"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most_tokens"),
+        F.count_if(broken).alias("failures"),
+    )
+
+
 def coverage(expected: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
     """Expected rows that were not selected."""
     return expected.join(selected.select(*keys).distinct(), keys, "left_anti")

@@ -19,7 +19,7 @@ ROOTS = {
     "csharp": ("", "src", "test", "tests"),
     "php": ("", "src", "app", "lib", "tests"),
     "ruby": ("lib", "app", "src", ""),
-    "c": ("include", "src", "lib", ""),
+    "c": ("include", "includes", "inc"),
 }
 DEFAULT_CONDITIONS = ("import", "require", "node", "default")
 
@@ -358,7 +358,8 @@ def candidates(language: str, source: str, target: str, kind: str, ctx: Context)
         out = [join(folder, target)] if not target.startswith("/") else []
         out += [normalize(target)] if "/" in target else []
     elif language in ("c", "cpp"):
-        out = [] if kind != "include" or target.startswith("<") else [join(folder, target), *[join(r, target) for r in ROOTS["c"]]]
+        roots = [join(r, target.strip("<>")) for r in ROOTS["c"]]
+        out = [] if kind != "include" else roots if target.startswith("<") else [join(folder, target), normalize(target), *roots]
     elif language == "java":
         parts = target.removesuffix(".*").split(".")
         shorter = [parts[:n] for n in range(len(parts), 1, -1)] if kind == "import_static" else [parts]

@@ -37,6 +37,13 @@ def test_partition_count_does_not_matter(spark, sf_dir, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    plan = catalog.QUERIES["graph_nodes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "l_linestatus" in x and "FileScan" in x)
+    assert "EqualTo(l_linestatus,O)" in scan and "In(l_returnflag, [A,N])" in scan
+    assert "l_tax" not in scan and "l_extendedprice" not in scan
+
+
 @pytest.mark.parametrize("name", ["suffix_join", "prefix_join", "path_suffix_join", "resolve_calls_ranked", "edges_touching"])
 def test_no_nested_loop_over_tables(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

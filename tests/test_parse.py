@@ -199,7 +199,8 @@ def test_candidates(language, source, target, kind, known, want):
 
 def test_external_targets_have_no_candidates():
     assert paths.candidates("csharp", "A.cs", "System.Linq", "using", paths.Context()) == []
-    assert paths.candidates("c", "a.c", "<stdio.h>", "include", paths.Context()) == []
+    assert first("c", "a.c", "<stdio.h>", "include", ["stdio.h"]) is None
+    assert first("c", "a.c", "<own/a.h>", "include", ["inc/own/a.h"]) == "inc/own/a.h"
 
 
 def test_go_modules():
