@@ -203,6 +203,13 @@ def test_scores_of_all_rows(spark, docs):
     assert empty.vocabulary == [] and masked_lm.score_documents(frame(spark, []), empty).count() == 0
 
 
+def test_every_token_is_trained_on(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (1, 2, 3, 1, 50, 700)] + ["", None]
+    model = masked_lm.train_masked_lm(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    assert model.trained == 1 + 2 + 3 + 1 + 50 + 700
+
+
 # --- mixing ----------------------------------------------------------------------
 
 
