@@ -3,13 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
 that they were given.
+
+Decisions are about rows, not about doc_ids: a row is known by its doc_id, which may be
+null or repeated, together with its text. Rows alike in both get the same decision,
+except that near-dedup keeps only one of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialize
@@ -30,23 +34,52 @@ def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
+def _digest() -> Column:
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-" * 32))
+
+
+def _key(doc_id: Column, digest: Column) -> Column:
+    """What a row is known by; a null doc_id differs from every other one."""
+    return F.concat(F.when(doc_id.isNull(), "0").otherwise("1"), digest, F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs`` with the row's key for its doc_id."""
+    return docs.select(_key(F.col("doc_id"), _digest()).alias("doc_id"), "text")
+
+
 def _drop(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    gone = decided.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Rows of ``docs`` whose key is not in ``decided`` (key)."""
+    gone = decided.select(F.col("key").alias("_gone"))
+    return docs.join(gone, _key(docs["doc_id"], _digest()) == gone["_gone"], "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those in no language for the most part, go."""
+    """Rows without letters, and those in no language for the most part, go; others of their doc_id stay."""
     model = train_languages(docs.filter(~held_out()))
-    found = detect_languages(docs, model, spans=False)
+    found = detect_languages(_keyed(docs), model, spans=False)
     gone = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SHARE))
-    return _drop(docs, materialize(gone.select("doc_id"), "rejected"))
+    return _drop(docs, materialize(gone.select(F.col("doc_id").alias("key")), "rejected"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest doc_id stays."""
-    found = near_duplicates(docs)
-    return _drop(docs, materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "copies"))
+    """Of each group of near-duplicates one row stays: of the smallest doc_id, a null one coming last.
+
+    Of several texts under that doc_id the one with the smallest MD5 stays, and of rows
+    alike in doc_id and text any one.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"))
+    key = _key(F.col("doc_id.id"), F.col("doc_id.digest"))
+    first = _key(F.col("component_id.id"), F.col("component_id.digest"))
+    found = materialize(found.select(key.alias("key"), (key == first).alias("stays")), "found")
+    left = _drop(docs, found.filter("not stays"))
+    again = materialize(found.filter("stays").groupBy("key").count().filter("count > 1").select("key"), "repeated")
+    if again.isEmpty():
+        return left
+    marked = left.withColumn("_key", _key(F.col("doc_id"), _digest()))
+    once = marked.join(again.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return _drop(left, again).unionByName(once.drop("_key"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +90,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark window go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _drop(docs, materialize(found.filter("contaminated").select("doc_id"), "contaminated"))
+    """Rows that contain a benchmark window go; others of their doc_id stay."""
+    found = decontaminate(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _drop(docs, materialize(found.filter("contaminated").select(F.col("doc_id").alias("key")), "contaminated"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,3 +408,26 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, "a b c")] if rows else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         corpus_pipeline.run(spark, d).collect()
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    # texts of letters that differ far more than near-duplicates do
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(4))
+
+    def kept(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(spark, [(i, t, "en", "s") for i, t in rows]), str(tmp_path)).collect()), key=str)
+
+    # language ID: a text without letters takes no other row of its doc_id along
+    assert kept(corpus_pipeline.language_id, [(None, a), (None, ""), (None, None), (7, b), (7, "12"), (8, c)]) == sorted([(None, a), (7, b), (8, c)], key=str)
+
+    # near-dedup: one row of each group, repeated and null ids included
+    rows = [(5, a), (6, a), (4, b), (5, b), (None, c), (None, c), (9, d), (9, d), (None, d)]
+    assert kept(corpus_pipeline.simhash_near_dedup, rows) == sorted([(5, a), (4, b), (None, c), (9, d)], key=str)
+
+    # decontamination: only the row with the benchmark's words goes
+    spark.createDataFrame([(1, " ".join(a.split()[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, b), (3, a), (3, c)]
+    assert kept(corpus_pipeline.decontamination, rows) == sorted([(None, b), (3, c)], key=str)
