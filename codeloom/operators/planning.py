@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.scratch import materialize
+
 # Score of each kind of evidence: fixed values.
 EVIDENCE_SCORES = {
     "seed_file": 100,
@@ -87,17 +89,29 @@ def trim_ranges(ranges: DataFrame, most_lines: int) -> DataFrame:
     return ranges.withColumn("end_line", F.least("end_line", F.col("start_line") + most_lines - 1))
 
 
-def budget_cut(candidates: DataFrame, budget: int, most: int = 10_000) -> DataFrame:
-    """Candidates (rank columns score, file, tokens) with running_tokens and selected.
+def budget_cut(candidates: DataFrame, budget: int) -> DataFrame:
+    """Candidates (rank columns score, file, tokens) with rank, running_tokens and selected.
 
     The longest prefix of the ranking that fits is selected; a budget below the least
-    one is raised to it. Only the ``most`` best candidates are ranked, which bounds the
-    one task that a total order needs.
+    one is raised to it. All candidates are ranked: they are dealt by ranges of the
+    ranking, counted and summed inside a range, and offset by the ranges before it.
     """
     limit = max(budget, LEAST_BUDGET)
-    best = candidates.orderBy(F.desc("score"), "file").limit(most)
-    order = W.orderBy(F.desc("score"), "file")
-    ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("running_tokens", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = [F.desc("score"), F.asc("file")]
+    slices = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(candidates.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    sums = ranged.groupBy("_slice").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_sum"))
+    offsets = sums.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), F.sum("_sum").over(before).alias("_offset"))
+    inside = W.partitionBy("_slice").orderBy(*order)
+    local = ranged.withColumn("rank", F.row_number().over(inside)).withColumn("running_tokens", F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    own = F.col("running_tokens")
+    ranked = (
+        local.join(F.broadcast(offsets), "_slice")
+        .withColumn("rank", (F.col("rank") + F.col("_ahead")).cast("int"))
+        .withColumn("running_tokens", F.coalesce(own + F.col("_offset"), own, F.col("_offset")))
+        .drop("_slice", "_ahead", "_offset")
+    )
     return ranked.withColumn("selected", F.col("running_tokens") <= limit)
 
 

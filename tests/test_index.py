@@ -186,6 +186,16 @@ def test_planning_rules(spark):
     assert [r["agreement"] for r in got.collect()] == ["no_backend", "backend_without_candidates", "no_local_route", "agree", "overlap", "conflict"]
 
 
+def test_budget_ranks_all_candidates(spark):
+    rows = [(f"f{i:05d}", i * 7919 % 13, i % 3 if i % 13 else 0) for i in range(12_000)] + [("none", None, None)]
+    cut = planning.budget_cut(spark.createDataFrame(rows, "file string, score int, tokens long"), 11_000).collect()
+    expected, total = {}, 0
+    for rank, (file, _, tokens) in enumerate(sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])), 1):
+        total += tokens or 0
+        expected[file] = (rank, total, total <= 11_000)
+    assert len(cut) == 12_001 and {r["file"]: (r["rank"], r["running_tokens"], r["selected"]) for r in cut} == expected
+
+
 def test_closure_of_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     rows = resolve.closure(edges, spark.createDataFrame([("a",), ("d",)], "start string")).collect()
