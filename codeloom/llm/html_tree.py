@@ -2,10 +2,10 @@
 
 Pages are cut into leaf blocks, each with the path of elements around it. Pages of
 a host are merged into one tree: a node is a path of styled elements, and it counts
-the pages it occurs on and how often each text under it occurs. A node that looks
-alike everywhere (low presentation entropy) and says the same everywhere (low
-content entropy) is boilerplate of the site; its branch is removed from each page.
-What an element is for (menu, header, form and so on) weighs in as well, since a
+the pages it occurs on and how often each text under it occurs. A node that says
+the same everywhere (low content entropy) is boilerplate of the site; its blocks are
+removed from each page. Presentation entropy does not weigh in, and importance is not
+composed from children to branches. What an element is for (menu, header, form and so on) weighs in as well, since a
 site of one page has no entropy to go by.
 """
 
