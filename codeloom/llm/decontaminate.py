@@ -69,24 +69,47 @@ def winnow_columns(df: DataFrame, grams: str, width: int, out: str) -> DataFrame
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(len, text, items) of every distinct window of (item_id, text); rows of null item_id are left out."""
-    items = benchmark.filter("item_id is not null").select("item_id", words_of(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
+    """Distinct (len, text, item) of every window of (item_id, text); rows of null item_id are one item of null id."""
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
     n = F.least(F.size("_words"), F.lit(window)).alias("len")
     starts = items.select("item_id", "_words", n).withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_words") - F.col("len") + 1)))
     text = F.array_join(F.slice("_words", F.col("_at"), F.col("len")), " ")
-    return starts.select("len", text.alias("text"), "item_id").groupBy("len", "text").agg(F.collect_set("item_id").alias("items"))
+    return starts.select("len", text.alias("text"), F.col("item_id").alias("item")).distinct()
 
 
-def _fingerprints(df: DataFrame, length: int, window: int, gram: int, distinct: bool = True) -> DataFrame:
-    """Add _fp, the fingerprints of ``_words`` for windows of ``length`` words.
+def _fingerprints(df: DataFrame, length: int, window: int, gram: int, out: str) -> DataFrame:
+    """Add ``out``, the fingerprints of ``_words`` for windows of ``length`` words.
 
     The first one of a window of exactly ``length`` words stands for the window.
     """
     if length < window:
-        marked = gram_columns(df, "_words", length, "_prints")
-    else:
-        marked = winnow_columns(gram_columns(df, "_words", gram, "_grams"), "_grams", window - gram + 1, "_prints").drop("_grams")
-    return marked.withColumn("_fp", F.array_distinct("_prints") if distinct else F.col("_prints")).drop("_prints")
+        return gram_columns(df, "_words", length, out)
+    return winnow_columns(gram_columns(df, "_words", gram, "_grams"), "_grams", window - gram + 1, out).drop("_grams")
+
+
+def _prints(windows: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """Distinct fingerprints of ``windows`` (len, text) of all ``lengths``."""
+    out = None
+    for length in lengths:
+        own = windows.filter(F.col("len") == length).select(F.split("text", " ").alias("_words"))
+        own = _fingerprints(own, length, window, gram, "_fp").select(F.posexplode_outer("_fp").alias("_place", "_print")).filter("_place = 0").select("_print")
+        out = own if out is None else out.unionAll(own)
+    return out.distinct()
+
+
+def _keys(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_n, _window, _print): every window of ``windows`` with the hash of all its words."""
+    out = None
+    for length in lengths:
+        own = gram_columns(windows.filter(F.col("len") == length).select("len", "text", F.split("text", " ").alias("_words")), "_words", length, "_key")
+        own = own.select(F.col("len").alias("_n"), F.col("text").alias("_window"), F.posexplode_outer("_key").alias("_place", "_print")).filter("_place = 0").drop("_place")
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def _placed(keys: str, n: int) -> Column:
+    """The hashes of ``keys`` with their places and the number of words that they stand for."""
+    return F.transform(keys, lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("fp")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -97,54 +120,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     occurrence of a window), n_items, items_sha256 (of the comma-joined item ids in
     string order), contaminated and items.
 
-    Defined results: null texts have no words; items of null id or without words have
-    no window; a doc_id names a document, so rows that repeat it are one row, their words counted
-    in the longest of them and hit places united; null doc_id is one document too;
+    Documents are read twice, whatever the lengths of windows: once for fingerprints,
+    once to look at those that share one.
+
+    Defined results: null texts have no words; items without words have no window; items
+    of null id are one item, whose windows count like any other and which n_items counts,
+    though it has no id to list; a doc_id names a document, so rows that repeat it are one
+    row, their words counted in the longest of them and hit places united; null doc_id is
+    one document too; very long texts are looked at whole; extra columns are ignored;
     empty tables give no rows or no hits.
     """
-    windows = materialize(benchmark_windows(benchmark, window), "windows")
+    pairs = materialize(benchmark_windows(benchmark, window), "windows")
+    windows = materialize(pairs.select("len", "text").distinct(), "distinct-windows")
     # At most ``window`` numbers reach the driver.
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())
-    n_windows = windows.count()
+    n_windows, n_pairs = windows.count(), pairs.count()
     worded = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
     counted = worded.select("doc_id", "_words", F.size("_words").cast("long").alias("n_words"))
 
-    passes = []
-    for length in lengths or [window]:
-        prints = windows.filter(F.col("len") == length).select(F.split("text", " ").alias("_words"))
-        prints = _fingerprints(prints, length, window, gram, distinct=False).select(F.posexplode_outer("_fp").alias("_at", "_print"))
-        prints = prints.filter("_at = 0").select("_print").distinct()
-        marked = _fingerprints(counted, length, window, gram).select("doc_id", "n_words", F.explode_outer("_fp").alias("_fp"))
-        joined = bounded_join(marked, prints, F.col("_fp") == F.col("_print"), "left", n_windows)
-        passes.append(joined.select("doc_id", "n_words", F.col("_print").isNotNull().alias("suspect")))
-    seen = passes[0]
-    for p in passes[1:]:
-        seen = seen.unionAll(p)
-    seen = materialize(seen.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("suspect").alias("suspect")), "suspects")
+    if not lengths:
+        return counted.groupBy("doc_id").agg(F.max("n_words").alias("n_words")).select(
+            "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"),
+            F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("items"),
+        )
+    marked = counted
+    for length in lengths:
+        marked = _fingerprints(marked, length, window, gram, f"_fp{length}")
+    every = [F.col(f"_fp{length}") for length in lengths]
+    marked = marked.withColumn("_fp", F.array_distinct(F.concat(*every) if len(every) > 1 else every[0]))
+    marked = marked.select("doc_id", "n_words", F.explode_outer("_fp").alias("_fp"))
+    joined = bounded_join(marked, _prints(windows, lengths, window, gram), F.col("_fp") == F.col("_print"), "left", n_windows)
+    seen = joined.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max(F.col("_print").isNotNull()).alias("suspect"))
+    seen = materialize(seen, "suspects")
 
     suspects = seen.filter("suspect").select(F.col("doc_id").alias("_doc"))
     own = bounded_join(docs.select("doc_id", "text"), suspects, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi", suspects.count())
     own = own.select("doc_id", words_of(F.col("text")).alias("_words"))
-    hits = None
     for length in lengths:
-        w = gram_columns(windows.filter(F.col("len") == length).select("text", F.split("text", " ").alias("_words")), "_words", length, "_key")
-        w = w.select(F.col("text").alias("_window"), F.posexplode_outer("_key").alias("_place", "_print")).filter("_place = 0").drop("_place")
-        placed = gram_columns(own, "_words", length, "_key").select("doc_id", "_words", F.posexplode_outer("_key").alias("_at", "_fp"))
-        here = F.array_join(F.slice("_words", F.col("_at") + 1, length), " ")
-        if n_windows <= BROADCAST_ROWS:
-            found = placed.join(F.broadcast(w), F.col("_fp") == F.col("_print")).filter(here == F.col("_window"))
-        else:  # the words stay behind; the windows themselves are compared
-            found = placed.select("doc_id", "_at", "_fp", here.alias("_here")).join(w, (F.col("_fp") == F.col("_print")) & (F.col("_here") == F.col("_window")))
-        found = found.select("doc_id", F.col("_at").alias("start"), (F.col("_at") + length).alias("end"), "_window")
-        hits = found if hits is None else hits.unionAll(found)
-
-    none = F.sha2(F.lit(""), 256)
-    if hits is None:
-        return seen.select(
-            "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"),
-            F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("items"),
-        )
-    hits = materialize(hits, "hits")
+        own = gram_columns(own, "_words", length, f"_key{length}")
+    places = [_placed(f"_key{n}", n) for n in lengths]
+    placed = own.select("doc_id", "_words", F.explode_outer(F.concat(*places) if len(places) > 1 else places[0]).alias("_p"))
+    placed = placed.select("doc_id", "_words", F.col("_p.n").alias("_len"), F.col("_p.at").alias("_at"), F.col("_p.fp").alias("_fp"))
+    here = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_len")), " ")
+    same = (F.col("_fp") == F.col("_print")) & (F.col("_len") == F.col("_n"))
+    keys = _keys(windows, lengths)
+    if n_windows <= BROADCAST_ROWS:
+        found = placed.join(F.broadcast(keys), same).filter(here == F.col("_window"))
+    else:  # the words stay behind; the windows themselves are compared
+        found = placed.select("doc_id", "_len", "_at", "_fp", here.alias("_here")).join(keys, same & (F.col("_here") == F.col("_window")))
+    hits = materialize(found.select("doc_id", F.col("_at").alias("start"), (F.col("_at") + F.col("_len")).alias("end"), "_window"), "hits")
     # Places of one document: united by a sweep over their sorted starts.
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     sweep = F.aggregate(
@@ -153,11 +177,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         lambda acc, s: F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["upto"], s["start"]))).alias("n")),
     )["n"]
     hit_words = hits.groupBy(F.col("doc_id").alias("_d1")).agg(sweep.alias("n_hit"))
-    named = hits.select("doc_id", "_window").distinct().join(
-        windows.select(F.col("text").alias("_window"), F.explode("items").alias("item")) if n_windows > BROADCAST_ROWS else F.broadcast(windows.select(F.col("text").alias("_window"), F.explode("items").alias("item"))),
-        "_window",
-    )
-    items = named.groupBy(F.col("doc_id").alias("_d2")).agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    named = bounded_join(hits.select("doc_id", "_window").distinct(), pairs.select(F.col("text").alias("_window"), "item"), ["_window"], "inner", n_pairs)
+    id_text = F.col("item").cast("string")
+    items = named.groupBy(F.col("doc_id").alias("_d2")).agg(F.sort_array(F.collect_set(id_text)).alias("items"), F.max(id_text.isNull().cast("long")).alias("_nameless"))
     out = seen.join(hit_words, F.col("doc_id").eqNullSafe(F.col("_d1")), "left").join(items, F.col("doc_id").eqNullSafe(F.col("_d2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     found = F.coalesce("items", F.array().cast("array<string>"))
@@ -165,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(found).cast("long").alias("n_items"),
+        (F.size(found).cast("long") + F.coalesce("_nameless", F.lit(0).cast("long"))).alias("n_items"),
         F.sha2(F.array_join(found, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         found.alias("items"),

@@ -11,7 +11,7 @@ _WORDS = "regexp_extract_all(" + _LOW.format("text") + r", '[^\x00-\x2F\x3A-\x60
 
 _DECONTAMINATE = f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS t
   FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
