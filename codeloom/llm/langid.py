@@ -112,20 +112,21 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     begin, n = begin[order], n[order]
     k = scores.shape[1]
     value = np.zeros((n_docs, k), np.float32)
-    came = np.zeros((len(doc), k), np.uint8)
-    own = np.arange(k, dtype=np.uint8)
+    kind = np.min_scalar_type(max(k - 1, 0))  # one byte a label suffices for 256 languages only
+    came = np.zeros((len(doc), k), kind)
+    own = np.arange(k, dtype=kind)
     alive = np.searchsorted(-n, -np.arange(n[0] if n_docs else 0), "left")  # texts with more than t words
     for t in range(len(alive)):
         m = alive[t]
         at, v = begin[:m] + t, value[:m]
-        best = v.argmax(1).astype(np.uint8)
+        best = v.argmax(1).astype(kind)
         reach = v[np.arange(m), best] - np.float32(penalty)
         stay = v >= reach[:, None]
         came[at] = np.where(stay, own, best[:, None])
         v = np.where(stay, v, reach[:, None]) + scores[at]
         value[:m] = v - v.max(1, keepdims=True)
-    label = np.zeros(len(doc), np.uint8)
-    state = value.argmax(1).astype(np.uint8)
+    label = np.zeros(len(doc), kind)
+    state = value.argmax(1).astype(kind)
     for t in range(len(alive) - 1, -1, -1):
         m = alive[t]
         at = begin[:m] + t
@@ -158,8 +159,11 @@ def label_texts(texts: list[str | None], model: LanguageModel, penalty: float =
         words = split_words([texts[i] or "" for i in part])
         label = viterbi(model.word_scores(words), words.doc, len(part), penalty)
         letters = np.zeros((len(part), k), np.int64)
-        np.add.at(letters, (words.doc, label), words.end - words.start)
-        total, best = letters.sum(1), letters.argmax(1)
+        # Letters of a script that no language was seen in count for none of them.
+        size = words.end - words.start
+        known = np.where(model.allowed.any(1)[words.script], size, 0)
+        np.add.at(letters, (words.doc, label), known)
+        total, best = np.bincount(words.doc, size, len(part)), letters.argmax(1)
         where: list[list] = [[] for _ in part]
         if spans and len(label):
             new = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (words.doc[1:] != words.doc[:-1])])
@@ -214,6 +218,8 @@ def detect_languages(docs: DataFrame, model: LanguageModel, penalty: float = SWI
 
     Only text is looked at. Defined results: null, empty and letterless texts are
     ``und`` with score 0 and no span, and so is everything if no language was learned;
+    letters of a script that no language was seen in lower the score, down to 0; very
+    long texts are labelled whole, their words held at once; extra columns are ignored;
     equal scores go to the language first in code point order; repeated rows each get
     their row; an empty table gives no rows.
     """
