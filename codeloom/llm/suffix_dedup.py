@@ -16,8 +16,11 @@ one wherever the string occurs. Only anchors whose K-gram occurs twice are sorte
    with its common prefixes tells which strings occur earlier.
 4. Texts are dealt by document group once more and cut.
 
-Anchors and surroundings travel packed in binary rows. Groups and buckets follow
-``spark.sql.shuffle.partitions``.
+Anchors and surroundings travel packed in binary rows. The number of document groups,
+of buckets and of tasks follows the bytes of all texts, so that none of them grows with
+the corpus. A hash that very many document groups hold is sorted in two steps: its
+surroundings are dealt by FAN groups first, where equal ones become one, and only what is
+left of each deal meets in one bucket.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions, trim
+from codeloom.llm.common import materialize, partitions, running_total, trim
 
 SPAN = 100
 K = 40
@@ -51,6 +54,12 @@ SMALL = 4096
 FEW = 6
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 NULL_ID = -(1 << 63)
+#: Bytes of text of a document group and of a task; both are held by a worker as a whole or in part.
+GROUP_BYTES, TASK_BYTES = 16 << 20, 64 << 20
+#: A hash that more document groups than this hold is dealt by so many groups at a time first.
+FAN = 64
+#: Routes from here on are such deals.
+HOT = 1 << 40
 #: Positions of the n-th row of a doc_id are offset by n times this.
 REPEAT = 1 << 40
 
@@ -133,17 +142,28 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[new], pos[new], h[new]
 
 
+def _shift(buckets: int) -> np.uint64:
+    """Bits of a code below its bucket."""
+    return np.uint64(48 if buckets <= 1 << 16 else 40)
+
+
 def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the upper 16 bits, from the upper bits of the hash; its lower 48 bits below."""
-    low = np.uint64((1 << 48) - 1)
-    return ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)) << np.uint64(48) | h & low
+    """Bucket in the upper 16 or 24 bits, from the upper bits of the hash; its lower bits below."""
+    shift = _shift(buckets)
+    low = (np.uint64(1) << shift) - np.uint64(1)
+    return ((h >> shift) * np.uint64(buckets) >> (np.uint64(64) - shift)) << shift | h & low
 
 
 # --- step 1 and 2: hashes that occur twice ------------------------------------------
 
 
-def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _group_type(groups: int) -> str:
+    return "<u2" if groups <= 1 << 16 else "<u4"
+
+
+def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
     """(bucket, packed entries); an entry is a hash and a document group, twice if it occurs again there."""
+    shift, kind = _shift(buckets), _group_type(groups)
     for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         group = part.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         doc, _, h = anchors([t or b"" for t in part.column(1).to_pylist()])
@@ -153,42 +173,71 @@ def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         if len(code) > 2:  # at most two of a kind
             again = (code[2:] == code[:-2]) & (g[2:] == g[:-2])
             code, g = code[np.r_[True, True, ~again]], g[np.r_[True, True, ~again]]
-        edges = np.searchsorted(code >> np.uint64(48), np.arange(buckets + 1))
-        used = np.flatnonzero(np.diff(edges))
+        own = (code >> shift).astype(np.int64)
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.array([], np.int64)
         blobs = []
-        for k in used:
-            c, gg = code[edges[k] : edges[k + 1]], g[edges[k] : edges[k + 1]]
-            blobs.append((c & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (c >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes() + gg.astype("<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["route", "blob"])
+        for a, z in zip(edge, [*edge[1:], len(code)]):
+            c, gg = code[a:z] & ((np.uint64(1) << shift) - np.uint64(1)), g[a:z]
+            blobs.append((c & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (c >> np.uint64(32)).astype("<u2").tobytes() + gg.astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(own[edge], pa.int64()), pa.array(blobs, pa.binary())], names=["route", "blob"])
     trim()
 
 
-def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, packed codes): for each document group its hashes that occur at least twice anywhere."""
-    codes, groups = [], []
-    for batch in batches:
-        for route, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = len(blob) // 8
-            low, high = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u2", n, 4 * n)
-            codes.append(np.uint64(route) << np.uint64(48) | high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64))
-            groups.append(np.frombuffer(blob, "<u2", n, 6 * n))
-    if not codes:
-        return
-    code, group = np.concatenate(codes), np.concatenate(groups)
-    order = np.argsort(code, kind="stable")
+def _bucket_repeats(route: int, blobs: list[bytes], buckets: int, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, group, hot) of the hashes of a bucket that occur at least twice anywhere, by group."""
+    kind = np.dtype(_group_type(groups))
+    size = 6 + kind.itemsize
+    codes, owners = [], []
+    for blob in blobs:
+        n = len(blob) // size
+        low, high = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u2", n, 4 * n)
+        codes.append(np.uint64(route) << _shift(buckets) | high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64))
+        owners.append(np.frombuffer(blob, kind, n, 6 * n).astype(np.int64))
+    code, group = np.concatenate(codes), np.concatenate(owners)
+    order = np.lexsort((group, code))
     code, group = code[order], group[order]
     same = code[1:] == code[:-1]
     twice = np.r_[same, False] | np.r_[False, same]
     code, group = code[twice], group[twice]
-    order = np.lexsort((code, group))
-    code, group = code[order], group[order]
-    new = np.r_[True, (code[1:] != code[:-1]) | (group[1:] != group[:-1])] if len(code) else np.array([], bool)
+    if not len(code):
+        return code, group, np.array([], bool)
+    new = np.r_[True, (code[1:] != code[:-1]) | (group[1:] != group[:-1])]
     code, group = code[new], group[new]
-    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(code) else np.array([], int)
-    ends = np.r_[edge[1:], len(code)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(group[edge], pa.int32()), pa.array([code[a:z].astype("<u8").tobytes() for a, z in zip(edge, ends)], pa.binary())], names=["route", "blob"]
-    )
+    edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    holders = np.diff(np.r_[edge, len(code)])
+    hot = np.repeat(holders > FAN, holders)
+    order = np.lexsort((code, group))
+    return code[order], group[order], hot[order]
+
+
+def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Routes of sorted rows with all their blobs, one route at a time."""
+    now, held = None, []
+    for batch in batches:
+        for route, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if route != now and held:
+                yield now, held
+                held = []
+            now = route
+            held.append(blob)
+    if held:
+        yield now, held
+
+
+def _find_repeats(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """(group, packed codes, packed hot codes): for each document group its hashes that occur at least twice anywhere."""
+    for route, blobs in _by_route(batches):
+        code, group, hot = _bucket_repeats(route, blobs, buckets, groups)
+        if len(code):
+            edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            ends = np.r_[edge[1:], len(code)]
+            pack = lambda a, z, which: code[a:z][which[a:z]].astype("<u8").tobytes()
+            cold = ~hot
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[edge], pa.int64()), pa.array([pack(a, z, cold) for a, z in zip(edge, ends)], pa.binary()), pa.array([pack(a, z, hot) for a, z in zip(edge, ends)], pa.binary())],
+                names=["route", "blob", "hot"],
+            )
+    trim()
 
 
 # --- step 3: surroundings of the anchors that are left -------------------------------
@@ -215,26 +264,36 @@ def _unpack_cuts(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), "<i8").reshape(3, -1)
 
 
-HEADER = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("group", "<u2"), ("left", "u1"), ("right", "u1")])
+HEADER = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("group", "<u4"), ("left", "u1"), ("right", "u1")])
+
+
+def _pack_around(rows: list[tuple[int, int, int, int, int, bytes]]) -> bytes:
+    """(doc, pos, group, left, right, bytes) of surroundings in one blob."""
+    head = np.array([r[:5] for r in rows], HEADER)
+    return zstandard.compress(struct.pack("<q", len(rows)) + head.tobytes() + b"".join(r[5] for r in rows), 1)
 
 
 def _surroundings(docs: pa.Table, repeats: pa.Table, buckets: int) -> pa.Table:
-    """(route, blob): surroundings of repeated anchors by bucket; cuts found here by document group."""
+    """(route, blob): surroundings of repeated anchors by bucket, those of hot hashes by deal; cuts found here by document group."""
     routes: list[int] = []
     blobs: list[bytes] = []
-    found = repeats["blob"].to_pylist()
+    found, hot_found = repeats["blob"].to_pylist(), repeats["hot"].to_pylist()
     if docs.num_rows and found:
-        wanted = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in found]))
+        hot = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in hot_found]))
+        wanted = np.sort(np.concatenate([hot, *[np.frombuffer(b, "<u8") for b in found]]))
         group = docs["_group"][0].as_py()
         _, ids, texts, shift = _rows_in_order(docs)
         doc, pos, h = anchors(texts)
         code = _codes(h, buckets)
         hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
         first: set[tuple[int, bytes]] = set()
-        sent: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+        sent: dict[int, list[tuple[int, int, int, int, int, bytes]]] = {}
         cuts: tuple[list[int], list[int], list[int]] = ([], [], [])
-        bucket = (code[hit] >> np.uint64(48)).tolist()
-        for d, p, k in zip(doc[hit].tolist(), pos[hit].tolist(), bucket):
+        bucket = (code[hit] >> _shift(buckets)).astype(np.int64)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, code[hit]), len(hot) - 1)] == code[hit]
+            bucket = np.where(is_hot, HOT + (group // FAN << 24) + bucket, bucket)
+        for d, p, k in zip(doc[hit].tolist(), pos[hit].tolist(), bucket.tolist()):
             t = texts[d]
             left, right = min(p, LEFT), min(SPAN, len(t) - p)
             around = t[p - left : p + right]
@@ -245,15 +304,14 @@ def _surroundings(docs: pa.Table, repeats: pa.Table, buckets: int) -> pa.Table:
                 cuts[2].append(shift[d] + p + right)
             else:
                 first.add(key)
-                sent.setdefault(k, []).append((ids[d], shift[d] + p, left, right, around))
+                sent.setdefault(k, []).append((ids[d], shift[d] + p, group, left, right, around))
         for k, rows in sent.items():
-            head = np.array([(i, p, group, a, z) for i, p, a, z, _ in rows], HEADER)
             routes.append(k)
-            blobs.append(zstandard.compress(struct.pack("<q", len(rows)) + head.tobytes() + b"".join(r[4] for r in rows), 1))
+            blobs.append(_pack_around(rows))
         if cuts[0]:
             routes.append(buckets + group)
             blobs.append(_pack_cuts(*cuts))
-    out = pa.table({"route": pa.array(routes, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    out = pa.table({"route": pa.array(routes, pa.int64()), "blob": pa.array(blobs, pa.binary())})
     del routes, blobs, found
     trim()
     return out
@@ -448,26 +506,56 @@ def earlier_strings(blobs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
                     yield int(rows["group"][m]), doc, pos - left, pos + right
 
 
+class _Cuts:
+    """Cuts of document groups, packed for each."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, tuple[list[int], list[int], list[int]]] = {}
+
+    def add(self, group: int, doc: int, start: int, end: int) -> None:
+        c = self.of.setdefault(group, ([], [], []))
+        c[0].append(doc)
+        c[1].append(start)
+        c[2].append(end)
+
+    def rows(self, buckets: int) -> tuple[list[int], list[bytes]]:
+        return [buckets + g for g in self.of], [_pack_cuts(*c) for c in self.of.values()]
+
+
+def _combine(blobs: list[bytes], cuts: _Cuts) -> bytes:
+    """Of equal surroundings of a deal the earliest is left; the others are cut whole, as all their strings occur there."""
+    s = _Suffixes.unpack(blobs)
+    first: dict[tuple[int, bytes], tuple[int, int, int, int, int, bytes]] = {}
+    for (doc, pos, group, left, right), at in zip(s.head.tolist(), s.begin.tolist()):
+        around = s.data[at : at + left + right]
+        row, known = (doc, pos, group, left, right, around), first.get((left, around))
+        if known is None or row[:2] < known[:2]:
+            first[left, around] = row
+            row = known
+        if row:
+            cuts.add(row[2], row[0], row[1] - row[3], row[1] + row[4])
+    return _pack_around(list(first.values()))
+
+
 def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(group, packed cuts). Buckets of a partition are sorted one after the other."""
-    own: dict[int, list[bytes]] = {}
-    for batch in batches:
-        passed: list[tuple[int, bytes]] = []
-        for route, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if route >= buckets:
-                passed.append((route - buckets, blob))
-            else:
-                own.setdefault(route, []).append(blob)
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in passed], pa.int32()), pa.array([b for _, b in passed], pa.binary())], names=["route", "blob"])
-    for route in list(own):
-        cuts: dict[int, tuple[list[int], list[int], list[int]]] = {}
-        for group, doc, start, end in earlier_strings(own.pop(route)):
-            c = cuts.setdefault(group, ([], [], []))
-            c[0].append(doc)
-            c[1].append(start)
-            c[2].append(end)
-        yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int32()), pa.array([_pack_cuts(*c) for c in cuts.values()], pa.binary())], names=["route", "blob"])
-        trim()
+    """(route, blob): cuts by document group. Routes come in order; one bucket is held at a time.
+
+    A deal of a hot hash is not sorted yet: what is left of it goes on under its bucket's
+    own number. Cuts that were found before are passed through.
+    """
+    batch_of = lambda routes, blobs: pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(blobs, pa.binary())], names=["route", "blob"])
+    for route, blobs in _by_route(batches):
+        if buckets <= route < HOT:
+            yield batch_of([route] * len(blobs), blobs)
+            continue
+        cuts = _Cuts()
+        if route >= HOT:
+            yield batch_of([(route - HOT) & 0xFFFFFF], [_combine(blobs, cuts)])
+        else:
+            for group, doc, start, end in earlier_strings(blobs):
+                cuts.add(group, doc, start, end)
+        yield batch_of(*cuts.rows(buckets))
+    trim()
 
 
 # --- step 5: cutting -----------------------------------------------------------------
@@ -527,6 +615,15 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` and the place of a row's doc_id among all: integers stand for themselves, other ids are ranked."""
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return docs, F.col("doc_id").cast("long")
+    ids = docs.select(F.col("doc_id").alias("_ranked")).filter("_ranked is not null").distinct().withColumn("_one", F.lit(1).cast("long")).withColumn("_all", F.lit(0))
+    ranks = materialize(running_total(ids, "_all", ["_ranked"], "_one", "_rank").select("_ranked", "_rank"), "ranks")
+    return docs.join(ranks, docs["doc_id"] == ranks["_ranked"], "left").drop("_ranked"), F.col("_rank")
+
+
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """Cut repeated strings of SPAN bytes from the texts of ``docs`` (doc_id, text).
 
@@ -537,34 +634,46 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     Strings are judged on the input, not on what is left of it.
 
     Defined results: null and empty texts have no bytes; texts shorter than SPAN lose
-    nothing; a null doc_id comes before all others; rows that repeat a doc_id follow
-    each other in order of their texts, so of rows that agree the first is kept whole;
-    an empty table gives no rows.
+    nothing; very long texts are cut whole, hashed in pieces; doc_ids of any type that
+    can be ordered will do; a null doc_id comes before all others; rows that repeat a
+    doc_id follow each other in order of their texts, so of rows that agree the first is
+    kept whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = groups = min(1 << 16, 4 * partitions(spark))
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("_group")
+    taken = docs.columns
+    docs, number = _numbered(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number reaches the driver
+    buckets = groups = min(1 << 24, max(4 * partitions(spark), -(-size // GROUP_BYTES)))
+    tasks = max(partitions(spark), -(-size // TASK_BYTES))
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("_group")
     raw = F.col("text").cast("binary").alias("_bytes")
-    number = F.col("doc_id").cast("long").alias("_id")
+    number = number.alias("_id")
     thin = docs.select(group, raw)
+    row = "route long, blob binary"
+    dealt = lambda df: df.repartition(tasks, "route").sortWithinPartitions("route")
 
-    dealt = thin.mapInArrow(lambda it: _deal_anchors(it, buckets), "route int, blob binary")
-    repeats = materialize(dealt.repartition("route").mapInArrow(_find_repeats, "route int, blob binary"), "repeats")
+    repeats = dealt(thin.mapInArrow(lambda it: _deal_anchors(it, buckets, groups), row)).mapInArrow(lambda it: _find_repeats(it, buckets, groups), row + ", hot binary")
+    repeats = materialize(repeats, "repeats")
     _release(spark)
 
-    own = docs.select(group, number, raw)
-    around = own.groupBy("_group").cogroup(repeats.groupBy("route")).applyInArrow(lambda d, r: _surroundings(d, r, buckets), "route int, blob binary")
-    cuts = materialize(around.repartition("route").mapInArrow(lambda it: _sort_buckets(it, buckets), "route int, blob binary"), "cuts")
+    own = docs.select(group, number, raw).repartition(tasks, "_group")
+    around = own.groupBy("_group").cogroup(repeats.repartition(tasks, "route").groupBy("route")).applyInArrow(lambda d, r: _surroundings(d, r, buckets), row)
+    cuts = materialize(dealt(around).mapInArrow(lambda it: _sort_buckets(it, buckets), row), "cuts")
     _release(spark)
+    left = cuts.filter(F.col("route") < buckets)
+    cuts = cuts.filter(F.col("route") >= buckets)
+    if not left.isEmpty():
+        cuts = cuts.unionByName(materialize(dealt(left).mapInArrow(lambda it: _sort_buckets(it, buckets), row), "hot-cuts"))
+    cuts = cuts.select((F.col("route") - buckets).alias("route"), "blob")
 
     # Columns of the input go through under numbers, so that no name clashes.
-    carried = [c for c in docs.columns if c != "text"] if texts else ["doc_id"]
+    carried = [c for c in taken if c != "text"] if texts else ["doc_id"]
     numbered = {f"_c{i}": c for i, c in enumerate(carried)}
-    full = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in numbered.items()], group, number, raw)
+    full = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in numbered.items()], group, number, raw).repartition(tasks, "_group")
     fields = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in numbered.items()] + ["_text string"] * texts
     schema = ", ".join(fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    cut = full.groupBy("_group").cogroup(cuts.groupBy("route")).applyInArrow(lambda d, c: _cut(d, c, list(numbered), texts), schema)
+    cut = full.groupBy("_group").cogroup(cuts.repartition(tasks, "route").groupBy("route")).applyInArrow(lambda d, c: _cut(d, c, list(numbered), texts), schema)
     back = {c: n for n, c in numbered.items()} | ({"text": "_text"} if texts else {})
-    kept = [F.col(back[c]).alias(c) for c in docs.columns if c in back]
+    kept = [F.col(back[c]).alias(c) for c in taken if c in back]
     results = [F.col(c).alias(c if c not in carried else c + "_cut") for c in RESULTS]
     return cut.select(*kept, *results)

@@ -61,9 +61,8 @@ def contaminated(docs, items, window=10):
     for item, text in items:
         w = WORD.findall(low(text))
         n = min(window, len(w))
-        if item is not None:
-            for s in range(len(w) - n + 1 if n else 0):
-                windows.setdefault(tuple(w[s : s + n]), set()).add(item)
+        for s in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[s : s + n]), set()).add(item)
     out = []
     for doc, text in docs:
         w, hit, found = WORD.findall(low(text)), set(), set()
@@ -72,7 +71,7 @@ def contaminated(docs, items, window=10):
                 if tuple(w[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
                     found |= windows[tuple(w[s : s + n])]
-        sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        sha = hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), sha, bool(hit)))
     return sorted(out)
 
@@ -84,7 +83,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
 
     monkeypatch.setattr(codeloom.llm.common, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(codeloom.llm.decontaminate, "BROADCAST_ROWS", limit)
-    docs = corpus(5)
+    docs = corpus(5) + [(500, " ".join(f"w{i % 5003}" for i in range(60_000)))]
     texts = [t for _, t in docs if t and len(WORD.findall(t)) > 25]
     items = [(7, " ".join(texts[0].split(" ")[3:17])), (10, texts[1]), (9, "Alpha beta gamma"), (8, ""), (6, None), (None, texts[2]), (5, texts[1].upper()), (7, "omega")]
     found = decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
@@ -106,6 +105,22 @@ def test_decontamination_of_empty_tables_and_repeated_rows(spark):
     assert [(r["doc_id"], r["n_hit"]) for r in null_id] == [(None, 2)]
 
 
+def test_items_of_null_id_contaminate(spark):
+    items = spark.createDataFrame([(None, "two three"), (None, "five"), (4, "five six")], "item_id long, text string")
+    rows = decontaminate(frame(spark, [(1, "one two three"), (2, "five six"), (3, "seven")]), items).collect()
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in rows}
+    assert got == {1: (2, 1, [], True), 2: (2, 2, ["4"], True), 3: (0, 0, [], False)}
+
+
+def test_a_window_of_very_many_items_is_not_broadcast(spark, monkeypatch):
+    import codeloom.llm.common
+
+    monkeypatch.setattr(codeloom.llm.common, "BROADCAST_ROWS", 50)
+    items = spark.createDataFrame([(i, "the same words") for i in range(200)], "item_id long, text string")
+    rows = decontaminate(frame(spark, [(1, "here the same words are"), (2, "none")]), items).collect()
+    assert {r["doc_id"]: r["n_items"] for r in rows} == {1: 200, 2: 0}
+
+
 def test_decontamination_runs_no_python(spark, sf_dir):
     from codeloom.llm.queries import op1_decontaminate
 
@@ -252,6 +267,33 @@ def test_cut_edge_cases(spark):
     assert rows == {1: ("y", 0, text, 1, 1), 2: ("y", 150, "", 1, 1)}
 
 
+def test_cuts_of_text_ids(spark):
+    docs = [(f"d{i:04d}", t) for i, t in corpus(2)]
+    got = sorted(map(tuple, remove_repeats(spark.createDataFrame(docs, "doc_id string, text string")).select(*COLUMNS).collect()))
+    assert got == plain_cuts(docs)
+
+
+@pytest.mark.parametrize("fan", [1, 2])
+def test_hot_hashes_are_dealt_twice(spark, monkeypatch, fan):
+    """A passage that most groups hold, whole and at its ends, goes through deals and comes out the same."""
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    docs = []
+    for i in range(150):
+        pad = lambda: "".join(rng.choice("klmnop ") for _ in range(rng.randrange(0, 150)))
+        docs.append((i, pad() + passage[rng.randrange(0, 40) : 400 - rng.randrange(0, 40)] + pad()))
+    got = sorted(map(tuple, remove_repeats(frame(spark, docs)).select(*COLUMNS).collect()))
+    assert got == plain_cuts(docs)
+
+
+def test_wide_codes_hold_bucket_and_hash():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for buckets in (7, 1 << 16, 200_000):
+        code = suffix_dedup._codes(h, buckets)
+        assert int((code >> suffix_dedup._shift(buckets)).max()) < buckets and len(set(code.tolist())) == 1000
+
+
 def test_pieces_of_long_texts(monkeypatch):
     rng = random.Random(9)
     text = bytes(rng.randrange(256) for _ in range(3000)) * 2

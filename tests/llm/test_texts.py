@@ -72,6 +72,18 @@ def test_viterbi_equals_plain_dynamic_programming():
         at += length
 
 
+def test_labels_of_more_than_256_languages():
+    scores = np.zeros((5, 300), np.float32)
+    scores[:, 299] = 1
+    assert viterbi(scores, np.zeros(5, int), 1, 2.0).tolist() == [299] * 5
+
+
+def test_unseen_scripts_lower_the_score(spark):
+    model = train_languages(frame(spark, [(1, "some plain words of a language", "en", "s")]))
+    rows = langid.label_texts(["words of it", "Жизнь", "words Жизнь"], model)
+    assert [round(r[1], 2) for r in rows] == [1.0, 0.0, 0.5] and {r[0] for r in rows} == {"en"}
+
+
 def test_nothing_learned_nothing_told(spark):
     model = train_languages(frame(spark, [(1, "abc", None, "s"), (2, None, "en", "s")]))
     rows = detect_languages(frame(spark, [(1, "abc", "en", "s"), (1, "abc", "en", "s"), (None, None, None, None)]), model).collect()
