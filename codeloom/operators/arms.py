@@ -48,12 +48,57 @@ def find_members(routes: DataFrame, files: DataFrame, symbols: DataFrame) -> Dat
     f = files.select(F.col("id").alias("_file"), F.col("path").alias("callee_file"))
     direct = routes.filter("exact").join(f, F.col("to_path") == F.col("callee_file")).select(*ROUTE, "_file", "callee_file")
     ended = resolve.path_suffix_join(routes.filter("not exact"), "to_path", f, "callee_file").select(*ROUTE, "_file", "callee_file")
-    placed = direct.unionByName(ended)
+    found = _members(direct.unionByName(ended), symbols)
+    return found.select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", "match_rank")
+
+
+def _members(placed: DataFrame, symbols: DataFrame, *more: str) -> DataFrame:
+    """``placed`` (_file, wanted, ...) with each symbol of the file that is called so, or whose qualified name ends so."""
     endings = F.array_distinct(F.concat(dotted_suffixes(ascii_lower(F.col("qualified_name"))), F.array(ascii_lower(F.col("name")))))
-    s = symbols.select(F.col("file_id").alias("_owner"), "name", "qualified_name", "start_line", F.explode_outer(endings).alias("_ending"))
+    s = symbols.select(F.col("file_id").alias("_owner"), "name", "qualified_name", "start_line", *more, F.explode_outer(endings).alias("_ending"))
     found = placed.join(s, (F.col("_file") == F.col("_owner")) & (ascii_lower(F.col("wanted")) == F.col("_ending")))
-    exact = (F.col("name") == F.col("wanted")) | (F.col("qualified_name") == F.col("wanted")) | (F.length("qualified_name") > F.length("wanted"))
-    return found.filter(exact).select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", "match_rank")
+    return found.filter((F.col("name") == F.col("wanted")) | (F.col("qualified_name") == F.col("wanted")) | (F.length("qualified_name") > F.length("wanted")))
+
+
+# --- direct imports ----------------------------------------------------------------------
+
+
+def direct_candidates(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Names, aliases and namespace aliases of direct imports; rank 0 by alias, 1 by name, 2 otherwise.
+
+    A call is routed to each file that its own file imports, with the name that is wanted
+    there; files and members are then found by equality, so no call meets a symbol of
+    another name.
+    """
+    own = calls.filter("callee_file is null").select(F.col("id").alias("call_id"), F.col("source_file_id").alias("src"), "callee", F.col("line").alias("call_line"))
+    d = deps.filter("resolved_file is not null").select(
+        F.col("source_file_id").alias("dep_src"), F.col("resolved_file").alias("to_path"), F.col("local_alias").alias("alias"), F.col("imported_symbol").alias("imported"), "kind", "language", "line"
+    )
+    joined = own.join(d, own["src"] == d["dep_src"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    alias, callee, imported = F.col("alias"), F.col("callee"), F.col("imported")
+    go, rust, csharp = (yes(F.col("language") == x) for x in ("go", "rust", "csharp"))
+    dotted = yes(ascii_lower(callee).startswith(F.concat(ascii_lower(alias), F.lit("."))))
+    plain = F.when(go, yes(alias == ".")).when(rust, yes(imported == "*") & (alias.isNull() | (alias == callee))).otherwise(True)
+    renamed = yes(alias == callee) & imported.isNotNull() & ~go & ~(rust & (imported == "*"))
+    through = dotted & ~(go & alias.isin("_", "."))
+    required = ascii_lower(callee).startswith("require.") & yes(F.col("line") == F.col("call_line")) & ~go & ~rust
+    by_name = F.when(csharp & (F.col("kind") == "using_static"), 0).when(csharp & F.col("kind").isin("using", "namespace"), 2).otherwise(1)
+    way = lambda fits, wanted, exact, loose: F.when(fits, F.struct(wanted.alias("wanted"), exact.alias("exact_rank"), F.lit(loose).alias("loose_rank")))
+    ways = F.array(
+        way(plain, callee, by_name, 2), way(renamed, imported, F.lit(0), 0),
+        way(through, F.substr(callee, F.length(alias) + 2), F.lit(0), 0), way(required, F.substr(callee, F.lit(9)), F.lit(0), 0),
+    )
+    routes = joined.select("call_id", "to_path", "line", (go | rust).alias("strict"), go.alias("functions"), F.explode(F.array_compact(ways)).alias("w"))
+    keys = ["call_id", "to_path", "strict", "functions", "wanted", "exact_rank", "loose_rank"]
+    routes = routes.select("call_id", "to_path", "line", "strict", "functions", "w.*").filter("wanted is not null and wanted <> ''").groupBy(*keys).agg(F.min("line").alias("line"))
+    f = files.select(F.col("id").alias("_file"), F.col("path").alias("callee_file"))
+    placed = routes.join(f, F.col("to_path") == F.col("callee_file"))
+    found = _members(placed, symbols.withColumn("_function", F.col("kind") == "function") if "kind" in symbols.columns else symbols.withColumn("_function", F.lit(True)), "_function")
+    same = F.col("name") == F.col("wanted")
+    found = found.filter((~F.col("strict") | same) & (~F.col("functions") | F.col("_function")))
+    rank = F.when(same, F.col("exact_rank")).otherwise(F.col("loose_rank"))
+    return found.select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", rank.alias("match_rank"))
 
 
 # --- Java and C#: files by package and type ------------------------------------------
@@ -347,15 +392,17 @@ def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols:
     Later resolvers only see calls that earlier ones left open; confidences never fall.
     """
     calls = materialize(resolve.reset_calls(calls, files))
-    targets = resolve.imported_targets(calls, deps, files, symbols)
-    direct = materialize(resolve.direct_import_arm(targets))
-    plain = reduce(DataFrame.unionByName, [*java_routes(calls, deps), *csharp_routes(calls, deps, files)])
-    passed = reexport_routes(calls, deps, files)
+    open_calls, members = resolve.representatives(calls)
+    members = materialize(members)
+    direct = materialize(direct_candidates(open_calls, deps, files, symbols))
+    plain = reduce(DataFrame.unionByName, [*java_routes(open_calls, deps), *csharp_routes(open_calls, deps, files)])
+    passed = reexport_routes(open_calls, deps, files)
     plain = reduce(DataFrame.unionByName, [plain, *[r for r, glob in passed if not glob]])
     arms = [direct, find_members(plain, files, symbols), *[unambiguous(find_members(r, files, symbols)) for r, glob in passed if glob]]
     winners = resolve.best_candidates(arms)
-    c_like = calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
-    done = resolve.apply_winners(calls, resolve.drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi")), 0.72)
+    c_like = open_calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
+    winners = resolve.drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi"))
+    done = resolve.apply_winners(calls, resolve.of_members(winners, members), 0.72)
     for resolver, confidence in ((lambda c: include_closure_calls(c, deps, files, symbols), 0.68), (lambda c: go_package_calls(c, deps, files, symbols), 0.72), (lambda c: rust_qualified_calls(c, files, symbols), 0.76), (lambda c: rust_module_calls(c, deps, files, symbols), 0.74)):
         done = materialize(done)
         done = resolve.apply_winners(done, resolver(done), confidence)

@@ -60,11 +60,20 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame, provider: str, model:
     return chunks.join(have, key, "left_anti")
 
 
+#: Leading hex digits of a path's digest that name its bucket: 4,096 buckets.
+_BUCKET_DIGITS = 3
+
+
 def fingerprint(inputs: DataFrame, conditions: list[str]) -> DataFrame:
-    """One row: SHA-256 over the conditions in order and over (path, hash or 'missing') in path order.
+    """One row: SHA-256 over the conditions in order and over (path, hash or 'missing') of all files.
 
-    Rows are hashed where they lie and only digests are gathered, one a file.
+    Files fall into 4,096 buckets by the digest of their path; each is hashed in path
+    order in its own task, and what meets in one row is one digest a bucket, whatever the
+    number of files.
     """
     row = F.sha2(F.concat(F.col("path"), F.lit("\0"), F.coalesce("hash", F.lit("missing"))), 256)
-    rows = inputs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", row.alias("d")))), lambda r: r["d"]), "\0").alias("_rows"))
-    return rows.select(F.sha2(F.concat(F.lit("\0".join(conditions) + "\0"), "_rows"), 256).alias("fingerprint"))
+    rows = inputs.select("path", row.alias("d"), F.substring(F.sha2("path", 256), 1, _BUCKET_DIGITS).alias("bucket"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["d"]), "\0")
+    buckets = rows.groupBy("bucket").agg(F.sha2(joined(F.struct("path", "d")), 256).alias("d"))
+    whole = buckets.agg(joined(F.struct("bucket", "d")).alias("_rows"))
+    return whole.select(F.sha2(F.concat(F.lit("\0".join(conditions) + "\0"), "_rows"), 256).alias("fingerprint"))

@@ -15,11 +15,17 @@ from codeloom.functions.names import ascii_lower
 
 MAX_RANGES = 16
 MAX_TERMS = 16
+#: Seeds of one request; they are broadcast.
+MAX_SEEDS = 10_000
+#: Lines of a bucket in which points and the symbols around them meet.
+BUCKET_LINES = 64
 ESCAPE = "\u0001"
 
 
 def numbered(spark: SparkSession, values: list[str], name: str) -> DataFrame:
-    """(seed_pos, name) of seeds in order; a driver-side list, so its size is known."""
+    """(seed_pos, name) of seeds in order; a list of the caller, of at most MAX_SEEDS."""
+    if len(values) > MAX_SEEDS:
+        raise ValueError(f"{len(values)} seeds; at most {MAX_SEEDS}")
     return spark.createDataFrame(list(enumerate(values)), f"seed_pos int, {name} string")
 
 
@@ -42,7 +48,7 @@ def _literal(s: str) -> str:
 def for_seeds(rows: DataFrame, seeds: DataFrame, key: str, order: list[str | Column], limit: int | None) -> DataFrame:
     """Rows whose ``key`` is a seed, in seed order; rows of repeated seeds repeat."""
     seed = [c for c in seeds.columns if c != "seed_pos"][0]
-    # Seeds come from a list of the caller, a few thousand at most.
+    # ``numbered`` bounds the seeds.
     found = rows.join(F.broadcast(seeds), rows[key] == seeds[seed]).drop(seed)
     return found.orderBy("seed_pos", *order).limit(limit) if limit is not None else found
 
@@ -103,6 +109,20 @@ def outline(symbols: DataFrame, ranges: list[tuple[int, int]] | None = None) ->
     return symbols.filter(overlaps)
 
 
+def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, line, caller): the innermost symbol around each distinct (file_id, line) of ``points``, else '<module>'.
+
+    Lines and symbols meet by file and bucket of lines, so that a line is compared with
+    the symbols near it and not with all of its file; of several the last to begin wins.
+    """
+    at = points.select("file_id", "line").distinct().withColumn("_bucket", F.floor(F.col("line") / BUCKET_LINES))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_LINES)
+    s = symbols.filter("end_line >= start_line").select(F.col("file_id").alias("_file"), "id", "qualified_name", "start_line", "end_line", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))).alias("_of"))
+    inside = at.join(s, (F.col("file_id") == F.col("_file")) & (F.col("_bucket") == F.col("_of")) & (F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")), "left")
+    best = inside.groupBy("file_id", "line").agg(F.max_by("qualified_name", F.struct("start_line", "id")).alias("_q"))
+    return best.select("file_id", "line", F.coalesce("_q", F.lit("<module>")).alias("caller"))
+
+
 def search_terms(terms: list[str]) -> list[str]:
     """Lower-cased, trimmed, at least 3 bytes, sorted, unique, the first 16."""
     clean = {re.sub("[A-Z]", lambda m: m[0].lower(), t).strip() for t in terms}
@@ -125,7 +145,7 @@ def reference_lines(texts: DataFrame, symbol: str) -> DataFrame:
     around the first occurrence; the confidence goes with the kind and is lower in tests.
     """
     word = re.escape(symbol)
-    lines = texts.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    lines = texts.filter(F.contains("text", F.lit(symbol))).select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     at = F.regexp_instr("text", F.lit(rf"\b{word}\b"))
     hit = lines.withColumn("column", at).filter((at > 0) & ~F.col("text").rlike(r"^\s*(//|#|--|\*|/\*)"))
     kind = (

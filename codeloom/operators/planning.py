@@ -76,12 +76,27 @@ def source_mix(parts: DataFrame) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
-    """Islands of (file, start_line, end_line): ranges that overlap or lie within ``gap`` lines become one."""
-    order = W.partitionBy("file").orderBy("start_line", "end_line")
-    upto = F.max("end_line").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = ranges.withColumn("_new", F.when(F.col("start_line") > F.coalesce(upto, F.lit(-1)) + gap, 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy("file", "_island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged")).drop("_island")
+    """Islands of (file, start_line, end_line): ranges that overlap or lie within ``gap`` lines become one.
+
+    Ranges are dealt by (file, start_line), so that a hot file spreads over tasks. A slice
+    takes over the last line that the slices before it reach in the file, and the number
+    of islands that they open; one row for each file and slice carries both.
+    """
+    slices = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ranges.select("file", "start_line", "end_line").repartitionByRange(slices, "file", "start_line", "end_line").withColumn("_slice", F.spark_partition_id())
+    ranged = materialize(ranged)
+    before = W.partitionBy("file").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_slice", "file").orderBy("start_line", "end_line")
+    reach = ranged.groupBy("file", "_slice").agg(F.max("end_line").alias("_max"))
+    reach = reach.select("file", "_slice", F.max("_max").over(before).alias("_ahead"))
+    local = ranged.join(reach, ["file", "_slice"])
+    upto = F.greatest(F.max("end_line").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_ahead"))
+    marked = local.withColumn("_new", F.when(F.col("start_line") > F.coalesce(upto, F.lit(-1)) + gap, 1).otherwise(0))
+    marked = marked.withColumn("_island", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    opened = marked.groupBy("file", "_slice").agg(F.sum("_new").alias("_n"))
+    opened = opened.select("file", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    islands = marked.join(opened, ["file", "_slice"]).groupBy("file", (F.col("_island") + F.col("_offset")).alias("_island"))
+    return islands.agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged")).drop("_island")
 
 
 def trim_ranges(ranges: DataFrame, most_lines: int) -> DataFrame:

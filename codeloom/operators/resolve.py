@@ -53,112 +53,39 @@ def path_suffix_join(left: DataFrame, left_suffix: str, files: DataFrame, path:
     return whole.unionByName(bare).drop("_base", "_whole", "_name")
 
 
-def _candidates(df: DataFrame, rank: int) -> DataFrame:
-    return df.select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", F.lit(rank).alias("match_rank"))
+def unambiguous_globs(globs: DataFrame, names: DataFrame) -> DataFrame:
+    """Glob re-exports that alone offer a name in their file.
 
+    ``globs`` has file and target, ``names`` target and name; gives (file, name, target).
+    """
+    offered = globs.join(names, "target").select("file", "name", "target").distinct()
+    return offered.groupBy("file", "name").agg(F.count("*").alias("_n"), F.min("target").alias("target")).filter("_n = 1").drop("_n")
 
-def imported_targets(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Open calls with the symbols of each file that their own file imports: the base of the direct arms.
 
-    Gives call_id, callee, call_line, alias, imported, kind, language, line, callee_file and the symbol.
-    """
-    open_calls = calls.filter("callee_file is null").select(
-        F.col("id").alias("call_id"), F.col("source_file_id").alias("_src"), "callee", F.col("line").alias("call_line")
-    )
-    d = deps.filter("resolved_file is not null").select(
-        F.col("source_file_id").alias("_dep_src"), "resolved_file", F.col("local_alias").alias("alias"), F.col("imported_symbol").alias("imported"), "kind", "language", "line"
-    )
-    f = files.select(F.col("id").alias("_file"), F.col("path").alias("callee_file"))
-    s = symbols.select(F.col("file_id").alias("_sym_file"), "name", "qualified_name", F.col("kind").alias("symbol_kind"), "start_line")
-    exports = d.join(f, F.col("resolved_file") == F.col("callee_file")).join(s, F.col("_file") == F.col("_sym_file"))
-    return open_calls.join(exports, F.col("_src") == F.col("_dep_src")).drop("_src", "_dep_src", "_file", "_sym_file", "resolved_file")
-
-
-def _named(member):
-    """The symbol is called ``member``, or its qualified name ends with it."""
-    m = ascii_lower(member)
-    return (F.col("name") == member) | (F.col("qualified_name") == member) | ascii_lower(F.col("qualified_name")).endswith(F.concat(F.lit("."), m))
-
-
-def direct_import_arm(targets: DataFrame) -> DataFrame:
-    """Names, aliases and namespace aliases of direct imports; rank 0 by alias, 1 by name, 2 otherwise."""
-    alias, callee, imported = F.col("alias"), F.col("callee"), F.col("imported")
-    dotted = alias.isNotNull() & ascii_lower(callee).startswith(F.concat(ascii_lower(alias), F.lit(".")))
-    tail = F.substr(callee, F.length(alias) + 2)
-    through = dotted & _named(tail)
-    renamed = (alias == callee) & imported.isNotNull() & _named(imported)
-    required = ascii_lower(callee).startswith("require.") & (F.col("line") == F.col("call_line")) & _named(F.substr(callee, F.lit(9)))
-    plain = _named(callee)
-    go = (F.col("symbol_kind") == "function") & (
-        ((alias == ".") & (F.col("name") == callee)) | (~alias.isin("_", ".") & dotted & (F.col("name") == tail))
-    )
-    rust = (
-        ((imported == "*") & alias.isNull() & (F.col("name") == callee))
-        | ((alias == callee) & (F.col("name") == F.when(imported == "*", alias).otherwise(imported)))
-        | (dotted & (F.col("name") == tail))
-    )
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    fits = yes(plain) | yes(renamed) | yes(through) | yes(required)
-    by_language = F.when(F.col("language") == "go", yes(go)).when(F.col("language") == "rust", yes(rust)).otherwise(True)
-    csharp = F.col("language") == "csharp"
-    exact = F.col("name") == callee
-    rank = (
-        F.when(yes(renamed) | yes(through) | yes(required) | (csharp & (F.col("kind") == "using_static") & exact), 0)
-        .when(csharp & F.col("kind").isin("using", "namespace") & exact, 2)
-        .when(exact, 1)
-        .otherwise(2)
-    )
-    found = targets.filter(fits & by_language)
-    return found.select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", rank.alias("match_rank"))
-
-
-#: Edges that pass a name on: Rust and script languages.
-NAMED_REEXPORTS = ("rust_reexport", "export_alias")
-NAMESPACE_REEXPORTS = ("export_namespace",)
-
-
-def reexport_edges(deps: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    return deps.filter(F.col("kind").isin(*kinds) & F.col("resolved_file").isNotNull()).select(
-        F.col("source_file_id").alias("via_id"), F.col("resolved_file").alias("via_target"), F.col("local_alias").alias("via_alias"),
-        F.col("imported_symbol").alias("via_imported"), F.col("line").alias("via_line"),
-    )
+#: What one call must share with another for both to have the same target; C# also looks at the caller, a ``require`` at its line.
+_ALIKE = ("source_file_id", "language", "callee", "_who", "_at")
 
 
-def reexport_hop(state: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Follow a name one file further.
+def representatives(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One open call for all that are alike, and (call_id, rep) of every open call.
 
-    ``state`` has call_id, at (a path) and wanted (a name); the result has them at the
-    file that the name is passed on from, under the name it has there, and the line.
+    A name is usually called many times in a file; arms look for it once.
     """
-    f = files.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
-    moved = state.drop("line").join(f, F.col("at") == F.col("_path")).join(edges, (F.col("_id") == F.col("via_id")) & (F.col("wanted") == F.coalesce("via_alias", "via_imported")))
-    wanted = F.when(F.col("via_imported") == "*", F.col("wanted")).otherwise(F.coalesce("via_imported", "wanted"))
-    return moved.select("call_id", F.col("via_target").alias("at"), wanted.alias("wanted"), F.col("via_line").alias("line"))
-
-
-def reexport_arm(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols: DataFrame, hops: int, rank: int) -> DataFrame:
-    """Calls of an imported name that the imported file passes on, ``hops`` files further."""
-    open_calls = calls.filter("callee_file is null").select(F.col("id").alias("call_id"), F.col("source_file_id").alias("_src"), "callee")
-    d = deps.filter("resolved_file is not null and local_alias is not null").select(
-        F.col("source_file_id").alias("_dep"), F.col("resolved_file").alias("at"), F.col("local_alias").alias("_alias"), F.coalesce("imported_symbol", "local_alias").alias("wanted")
-    )
-    state = open_calls.join(d, (F.col("_src") == F.col("_dep")) & (F.col("callee") == F.col("_alias"))).select("call_id", "at", "wanted")
-    edges = reexport_edges(deps, NAMED_REEXPORTS)
-    for _ in range(hops):
-        state = reexport_hop(state, edges, files)
-    f = files.select(F.col("id").alias("_id"), F.col("path").alias("callee_file"))
-    s = symbols.select(F.col("file_id").alias("_file"), "name", "qualified_name", "start_line")
-    found = state.join(f, F.col("at") == F.col("callee_file")).join(s, (F.col("_id") == F.col("_file")) & (F.col("name") == F.col("wanted")))
-    return _candidates(found, rank)
+    own = calls.filter("callee_file is null").select(
+        "id", "source_file_id", "language", "callee", F.when(F.col("language") == "csharp", F.col("caller")).alias("_who"),
+        F.when(ascii_lower(F.col("callee")).startswith("require."), F.col("line")).alias("_at"),
+    )
+    reps = materialize(own.groupBy(*_ALIKE).agg(F.min("id").alias("rep")))
+    r = reps.select(F.col("rep"), *[F.col(c).alias(f"_r_{c}") for c in _ALIKE])
+    alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in _ALIKE])
+    members = own.join(r, alike).select(F.col("id").alias("call_id"), "rep")
+    return reps.select(F.col("rep").alias("id"), "source_file_id", "language", F.col("_who").alias("caller"), "callee", F.lit(None).cast("string").alias("callee_file"), F.col("_at").alias("line")), members
 
 
-def unambiguous_globs(globs: DataFrame, names: DataFrame) -> DataFrame:
-    """Glob re-exports that alone offer a name in their file.
-
-    ``globs`` has file and target, ``names`` target and name; gives (file, name, target).
-    """
-    offered = globs.join(names, "target").select("file", "name", "target").distinct()
-    return offered.groupBy("file", "name").agg(F.count("*").alias("_n"), F.min("target").alias("target")).filter("_n = 1").drop("_n")
+def of_members(winners: DataFrame, members: DataFrame) -> DataFrame:
+    """``winners`` (call_id of a representative, ...) for every call that it stands for."""
+    w = winners.withColumnRenamed("call_id", "_rep")
+    return members.join(w, members["rep"] == w["_rep"]).drop("rep", "_rep")
 
 
 def best_candidates(arms: list[DataFrame]) -> DataFrame:
@@ -168,10 +95,14 @@ def best_candidates(arms: list[DataFrame]) -> DataFrame:
     return united.groupBy("call_id").agg(F.min_by("callee_file", order).alias("callee_file"), F.min("match_rank").alias("match_rank"))
 
 
+def ambiguous_calls(candidates: DataFrame) -> DataFrame:
+    """(call_id, n) of the calls that have candidates in more than one file."""
+    return candidates.groupBy("call_id").agg(F.count_distinct("callee_file").alias("n")).filter("n > 1")
+
+
 def drop_ambiguous(winners: DataFrame, candidates: DataFrame) -> DataFrame:
     """Winners without the calls that have candidates in more than one file."""
-    several = candidates.groupBy("call_id").agg(F.count_distinct("callee_file").alias("_n")).filter("_n > 1")
-    return winners.join(several, "call_id", "left_anti")
+    return winners.join(ambiguous_calls(candidates), "call_id", "left_anti")
 
 
 def unique_targets(candidates: DataFrame, key: str, value: str) -> DataFrame:
@@ -218,11 +149,20 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
 
 
 def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): shortest depth, 1 to ``depth``, at which a node is met."""
+    """(start, node, depth): shortest depth, 1 to ``depth``, at which a node is met.
+
+    Only nodes that no shorter walk has met go on, and each level is written to the
+    shared folder, so a cycle is walked once and plans do not nest.
+    """
     e = edges.select("src", "dst").distinct()
-    frontier, found = starts.select("start", F.col("start").alias("node")), None
+    frontier, found = starts.select("start", F.col("start").alias("node")).distinct(), None
     for d in range(1, depth + 1):
-        frontier = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+        step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+        if found is not None:
+            step = step.join(found, ["start", "node"], "left_anti")
+        frontier = materialize(step)
         level = frontier.withColumn("depth", F.lit(d))
         found = level if found is None else found.unionByName(level)
-    return found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        if d < depth and frontier.isEmpty():
+            break
+    return found

@@ -91,14 +91,14 @@ def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("cust/"), F.col("c_custkey").cast("string"))
     first = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("src"), name.alias("dst"))
     second = o.select(F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")).alias("src"), F.col("o_orderpriority").alias("dst"))
-    third = o.filter("o_custkey % 50 = 0").select("o_orderpriority", "o_custkey").distinct()
+    third = o.select("o_orderpriority", "o_custkey").distinct()
     third = third.join(c, third["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("o_orderpriority").alias("src"), F.col("n_name").alias("dst"))
     return first.unionByName(second).unionByName(third).distinct()
 
 
 WALK_EDGES = """edges AS (SELECT n_name AS src, 'cust/' || c_custkey AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
  UNION SELECT 'cust/' || o_custkey, o_orderpriority FROM orders
- UNION SELECT o_orderpriority, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_custkey % 50 = 0)"""
+ UNION SELECT o_orderpriority, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def chunk_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

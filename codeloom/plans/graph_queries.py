@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import path_role
-from codeloom.operators import graph, lookup, overview, resolve
+from codeloom.operators import arms, graph, lookup, overview, resolve
 from codeloom.plans import bindings as b
 from codeloom.plans.registry import query
 
@@ -140,11 +140,11 @@ def path_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {b.SYMBOLS} SELECT id, name, qualified_name, kind, CASE WHEN name = 'part_1' OR qualified_name = 'part_1' THEN 0 WHEN name ILIKE 'part_1%' THEN 1 ELSE 2 END AS match_rank
- FROM symbols WHERE name ILIKE '%part_1%' OR qualified_name ILIKE '%part_1%' ORDER BY match_rank, length(qualified_name), qualified_name, id LIMIT 20"""
+    f"""WITH {b.SYMBOLS} SELECT id, name, qualified_name, kind, CASE WHEN name = 'r_d' OR qualified_name = 'r_d' THEN 0 WHEN name ILIKE 'r_d%' THEN 1 ELSE 2 END AS match_rank
+ FROM symbols WHERE name ILIKE '%r_d%' OR qualified_name ILIKE '%r_d%' ORDER BY match_rank, length(qualified_name), qualified_name, id LIMIT 5000"""
 )
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.symbol_search(b.symbols(spark, sf), "part_1", 20).select("id", "name", "qualified_name", "kind", "match_rank")
+    return lookup.symbol_search(b.symbols(spark, sf), "r_d", 5000).select("id", "name", "qualified_name", "kind", "match_rank")
 
 
 @query(
@@ -209,31 +209,41 @@ def callees(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.callees(b.calls(spark, sf), "user.7").select("id", "caller", "callee", "file", "line")
 
 
-@query(
-    """WITH l AS (SELECT source || '/doc_' || doc_id AS path, unnest(range(0, len(string_split(text, chr(10))))) AS pos, string_split(text, chr(10)) AS ls FROM documents),
- h AS (SELECT path, pos + 1 AS line, ls[pos + 1] AS text FROM l WHERE regexp_matches(ls[pos + 1], '(^|[^a-zA-Z0-9_])the([^a-zA-Z0-9_]|$)'))
- SELECT path, CAST(line AS BIGINT) AS line, text FROM h"""
-)
+def _reference_sql(symbol: str) -> str:
+    """DuckDB text of reference lines of a symbol that needs no escapes."""
+    edge, rest = "(^|[^a-zA-Z0-9_])", "([^a-zA-Z0-9_]|$)"
+    has = lambda p: f"regexp_matches(text, '{p}')"
+    return f"""l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM (SELECT source || '/doc_' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents)),
+ k AS (SELECT path, CAST(line AS BIGINT) AS line, CAST(length(regexp_extract(text, '^(.*?{edge}){symbol}{rest}', 1)) + 1 AS BIGINT) AS "column",
+  CASE WHEN {has('^[ 	]*(import|from|use|using|require|include|#include)' + rest)} THEN 'import'
+   WHEN {has(edge + '(def|fn|func|function|class|struct|interface|trait|enum|type)[ 	]+' + symbol + rest)} THEN 'definition'
+   WHEN {has(edge + '(extends|implements)' + rest + '.*' + symbol + rest)} THEN 'inheritance'
+   WHEN {has(edge + symbol + '[ 	]*[(]')} THEN 'call' WHEN {has(edge + symbol + '[ 	]*=[^=]')} THEN 'assignment' ELSE 'read' END AS kind, text
+  FROM l WHERE {has(edge + symbol + rest)} AND NOT {has('^[ 	]*(//|#|--|[*]|/[*])')}),
+ r AS (SELECT path, line, "column", kind, CAST(round(CASE kind WHEN 'definition' THEN 0.95 WHEN 'import' THEN 0.9 WHEN 'call' THEN 0.85 WHEN 'inheritance' THEN 0.85 WHEN 'assignment' THEN 0.7 ELSE 0.5 END
+  - CASE WHEN regexp_matches(lower(path), '(^|/)tests?/|_tests?[.]|[.](test|spec)[.]') THEN 0.2 ELSE 0 END, 2) AS DOUBLE) AS confidence, text FROM k)"""
+
+
+@query(f"WITH {_reference_sql('the')} SELECT path, line, kind, text FROM r")
 def references_scan(spark: SparkSession, sf: str) -> DataFrame:
     d = b.table(spark, sf, "documents")
     texts = d.select(F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("path"), "text")
-    lines = texts.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    return lines.filter(F.col("text").rlike(r"(^|[^a-zA-Z0-9_])the([^a-zA-Z0-9_]|$)")).select("path", (F.col("pos") + 1).cast("long").alias("line"), "text")
+    return lookup.reference_lines(texts, "the").select("path", "line", "kind", "text")
 
 
-@query()
+@query(f"WITH {_reference_sql('the')} SELECT path, line, \"column\", kind, confidence, text FROM r WHERE kind <> 'definition' ORDER BY confidence DESC, path, line LIMIT 100")
 def references_ranked(spark: SparkSession, sf: str) -> DataFrame:
     d = b.table(spark, sf, "documents")
     return lookup.find_references(d.select(F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("path"), "text"), "the")
 
 
 @query(
-    f"""WITH {b.SYMBOLS}, keys AS (SELECT DISTINCT 'part ' || p_size AS k FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 10 = 0)
+    f"""WITH {b.SYMBOLS}, keys AS (SELECT DISTINCT 'part ' || p_size AS k FROM part UNION SELECT DISTINCT p_name FROM part)
  SELECT k AS key, id, qualified_name FROM symbols JOIN keys ON qualified_name = k OR ends_with(lower(qualified_name), '.' || lower(k))"""
 )
 def suffix_join(spark: SparkSession, sf: str) -> DataFrame:
     p = b.table(spark, sf, "part")
-    keys = p.select(F.concat(F.lit("part "), F.col("p_size").cast("string")).alias("key")).union(p.filter("p_partkey % 10 = 0").select("p_name")).distinct()
+    keys = p.select(F.concat(F.lit("part "), F.col("p_size").cast("string")).alias("key")).union(p.select("p_name")).distinct()
     return resolve.suffix_join(keys, "key", b.symbols(spark, sf), "qualified_name").select("key", "id", "qualified_name")
 
 
@@ -270,7 +280,7 @@ def _resolve_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     kinds = ("view", "signup", "purchase", "error", "click")
     calls = e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("source_file_id"), pick(kinds, F.col("event_id") % 5).alias("callee"),
-        F.when(F.col("event_id") % 3 == 0, "file/0").alias("callee_file"), F.lit("python").alias("language"), F.lit(0).cast("long").alias("line"), F.lit(0.55).alias("confidence"),
+        F.when(F.col("event_id") % 3 == 0, "file/0").alias("callee_file"), F.lit("python").alias("language"), F.lit("f").alias("caller"), F.lit(0).cast("long").alias("line"), F.lit(0.55).alias("confidence"),
     )
     deps = line.select(
         (F.col("l_orderkey") % 50).alias("source_file_id"), F.concat(F.lit("file/"), (F.col("l_partkey") % 20).cast("string")).alias("resolved_file"), F.col("l_linenumber").cast("long").alias("line")
@@ -290,14 +300,20 @@ def _resolve_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
  ORDER BY match_rank, length(qualified_name), dependency_line, start_line, callee_file) AS r FROM cand) WHERE r = 1"""
 )
 def resolve_calls_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    found = resolve.direct_import_arm(resolve.imported_targets(*_resolve_inputs(spark, sf)))
-    return resolve.best_candidates([found]).select("call_id", "callee_file")
+    candidates, members = _direct(spark, sf)
+    return resolve.of_members(resolve.best_candidates([candidates]), members).select("call_id", "callee_file")
+
+
+def _direct(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    calls, deps, files, symbols = _resolve_inputs(spark, sf)
+    reps, members = resolve.representatives(calls)
+    return arms.direct_candidates(reps, deps, files, symbols), members
 
 
 @query(f"WITH {_RESOLVE_BASE} SELECT call_id, count(DISTINCT callee_file) AS n FROM cand GROUP BY 1 HAVING count(DISTINCT callee_file) > 1")
 def ambiguous_targets(spark: SparkSession, sf: str) -> DataFrame:
-    found = resolve.direct_import_arm(resolve.imported_targets(*_resolve_inputs(spark, sf)))
-    return found.groupBy("call_id").agg(F.count_distinct("callee_file").alias("n")).filter("n > 1")
+    candidates, members = _direct(spark, sf)
+    return resolve.of_members(resolve.ambiguous_calls(candidates), members).select("call_id", "n")
 
 
 @query(f"WITH {b.DEPENDENCIES} SELECT source_file, min(resolved_file) AS resolved_file FROM deps WHERE resolved_file IS NOT NULL GROUP BY 1 HAVING count(DISTINCT resolved_file) = 1")
@@ -309,16 +325,20 @@ _HOP = """c AS (SELECT event_id AS call_id, user_id % 40 AS src, 'n' || (event_i
  d AS (SELECT DISTINCT l_orderkey % 40 AS src, 'f' || (l_partkey % 15) AS target, 'n' || (l_partkey % 9) AS alias FROM lineitem),
  r AS (SELECT p_partkey % 15 AS id, 'f' || (p_partkey * 7 % 15) AS target, 'n' || (p_partkey % 9) AS alias, 'n' || (p_partkey * 4 % 9) AS imported, CAST(p_size AS BIGINT) AS line FROM part),
  s AS (SELECT s_suppkey % 15 AS file_id, 'n' || (s_suppkey % 9) AS name, 'q.n' || (s_suppkey % 9) AS qualified_name, CAST(s_suppkey AS BIGINT) AS start_line FROM supplier),
- h0 AS (SELECT call_id, target AS place, alias AS wanted FROM c JOIN d ON c.src = d.src AND c.callee = d.alias),
- h1 AS (SELECT call_id, r.target AS place, r.imported AS wanted, line FROM h0 JOIN r ON h0.place = 'f' || r.id AND h0.wanted = r.alias),
- h2 AS (SELECT call_id, r.target AS place, r.imported AS wanted, r.line FROM h1 JOIN r ON h1.place = 'f' || r.id AND h1.wanted = r.alias)"""
+ k AS (SELECT DISTINCT src, callee FROM c),
+ h0 AS (SELECT DISTINCT k.src, callee, target AS place, callee AS wanted FROM k JOIN d ON k.src = d.src),
+ h1 AS (SELECT DISTINCT src, callee, r.target AS place, r.imported AS wanted FROM h0 JOIN r ON h0.place = 'f' || r.id AND h0.wanted = r.alias),
+ h2 AS (SELECT DISTINCT src, callee, r.target AS place, r.imported AS wanted FROM h1 JOIN r ON h1.place = 'f' || r.id AND h1.wanted = r.alias)"""
 
 
 def _hop_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     e, line, part, sup = (b.table(spark, sf, t) for t in ("events", "lineitem", "part", "supplier"))
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     null = F.lit(None).cast("string")
-    calls = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("source_file_id"), text("n", F.col("event_id") % 9).alias("callee"), null.alias("callee_file"))
+    calls = e.select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("source_file_id"), text("n", F.col("event_id") % 9).alias("callee"), null.alias("callee_file"),
+        F.lit("typescript").alias("language"), F.lit("f").alias("caller"), F.lit(1).cast("long").alias("line"),
+    )
     imports = line.select(
         (F.col("l_orderkey") % 40 + 100).alias("source_file_id"), text("f", F.col("l_partkey") % 15).alias("resolved_file"), text("n", F.col("l_partkey") % 9).alias("local_alias"),
         null.alias("imported_symbol"), F.lit("import").alias("kind"), F.lit(1).cast("long").alias("line"),
@@ -334,29 +354,40 @@ def _hop_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _hop_sql(state: str, rank: int) -> str:
-    return f"""WITH {_HOP}, cand AS (SELECT call_id, place AS callee_file, qualified_name, line, start_line FROM {state} JOIN s ON place = 'f' || file_id AND name = wanted)
- SELECT call_id, callee_file, CAST({rank} AS INTEGER) AS match_rank FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY length(qualified_name), line, start_line, callee_file) AS r FROM cand) WHERE r = 1"""
+    return f"""WITH {_HOP}, cand AS (SELECT src, callee, place AS callee_file, qualified_name, start_line FROM {state} JOIN s ON place = 'f' || file_id AND name = wanted),
+ best AS (SELECT src, callee, callee_file FROM (SELECT *, row_number() OVER (PARTITION BY src, callee ORDER BY length(qualified_name), start_line, callee_file) AS r FROM cand) WHERE r = 1)
+ SELECT call_id, callee_file, CAST({rank} AS INTEGER) AS match_rank FROM c JOIN best USING (src, callee)"""
+
+
+def _hops(spark: SparkSession, sf: str, rank: int) -> DataFrame:
+    """Calls resolved by the routes of re-exports that have ``rank``."""
+    calls, deps, files, symbols = _hop_inputs(spark, sf)
+    deps = deps.withColumn("language", F.lit("typescript"))
+    reps, members = resolve.representatives(calls)
+    one, _, two, *_ = arms.reexport_routes(reps, deps, files)
+    found = arms.find_members((one if rank == -1 else two)[0], files, symbols)
+    return resolve.of_members(resolve.best_candidates([found]), members)
 
 
 @query(_hop_sql("h1", -1))
 def reexport_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.best_candidates([resolve.reexport_arm(*_hop_inputs(spark, sf), 1, -1)])
+    return _hops(spark, sf, -1)
 
 
 @query(_hop_sql("h2", -2))
 def reexport_two_hop(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.best_candidates([resolve.reexport_arm(*_hop_inputs(spark, sf), 2, -2)])
+    return _hops(spark, sf, -2)
 
 
 @query(
-    """WITH g AS (SELECT DISTINCT 'order/' || l_orderkey AS file, CAST(l_suppkey AS VARCHAR) AS target FROM lineitem WHERE l_orderkey % 5 = 0),
- n AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS target, 'name' || (l_partkey % 97) AS name FROM lineitem WHERE l_linenumber = 1)
+    """WITH g AS (SELECT DISTINCT 'order/' || l_orderkey AS file, CAST(l_suppkey AS VARCHAR) AS target FROM lineitem),
+ n AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS target, 'name' || (l_partkey % 97) AS name FROM lineitem)
  SELECT g.file, n.name, min(g.target) AS target FROM g JOIN n ON g.target = n.target GROUP BY 1, 2 HAVING count(DISTINCT g.target) = 1"""
 )
 def glob_conflict_anti(spark: SparkSession, sf: str) -> DataFrame:
     line = b.table(spark, sf, "lineitem")
-    globs = line.filter("l_orderkey % 5 = 0").select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_suppkey").cast("string").alias("target")).distinct()
-    names = line.filter("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("target"), F.concat(F.lit("name"), (F.col("l_partkey") % 97).cast("string")).alias("name")).distinct()
+    globs = line.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_suppkey").cast("string").alias("target")).distinct()
+    names = line.select(F.col("l_suppkey").cast("string").alias("target"), F.concat(F.lit("name"), (F.col("l_partkey") % 97).cast("string")).alias("name")).distinct()
     return resolve.unambiguous_globs(globs, names)
 
 
@@ -384,9 +415,6 @@ def walk_depth(spark: SparkSession, sf: str) -> DataFrame:
  SELECT c.event_id, c.line, coalesce(qualified_name, '<module>') AS caller FROM c LEFT JOIN m ON c.event_id = m.event_id AND r = 1"""
 )
 def caller_of_line(spark: SparkSession, sf: str) -> DataFrame:
-    """Innermost symbol around a line: an equi-join on the file, the interval as a residual, one row a call."""
-    c = b.table(spark, sf, "events").select("event_id", (F.col("user_id") % 200).alias("_file"), F.minute("ts").cast("long").alias("line"))
-    s = b.symbols(spark, sf)
-    inside = c.join(s, (c["_file"] == s["file_id"]) & (s["start_line"] <= c["line"]) & (c["line"] <= s["end_line"]), "left")
-    best = inside.groupBy("event_id", "line").agg(F.max_by("qualified_name", F.struct("start_line", "id")).alias("_q"))
-    return best.select("event_id", "line", F.coalesce("_q", F.lit("<module>")).alias("caller"))
+    """The innermost symbol around the line of each event, found once for each file and line."""
+    c = b.table(spark, sf, "events").select("event_id", (F.col("user_id") % 200).alias("file_id"), F.minute("ts").cast("long").alias("line"))
+    return c.join(lookup.enclosing(c, b.symbols(spark, sf)), ["file_id", "line"]).select("event_id", "line", "caller")

@@ -65,7 +65,8 @@ def vector_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {b.FILES} SELECT sha256('import' || chr(0) || 'node' || chr(0) || string_agg(sha256(path || chr(0) || coalesce(CASE WHEN id % 9 <> 0 THEN hash END, 'missing')), chr(0) ORDER BY path)) AS fingerprint FROM files WHERE chr(0) IS NOT NULL"""
+    f"""WITH {b.FILES}, r AS (SELECT path, sha256(path || chr(0) || coalesce(CASE WHEN id % 9 <> 0 THEN hash END, 'missing')) AS d, substr(sha256(path), 1, 3) AS bucket FROM files),
+ k AS (SELECT bucket, sha256(string_agg(d, chr(0) ORDER BY path)) AS d FROM r GROUP BY 1) SELECT sha256('import' || chr(0) || 'node' || chr(0) || string_agg(d, chr(0) ORDER BY bucket)) AS fingerprint FROM k"""
 )
 def resolution_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     f = b.files(spark, sf).select("path", F.when(F.col("id") % 9 != 0, F.col("hash")).alias("hash"))
@@ -165,7 +166,10 @@ def first_words(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.regexp_extract("text", "([a-z]+)", 1).alias("word"), F.instr(F.lower("text"), "the").cast("long").alias("at"))
 
 
-@query()
+@query(
+    f"""WITH {b.CHUNKS}, w AS (SELECT unnest(['find', 'thing', 'routing', 'route', 'router', 'routes']) AS word) SELECT file, start_line FROM chunks
+ WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(text), word)) ORDER BY file, start_line LIMIT 100"""
+)
 def task_terms_found(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that any term of a task occurs in."""
     from codeloom.api import task_terms
