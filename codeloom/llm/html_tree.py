@@ -1,12 +1,19 @@
 """Main text of web pages by a site style tree.
 
-Pages are cut into leaf blocks, each with the path of elements around it. Pages of
-a host are merged into one tree: a node is a path of styled elements, and it counts
-the pages it occurs on and how often each text under it occurs. A node that says
-the same everywhere (low content entropy) is boilerplate of the site; its blocks are
-removed from each page. Presentation entropy does not weigh in, and importance is not
-composed from children to branches. What an element is for (menu, header, form and so on) weighs in as well, since a
-site of one page has no entropy to go by.
+The elements of a host's pages are merged into one tree: a node is a chain of styled
+elements (tag and classes), its leaves are runs of text. A node counts the pages that
+have it, the presentations (sequences of children) it has on them, and on how many of
+them each text of a leaf occurs. Importance goes from the leaves up:
+
+- a leaf with m pages: 1 less the mean over its texts of log(pages with it) / log(m), so 0
+  where every page says the same and 1 where no text occurs twice;
+- a branch: its presentation entropy to base m and the importance of its children, which
+  weigh by their characters. Of l presentations, GAMMA ** (l - 1) is the children's share.
+
+Branches of low importance are taken out of each page with all that is below them; the
+branch that holds most of what a page says for itself is never taken out. What markup
+declares comes first: menus, footers, forms and the like are no article by what they are,
+and where a page has article or main elements, they are its article.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BROADCAST_ROWS, materialize
+from codeloom.llm.common import bounded_join, materialize
 from codeloom.llm.url_reputation import url_host
 
 # Elements of the HTML standard by what they do to text.
@@ -41,18 +48,27 @@ CLOSES = {
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-#: Words of class, id and role values that name a service area, matched as whole words.
+#: Roles and names of areas that are not the article. A class or id names an area by its
+#: last part ("site-footer" but not "has-sidebar", "tags-news" or "with-comments").
 SERVICE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
     "header masthead menu nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted recommended related replies "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets modal complementary contentinfo "
     "alert disclaimer paywall gdpr login teaser outbrain taboola feedback reply".split()
 )
+#: First parts of names that tell a state and not an area.
+STATES = frozenset("has with no is not without show hide hidden".split())
 ROOTS = ("article", "main")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPLIT_WORDS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+#: Levels of the tree; deeper elements count as the one at this depth.
+DEPTH = 64
+#: Share of the children in a branch's importance, to the power of its presentations less one.
+GAMMA = 0.9
+#: Declared by a name only, and by an element, a role or being hidden.
+NAMED, DECLARED = 1, 2
 SPACE = re.compile(r"\s+")
 
 
@@ -62,66 +78,86 @@ class Block:
 
     path: str
     text: str
-    service: bool
+    service: int  # NAMED, DECLARED or 0
     root: int  # number of the article or main element around it, -1 outside
-    links: int  # characters inside links
 
 
 @dataclass
 class _Open:
     tag: str
     path: str
-    service: bool
+    service: int
     root: int
+    depth: int = 0
+    children: list[str] = field(default_factory=list)  # styles, runs of equal ones once
 
+    def child(self, style: str) -> None:
+        if not self.children or self.children[-1] != style:
+            self.children.append(style)
 
-def _style(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its class words, and whether it names a service area."""
-    service, style = tag in SERVICE, tag
+
+def _names_area(value: str) -> bool:
+    for token in value.split():
+        parts = [w.lower() for w in SPLIT_WORDS.split(token) if w]
+        if parts and parts[-1] in SERVICE_WORDS and parts[0] not in STATES:
+            return True
+    return False
+
+
+def _style(tag: str, attributes: str) -> tuple[str, int]:
+    """Tag with its classes, and whether it declares an area that is not the article."""
+    service, style = DECLARED * (tag in SERVICE), tag
     if "=" not in attributes and "hidden" not in attributes:
         return style, service
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "class":
-            style = f"{tag}.{'.'.join(sorted(value.split()))}"
-        if name in ("class", "id", "role") and tag not in ("html", "body"):
-            service |= any(w.lower() in SERVICE_WORDS for w in SPLIT_WORDS.split(value))
+            style = f"{tag}.{'.'.join(sorted(value.split()))}".replace("/", "|")
+        if name in ("class", "id") and tag not in ("html", "body"):
+            service = max(service, NAMED * _names_area(value))
+        elif name == "role" and value.lower() in SERVICE_WORDS:
+            service = DECLARED
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            service = True
+            service = DECLARED
     return style, service
 
 
 @dataclass
 class _Parser:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", "", False, -1)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", "", 0, -1)])
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     roots: int = 0
     inline: list[str] = field(default_factory=list)
-    links: int = 0
     hide: int = 0  # open inline service elements
+    styles: dict[str, set[str]] = field(default_factory=dict)  # presentations of each node
 
     def flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", htmllib.unescape("".join(self.parts))).strip()
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(top.path, text, top.service, top.root, min(self.links, len(text))))
+                top.child("#")
+                self.blocks.append(Block(top.path + "/#", text, top.service, top.root))
             self.parts = []
-        self.links = 0
 
     def add(self, text: str) -> None:
         if not self.hide:
             self.parts.append(text)
-            if "a" in self.inline:
-                self.links += len(text)
+
+    def close(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        for node in self.stack[at:]:
+            if node.path:
+                self.styles.setdefault(node.path, set()).add("/".join(node.children))
+        del self.stack[at:]
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.add(" ")
             return
         if tag in INLINE:
-            service = _style(tag, attributes)[1] if attributes else False
+            service = bool(_style(tag, attributes)[1]) if attributes else False
             self.inline.append(tag + "!" * service)
             self.hide += service
             return
@@ -133,20 +169,26 @@ class _Parser:
             self.close_group(shut)
         top = self.stack[-1]
         style, service = _style(tag, attributes)
-        service |= top.service
+        service = max(service, top.service)
         # A header of the page is a service area; the header of an article holds its title.
-        service |= tag == "header" and top.root < 0
+        if tag == "header" and top.root < 0:
+            service = DECLARED
         root = top.root
-        if tag in ROOTS and (root < 0 or tag == "article") and not service:
-            root, self.roots = self.roots, self.roots + 1
-        self.stack.append(_Open(tag, f"{top.path}/{style}", service, root))
+        if tag in ROOTS and (root < 0 or tag == "article"):
+            if service == NAMED and not self.roots:
+                service = 0  # a name does not hide the first article of a page
+            if not service:
+                root, self.roots = self.roots, self.roots + 1
+        top.child(style)
+        deep = top.depth >= DEPTH
+        self.stack.append(_Open(tag, top.path if deep else f"{top.path}/{style}", service, root, top.depth + 1))
 
     def close_group(self, shut: frozenset) -> None:
         """Close open elements of ``shut`` above the nearest list, table or other container."""
         at = len(self.stack) - 1
         while at > 0 and self.stack[at].tag in shut:
             at -= 1
-        del self.stack[at + 1 :]
+        self.close(at + 1)
 
     def end(self, tag: str) -> None:
         if tag in INLINE:
@@ -160,18 +202,18 @@ class _Parser:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 self.flush()
-                del self.stack[i:]
+                self.close(i)
                 self.inline, self.hide = [], 0
                 return
         if tag == "p":
             self.flush()
 
 
-def parse_blocks(html: str | None) -> list[Block]:
-    """Blocks of text of a page in page order, scripts and comments left out."""
+def parse_page(html: str | None) -> tuple[list[Block], dict[str, set[str]]]:
+    """Blocks of text of a page in page order, scripts and comments left out, and the presentations of its elements."""
     p, at = _Parser(), 0
     if not html:
-        return []
+        return [], {}
     while m := TOKEN.search(html, at):
         if m.start() > at:
             p.add(html[at : m.start()])
@@ -190,66 +232,113 @@ def parse_blocks(html: str | None) -> list[Block]:
             p.start(tag, m[3])
     p.add(html[at:])
     p.flush()
-    return p.blocks
+    p.close(0)
+    return p.blocks, p.styles
+
+
+def parse_blocks(html: str | None) -> list[Block]:
+    return parse_page(html)[0]
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+_NODES = "host string, path string, is_text boolean, content long, pages long, chars long"
 
 
 def node_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, digest of text, pages) of every batch: the batch's own merged trees."""
+    """Nodes of the merged trees of every batch: pages and characters of each presentation, pages of each text."""
     for batch in batches:
-        seen: dict[tuple, int] = {}
+        pages: dict[tuple, int] = {}
+        chars: dict[tuple, int] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for key in {(host, b.path, xxhash.xxh64_intdigest(b.text) - (1 << 63)) for b in parse_blocks(page)}:
-                seen[key] = seen.get(key, 0) + 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
-            names=["host", "path", "content", "pages"],
-        )
+            blocks, styles = parse_page(page)
+            keys = {(host, path, False, _digest("\n".join(sorted(of)))) for path, of in styles.items()}
+            for b in blocks:
+                leaf = (host, b.path, False, 0)
+                chars[leaf] = chars.get(leaf, 0) + len(b.text)
+                keys.add(leaf)
+                keys.add((host, b.path, True, _digest(b.text)))
+            for key in keys:
+                pages[key] = pages.get(key, 0) + 1
+        keys = list(pages)
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+        columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)]
+        columns += [pa.array([pages[k] for k in keys], pa.int64()), pa.array([chars.get(k, 0) for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "is_text", "content", "pages", "chars"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, n): importance of each node of each host's style tree.
+    """(host, path, n, mass, presentation, importance) of each node of each host's style tree.
 
-    Content entropy is over the texts of a node, presentation entropy over whether a
-    page of the host has the node. Nodes seen on fewer than two pages tell nothing
-    and are left out.
+    ``n`` pages have the node and ``mass`` characters are below it. Levels of the tree are
+    composed from the deepest one up, one job a level and at most DEPTH + 1 of them; no
+    tree is gathered in one task.
     """
     kept = pages.select(url_host(F.col("url")).alias("host"), "html")
-    texts = kept.mapInArrow(node_statistics, "host string, path string, content long, pages long")
-    texts = texts.groupBy("host", "path", "content").agg(F.sum("pages").alias("pages"))
-    nodes = texts.groupBy("host", "path").agg(
-        F.sum("pages").alias("n"), F.sum(F.col("pages") * F.log2("pages")).alias("nlogn"), F.max("pages").alias("most")
-    )
-    nodes = nodes.filter("n > 1 and most > 1")
-    hosts = kept.groupBy("host").agg(F.count("*").alias("of"))
-    entropy = F.log2("n") - F.col("nlogn") / F.col("n")
-    share = F.least(F.lit(1.0), F.col("n") / F.col("of"))
-    presentation = F.when(share >= 1, 0.0).otherwise(-(share * F.log2(share) + (1 - share) * F.log2(1 - share)))
-    joined = nodes.join(hosts, nodes["host"].eqNullSafe(hosts["host"])).select(nodes["host"], "path", "n", entropy.alias("content"), presentation.alias("presentation"))
-    return joined.withColumn("importance", F.col("content") / F.log2("n"))
-
-
-def choose_text(blocks: list[Block], importance: dict[str, float], least: float) -> str:
-    """Blocks that are neither service areas nor unimportant nodes of the site."""
-    kept = [b for b in blocks if not b.service]
-    lengths: dict[int, int] = {}
-    for b in kept:
-        if b.root >= 0:
-            lengths[b.root] = lengths.get(b.root, 0) + len(b.text)
-    if lengths:
-        # The article element wins over what lies around it; of several, the longest and its like.
-        most = max(lengths.values())
-        roots = {r for r, n in lengths.items() if n * 3 >= most}
-        kept = [b for b in kept if b.root in roots]
-    else:
-        kept = [b for b in kept if b.links * 2 <= len(b.text) or len(b.text) > 200]
-        kept = [b for b in kept if importance.get(b.path, 1.0) >= least]
-        return "\n\n".join(b.text for b in kept)
-    # Inside an article only nodes that say the same on all pages are the site's own, unless
-    # that would be most of it: then the site repeats the article, not its furniture.
-    own = [b for b in kept if importance.get(b.path, 1.0) > 0.0]
-    if 2 * sum(len(b.text) for b in own) >= sum(len(b.text) for b in kept):
-        kept = own
+    seen = kept.mapInArrow(node_statistics, _NODES).groupBy("host", "path", "is_text", "content").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    node, text, n = ~F.col("is_text"), F.col("is_text"), F.col("pages")
+    nodes = seen.groupBy("host", "path").agg(
+        F.sum(F.when(node, n)).alias("n"), F.count_if(node).alias("styles"), F.sum(F.when(node, n * F.log(n))).alias("nlogn"), F.sum(F.when(node, F.col("chars"))).alias("chars"),
+        F.count_if(text).alias("texts"), F.sum(F.when(text, F.log(n))).alias("logs"),
+    )
+    m = F.col("n").cast("double")
+    leaf = F.when(F.col("n") < 2, 1.0).otherwise(1 - F.col("logs") / (F.col("texts") * F.log(m)))
+    presentation = F.when(F.col("n") < 2, 1.0).otherwise((F.log(m) - F.col("nlogn") / m) / F.log(m))
+    nodes = nodes.select(
+        "host", "path", F.substring_index("path", "/", -1).alias("_name"), (F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).alias("level"),
+        "n", "styles", "chars", presentation.alias("presentation"), F.when(F.col("texts") > 0, leaf).alias("leaf"),
+    )
+    nodes = materialize(nodes.withColumn("parent", F.expr("left(path, length(path) - length(_name) - 1)")).drop("_name"), "nodes")
+    out, below = None, None
+    for level in range(nodes.agg(F.max("level")).first()[0] or 0, 0, -1):
+        own = nodes.filter(F.col("level") == level)
+        if below is None:
+            own = own.withColumn("_kids", F.lit(None).cast("double")).withColumn("_kid_mass", F.lit(0).cast("long"))
+        else:
+            kids = below.groupBy(F.col("host").alias("_host"), F.col("parent").alias("_of")).agg(
+                (F.sum(F.col("mass") * F.col("importance")) / F.sum("mass")).alias("_kids"), F.sum("mass").alias("_kid_mass")
+            )
+            own = own.join(kids, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_of")), "left")
+        share = F.pow(F.lit(GAMMA), F.col("styles") - 1)
+        branch = (1 - share) * F.col("presentation") + share * F.coalesce("_kids", "presentation")
+        below = own.select("host", "path", "parent", "n", (F.col("chars") + F.coalesce("_kid_mass", F.lit(0))).alias("mass"), "presentation", F.coalesce("leaf", branch).alias("importance"))
+        below = materialize(below, "level")
+        out = below if out is None else out.unionByName(below)
+    if out is None:
+        return nodes.select("host", "path", "n", F.col("chars").alias("mass"), "presentation", F.lit(1.0).alias("importance"))
+    return out.select("host", "path", "n", "mass", "presentation", "importance")
+
+
+def _branches(path: str) -> Iterator[str]:
+    """``path`` and the paths above it."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
+def choose_text(blocks: list[Block], weak: dict[str, float], least: float) -> str:
+    """The article among ``blocks``: declared areas and ``weak`` branches (path to importance) of the site are left out.
+
+    What the page itself says most of, characters weighed by importance, is its main
+    branch: neither it nor anything around it is taken out. If even that is weak, all that
+    the site says is alike and nothing is told apart.
+    """
+    rooted = any(b.root >= 0 for b in blocks)
+    kept = [b for b in blocks if not b.service and (b.root >= 0 or not rooted)]
+    if not kept and not rooted:  # names do not hide all of a page
+        kept = [b for b in blocks if b.service < DECLARED]
+    weak = {p: w for p, w in weak.items() if w < least}
+    if weak and kept:
+        said: dict[str, float] = {}
+        for b in kept:
+            said[b.path] = said.get(b.path, 0.0) + len(b.text) * (weak.get(b.path, 1.0) + 0.05)
+        main = max(said, key=lambda p: (said[p], p))
+        if main not in weak:
+            safe = set(_branches(main))
+            gone = {p for p in said if any(a in weak and a not in safe for a in _branches(p))}
+            kept = [b for b in kept if b.path not in gone]
     return "\n\n".join(b.text for b in kept)
 
 
@@ -257,20 +346,17 @@ def extract_main_text(pages: DataFrame, least_importance: float = 0.2, least_pag
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     Defined results: null or empty html gives empty text; a null url belongs to the
-    host of empty name; repeated rows each get their row; an empty table gives no rows.
-    Only nodes seen on ``least_pages`` pages of a host can be unimportant.
+    host of empty name; repeated rows each get their row and count as pages of the host;
+    very long pages are parsed whole; extra columns are ignored; an empty table gives no
+    rows. Only branches seen on ``least_pages`` pages of a host can be unimportant.
     """
-    spark = pages.sparkSession
-    weak = materialize(
-        style_tree(pages).filter((F.col("n") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path", "importance"), "style-tree"
-    )
+    weak = style_tree(pages).filter((F.col("n") >= least_pages) & (F.col("importance") < least_importance))
+    weak = materialize(weak.select("host", "path", "importance"), "style-tree")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    # One row for each host with unimportant nodes; their number does not grow with its pages.
+    # One row for each host with unimportant nodes; broadcast if all their nodes are few.
     trees = weak.groupBy(F.col("host").alias("_host")).agg(F.map_from_entries(F.collect_set(F.struct("path", "importance"))).alias("_tree"))
     own = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
-    rows = trees.count()
-    trees = F.broadcast(trees) if rows <= BROADCAST_ROWS // 100 else trees
-    joined = own.join(trees, own["host"] == trees["_host"], "left").select("page_id", "url", "html", "_tree")
+    joined = bounded_join(own, trees, F.col("host") == F.col("_host"), "left", weak.count()).select("page_id", "url", "html", "_tree")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
