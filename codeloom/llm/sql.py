@@ -65,12 +65,13 @@ d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(suffix_rate
 d2 AS (SELECT domain, (bad + k * suffix_rate) / (n + k) AS domain_rate FROM d, {_strength("d", "suffix_rate")}),
 h3 AS (SELECT host, n, bad, domain_rate FROM h2 JOIN d2 USING (domain)),
 h4 AS (SELECT host, bad + k * domain_rate AS a, n - bad + k * (1 - domain_rate) AS b FROM h3, {_strength("h3", "domain_rate")}),
-h5 AS (SELECT host, a / (a + b) AS rate, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS sd FROM h4),
+h5 AS (SELECT host, round(a / (a + b), 6) AS rate, round(greatest(0, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS bound FROM h4),
+cut AS (SELECT min(bound) AS bound FROM (SELECT bound, sum(count(*)) OVER (ORDER BY bound) AS upto, (SELECT count(*) FROM h5) AS whole FROM h5 GROUP BY 1) WHERE upto >= whole * 0.9),
 rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(v, rh, rp)),
 fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM own JOIN rules
   ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN greatest(0, rate - 1.645 * sd) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
- round(rate, 6) AS bad_rate, round(greatest(0, rate - 1.645 * sd), 6) AS bad_bound
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bound > (SELECT least(0.5, bound) FROM cut) THEN 'block' ELSE 'allow' END) AS verdict,
+ rate AS bad_rate, bound AS bad_bound
 FROM own JOIN h5 USING (host) LEFT JOIN fit USING (page_id)
 """
 

@@ -3,7 +3,8 @@
 Labelled page outcomes are counted for each host; beta-binomial priors shrink a
 host toward its registered domain, the domain toward its suffix and the suffix
 toward the whole. A page is blocked if even the lower posterior bound of its
-host's bad rate is above the threshold.
+host's bad rate is above a threshold: a fixed rate, or the bound that a stated share of
+all hosts does not exceed if that is less.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import ascii_lower, bounded_join, materialize
@@ -59,14 +61,23 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (host) with suffix and domain.
 
-
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    ``suffixes`` (suffix) are names of any number of labels under which domains are
+    registered, TWO_LABEL_SUFFIXES by default; the longest that a host ends with counts,
+    and a single label is always one. The domain is one label more.
+    """
+    spark = hosts.sparkSession
+    if suffixes is None:
+        suffixes = spark.createDataFrame([(s,) for s in TWO_LABEL_SUFFIXES], "suffix string")
+    known = suffixes.select(ascii_lower(F.trim("suffix")).alias("_known")).filter("_known like '%.%'").distinct()
+    labels = F.size(F.split("host", r"\."))
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), labels)).alias("_n")).withColumn("_end", F.expr("substring_index(host, '.', -_n)"))
+    longest = bounded_join(ends, known, F.col("_end") == F.col("_known"), "left_semi", known.count()).groupBy(F.col("host").alias("_of")).agg(F.max("_n").alias("_labels"))
+    n = F.coalesce("_labels", F.lit(1))
+    joined = hosts.join(longest, hosts["host"] == longest["_of"], "left").withColumn("_labels", n)
+    return joined.withColumn("suffix", F.expr("substring_index(host, '.', -_labels)")).withColumn("domain", F.expr("substring_index(host, '.', -(_labels + 1))")).drop("_of", "_labels")
 
 
 def prior_strength(level: DataFrame, parent: str, least: float = 1.0, most: float = 1000.0) -> float:
@@ -88,13 +99,13 @@ def prior_strength(level: DataFrame, parent: str, least: float = 1.0, most: floa
     return most if gamma <= 0 else min(most, max(least, 1 / gamma - 1))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Posterior of each host of ``outcomes`` (host, bad 0/1 or null): host, n, bad, alpha, beta.
 
     Hosts without a labelled outcome get their domain's posterior mean as prior.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    hosts = materialize(with_domains(hosts, suffixes), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
 
@@ -117,30 +128,54 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def bound_quantile(rated: DataFrame, share: float) -> float | None:
+    """The least bound (column bad_bound, 6 decimals) that ``share`` of the hosts do not exceed; null without hosts.
+
+    Bounds are counted first, so what is ordered is at most a million and one distinct values.
+    """
+    counts = rated.groupBy("bad_bound").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy("bad_bound").rowsBetween(W.unboundedPreceding, W.currentRow))
+    whole = F.sum("n").over(W.orderBy("bad_bound").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    marked = counts.select("bad_bound", upto.alias("upto"), whole.alias("whole"))
+    return marked.filter(F.col("upto") >= F.col("whole") * share).agg(F.min("bad_bound")).first()[0]
+
+
 def filter_urls(
     pages: DataFrame,
     outcomes: DataFrame,
     rules: tuple[Rule, ...] = DEFAULT_RULES,
     threshold: float = 0.5,
     z: float = 1.645,
+    allowed_share: float | None = 0.9,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """A verdict on every row of ``pages`` (page_id, url).
 
     ``outcomes`` has (url, bad): bad is 1 for a page known to be bad, 0 for a good
-    one, null if unlabelled. Returns page_id, host, path, rule, verdict, bad_rate and
-    bad_bound. Defined results: null url or one without ``://`` has empty host and
-    path, which form one host; repeated rows each get their verdict; empty tables
-    give no rows; without any outcome no host is blocked by reputation. Rules of
-    equal length: the later one in code point order wins.
+    one, null if unlabelled. A page without a rule is blocked if its host's bad_bound is
+    above ``threshold`` or above the bound that ``allowed_share`` of the hosts of ``outcomes``
+    do not exceed, which ranks hosts whatever the base rate; None switches the latter off.
+    Returns page_id, host, path, rule, verdict, bad_rate and bad_bound, both with 6 decimals.
+
+    Defined results: null url or one without ``://`` has empty host and path, which form
+    one host; repeated rows each get their verdict; very long urls are taken whole; extra
+    columns are ignored; empty tables give no rows; hosts of equal bounds get the same
+    verdict, so without any outcome no host is blocked by reputation; a host without a
+    row in ``outcomes`` has no bound and is allowed. Rules of equal length: the later one
+    in code point order wins.
     """
-    rated = materialize(host_reputation(outcomes.select(url_host(F.col("url")).alias("host"), F.col("bad").cast("int"))), "reputation")
+    rated = host_reputation(outcomes.select(url_host(F.col("url")).alias("host"), F.col("bad").cast("int")), suffixes)
     n = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / n
     spread = F.sqrt(F.col("alpha") * F.col("beta") / (n * n * (n + 1)))
-    rated = rated.select(F.col("host").alias("_host"), mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - z * spread).alias("bad_bound"))
+    rated = rated.select(F.col("host").alias("_host"), F.round(mean, 6).alias("bad_rate"), F.round(F.greatest(F.lit(0.0), mean - z * spread), 6).alias("bad_bound"))
+    rated = materialize(rated, "reputation")
+    if allowed_share is not None:
+        found = bound_quantile(rated, allowed_share)
+        threshold = threshold if found is None else min(threshold, found)
 
     own = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     own = own.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
     own = bounded_join(own, rated, F.col("host") == F.col("_host"), "left", rated.count())
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_bound") > threshold, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bad_bound") > F.lit(threshold), "block").otherwise("allow"))
     return own.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "bad_rate", "bad_bound")
