@@ -149,6 +149,128 @@ def test_a_site_that_repeats_one_article_keeps_it(spark):
     assert got[13] == "Article 3 of a host with furniture"
 
 
+def plain_importance(pages, gamma=0.9):
+    """Importance of every node of well-formed pages of one host, by recursion over whole pages."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at, self.kids, self.texts = [], defaultdict(list), defaultdict(list)
+
+        def handle_starttag(self, tag, attrs):
+            name = tag + "".join("." + c for k, v in attrs if k == "class" for c in sorted(v.split()))
+            self.kids["/".join(self.at)].append((len(self.at), name))
+            self.at.append(name)
+            self.kids["/".join(self.at)].append(None)  # a new element of this path begins
+
+        def handle_endtag(self, tag):
+            self.at.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.kids["/".join(self.at)].append((len(self.at), "#"))
+                self.texts["/".join([*self.at, "#"])].append(data.strip())
+
+    shown, said, mass = defaultdict(Counter), defaultdict(Counter), Counter()
+    for page in pages:
+        t = Tree()
+        t.feed(page)
+        for path, kids in t.kids.items():
+            if path:
+                styles, now = set(), []
+                for k in kids[1:] + [None]:
+                    if k is None:
+                        styles.add(tuple(now))
+                        now = []
+                    elif not now or now[-1] != k[1]:
+                        now.append(k[1])
+                shown[path][frozenset(styles)] += 1
+        for path, texts in t.texts.items():
+            shown[path]["#"] += 1
+            said[path].update(set(texts))
+            for x in texts:
+                mass[path] += len(x)
+                for n in range(1, path.count("/") + 1):
+                    mass["/".join(path.split("/")[:n])] += len(x)
+
+    def importance(path):
+        m = sum(shown[path].values())
+        if path in said:
+            return 1.0 if m < 2 else 1 - sum(math.log(n, m) for n in said[path].values()) / len(said[path])
+        pres = 1.0 if m < 2 else -sum(n / m * math.log(n / m, m) for n in shown[path].values())
+        kids = [k for k in shown if k.rpartition("/")[0] == path]
+        total = sum(mass[k] for k in kids)
+        below = sum(mass[k] * importance(k) for k in kids) / total if total else pres
+        share = gamma ** (len(shown[path]) - 1)
+        return (1 - share) * pres + share * below
+
+    return {path: (sum(shown[path].values()), mass[path], importance(path)) for path in shown}
+
+
+def _site(n, seed=5):
+    """Pages of a host without declared areas: furniture that repeats, one varying line in it, an article of its own."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(k))
+    out = []
+    for i in range(n):
+        links = "".join(f"<li>Section number {k} of the site</li>" for k in range(6))
+        box = f"<div class='box'><ul>{links}</ul><p>{rng.choice(['one', 'two', 'three'])}</p></div>" if i % 4 else ""
+        body = "".join(f"<p>{words(12)} {i}</p>" + ("<ul><li>point " + words(3) + "</li></ul>" if rng.random() < 0.4 else "") for _ in range(rng.randrange(1, 5)))
+        out.append((i, f"http://h.example/{i}", f"<html><body>{box}<div class='text'><h1>{words(4)}</h1>{body}</div><div class='end'><span>All rights reserved by the site</span></div></body></html>"))
+    return out
+
+
+def test_importance_equals_brute_force(spark):
+    from codeloom.llm.html_tree import style_tree
+
+    site = _site(30)
+    got = {r["path"]: (r["n"], r["mass"], r["importance"]) for r in style_tree(spark.createDataFrame(site, "page_id long, url string, html string")).collect()}
+    want = plain_importance([re.sub("</?span>", "", h) for _, _, h in site])
+    assert set(got) == {"/" + p for p in want}
+    for path, (n, mass, importance) in want.items():
+        assert got["/" + path][:2] == (n, mass) and got["/" + path][2] == pytest.approx(importance, abs=1e-9), path
+    assert got["/html/body/div.box"][2] < 0.2 < got["/html/body/div.text"][2]
+
+
+def test_the_tree_decides(spark):
+    """The branch goes as a whole, its varying line included; with the tree switched off it stays."""
+    site = spark.createDataFrame(_site(30), "page_id long, url string, html string")
+    on = {r["page_id"]: r["text"] for r in extract_main_text(site).collect()}
+    off = {r["page_id"]: r["text"] for r in extract_main_text(site, least_pages=10**9).collect()}
+    assert all(on[i] != off[i] for i in on)
+    assert not any("Section number" in t or "rights" in t or re.search(r"(^|\n)(one|two|three)(\n|$)", t) for t in on.values())
+    for i, _, h in _site(30):
+        paragraphs = re.findall(r"<p>([^<]{20,})</p>", h)
+        assert paragraphs and all(p in on[i] for p in paragraphs)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout has-sidebar"><article><p>Kept text</p></article></div>', "Kept text"),
+        ('<div class="post tags-news"><p>Kept text</p></div>', "Kept text"),
+        ('<div class="sidebar"><article><p>First article</p></article></div>', "First article"),
+        ('<article><p>Long article with many words in it</p></article><section class="comments"><article><p>Nice!</p></article></section>', "Long article with many words in it"),
+        ("<article><p>A long first article with many words in it, far more than the other</p></article><article><p>Short</p></article>", "A long first article with many words in it, far more than the other\n\nShort"),
+        ('<div><p><a href="x">A linked line of the text</a></p><p>More</p></div>', "A linked line of the text\n\nMore"),
+        ('<div class="notice"><p>Only a notice here</p></div>', "Only a notice here"),
+        ('<div class="site-footer"><p>Foot</p></div><div role="navigation"><p>Go</p></div><p>Body</p>', "Body"),
+    ],
+)
+def test_names_of_areas(page, text):
+    assert choose_text(parse_blocks(f"<body>{page}</body>"), {}, 0.2) == text
+
+
+def test_extra_columns_and_long_and_deep_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i} of a very long page</p>" for i in range(20_000)) + "</article>"
+    deep = "<div>" * 500 + "deep" + "</div>" * 500
+    rows = [(1, "http://a.b/1", long, "x", "y"), (2, "http://a.b/2", deep, "x", "y"), (2, "http://a.b/2", deep, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string")
+    got = sorted((r["page_id"], len(r["text"])) for r in extract_main_text(pages).collect())
+    assert got == [(1, len("\n\n".join(f"Paragraph {i} of a very long page" for i in range(20_000)))), (2, 4), (2, 4)]
+
+
 def test_pages_give_their_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     squeeze = lambda s: re.sub(r"\s+", " ", s).strip()
@@ -365,6 +487,44 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert got["lone.fine.org"]["bad_rate"] < 0.5
 
 
+def test_bad_hosts_are_blocked_on_a_driver_table(spark, sf_dir):
+    """With outcomes that go with hosts, pages of the bad ones are blocked, and constant allow is wrong."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    own = pages.withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
+    biggest = own.filter("host not like '%.net'").groupBy("host").count().orderBy(F.desc("count"), "host").first()["host"]
+    bad = F.col("host") == biggest
+    outcomes = own.select("url", F.when(F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 < 4, bad.cast("int")).alias("bad"))
+    rows = filter_urls(pages, outcomes).filter("rule is null").collect()
+    blocked = {r["host"] for r in rows if r["verdict"] == "block"}
+    assert biggest in blocked and len(blocked) <= 0.1 * len({r["host"] for r in rows}) + 1
+    explicit = filter_urls(pages, outcomes, threshold=1.0, allowed_share=None).filter("rule is null and verdict = 'block'")
+    assert explicit.count() == 0
+
+
+def test_the_query_decides_by_reputation(spark, sf_dir):
+    rows = [r for r in QUERIES["op9_url_reputation"](spark, sf_dir).collect() if r["rule"] is None]
+    bound = {r["host"]: r["bad_bound"] for r in rows}
+    blocked = {r["host"] for r in rows if r["verdict"] == "block"}
+    assert blocked and len(blocked) < len(bound) / 2
+    assert min(bound[h] for h in blocked) > max(b for h, b in bound.items() if h not in blocked)
+
+
+def test_suffixes_of_a_table(spark):
+    from codeloom.llm.url_reputation import with_domains
+
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.z.kawasaki.jp",), ("kawasaki.jp",), ("net",), ("",)], "host string")
+    table = spark.createDataFrame([("z.kawasaki.jp",), ("jp",), ("CO.UK ",), (None,)], "suffix string")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in with_domains(hosts, table).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "x.y.z.kawasaki.jp": ("z.kawasaki.jp", "y.z.kawasaki.jp"), "kawasaki.jp": ("jp", "kawasaki.jp"), "net": ("net", "net"), "": ("", "")}
+    assert {r["host"]: r["suffix"] for r in with_domains(hosts).collect()}["a.b.co.uk"] == "co.uk"
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", "h", "p", 0.5), (1, "http://a.b/x", "h", "p", 0.5)], "page_id long, url string, host string, path string, bad_rate double")
+    outcomes = spark.createDataFrame([("http://a.b/y" + "z" * 100_000, 1, "h")], "url string, bad int, host string")
+    assert [(r["host"], r["path"], r["verdict"]) for r in filter_urls(pages, outcomes).collect()] == [("a.b", "/x", "block")] * 2
+
+
 # --- all of them -----------------------------------------------------------------
 
 
@@ -422,6 +582,46 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
         corpus_pipeline.run(spark, d).collect()
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, _key string, _gone string, _slice int, n_removed int, _doc long, size string, `a b` string"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, stage by stage."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, a, b = words(40_000), words(80), words(80)
+    rows = [(1, a, "en", "s"), (2, a, None, None), (2, a, None, None), (None, b, "en", "s"), (3, None, "en", "s"), (4, "", "en", "t"), (5, long, "en", "t"), (6, "12 !?", None, "t")]
+    extra = lambda i: ("k", f"key {i}", "gone", i, 7, 8, "size", "ab")
+    table = spark.createDataFrame([(*r, len(r[1] or ""), *extra(i)) for i, r in enumerate(rows)], ODD)
+    spark.createDataFrame([(1, " ".join(b.split()[:12])), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, None), (5, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {
+        "language_id": [0, 1, 2, 3, 6],  # no letters: nulls, empty texts and row 7 go
+        "simhash_near_dedup": [0, 3, 4, 6, 7],  # row 5 is like row 4, both without words; null id 3 is alone
+        "suffix_array_dedup": list(range(8)),
+        "decontamination": [0, 1, 2, 4, 5, 6, 7],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        got = out.collect()
+        assert out.columns == table.columns, name
+        assert sorted(r["_slice"] for r in got) in ([want[name]] if name != "simhash_near_dedup" else [want[name], [0, 3, 4, 6, 7]]), name
+        for r in got:  # other columns are those of the row
+            assert (r["key"], r["_key"], r["_gone"], r["n_removed"], r["_doc"], r["size"], r["a b"]) == ("k", f"key {r['_slice']}", "gone", 7, 8, "size", "ab")
+            if name != "suffix_array_dedup":
+                assert r["text"] == rows[r["_slice"]][1]
+        if name == "suffix_array_dedup":
+            texts = {r["_slice"]: (r["text"], r["n_chars"]) for r in got}
+            assert texts[0] == (a, len(a)) and texts[1] == texts[2] == ("", 0) and texts[4] == (None, 0) and texts[6] == (long, len(long))
+        assert stage(spark, table.limit(0), str(tmp_path)).columns == table.columns and stage(spark, table.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.source_mixing(spark, table, str(tmp_path))
+    taken = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["taken"] <= 2 * r["size"]) for r in last.collect()), key=str)
+    assert [t[0] for t in taken] == sorted([1, 2, 2, -1, 3, 4, 5, 6], key=str) and all(t[1] for t in taken)
+    assert corpus_pipeline.source_mixing(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
 def test_stages_decide_by_row(spark, tmp_path):
     import corpus_pipeline
 
