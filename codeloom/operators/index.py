@@ -22,7 +22,7 @@ SYMBOL = "struct<name:string,qualified_name:string,kind:string,start_line:bigint
 DEPENDENCY = "struct<target:string,kind:string,line:bigint,local_alias:string,imported_symbol:string>"
 CALL = "struct<caller:string,callee:string,line:bigint,column:bigint,confidence:double,own:boolean>"
 SCHEMA = f"path string, language string, symbols array<{SYMBOL}>, dependencies array<{DEPENDENCY}>, calls array<{CALL}>, extractor string, error string"
-METADATA = r"(^|/)(go\.mod|package\.json|tsconfig\.json|jsconfig\.json|pnpm-workspace\.yaml)$"
+METADATA = r"(^|/)(go\.mod|go\.work|package\.json|tsconfig\.json|jsconfig\.json|pnpm-workspace\.yaml)$"
 #: Metadata files that the driver takes; a tree with more is an error, not a silent cut.
 MAX_METADATA = 50_000
 

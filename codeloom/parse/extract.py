@@ -1,8 +1,8 @@
 """Extraction of one file: (symbols, dependencies, calls) as plain tuples.
 
-Python is parsed exactly. The other twelve languages are read by rules over masked
-text: declarations by pattern, their end by matching brackets (Ruby: by indentation),
-scopes by nesting. Rows carry ``extractor`` so that users see which it was.
+Python is parsed exactly, JavaScript and TypeScript are walked by their brackets. The
+other languages are read by rules over masked text: declarations by pattern, their end
+by matching brackets (Ruby: by indentation), scopes by nesting. Rows carry ``extractor`` so that users see which it was.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from codeloom.parse import script
 from codeloom.parse.lexer import comments_blanked, dotted, line_of, mask, matching, split_top, string_value, strip_generics
 
 UNRESOLVED, SAME_FILE = 0.55, 0.72
@@ -134,6 +135,9 @@ ID = r"[A-Za-z_$][\w$]*"
 TYPE_KINDS = {"class": "class", "struct": "struct", "interface": "interface", "trait": "interface", "enum": "class", "record": "class", "module": "class", "type": "struct", "impl": "impl"}
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|async|virtual|override|readonly|export|default|extern|unsafe|inline|synchronized|native|const|declare|open|new)\s+)*"
 
+#: A C# type, with type arguments and array marks.
+_CS_TYPE = r"[\w.]+(?:<[^;{}()=]*>)?(?:\[[\s,]*\])*\??"
+
 # Declarations of each language: (pattern, kind or None for the keyword's own, body).
 # Group "name" is the name, "key" the keyword; a body is a brace block, an end or a line.
 RULES: dict[str, list[tuple[str, str | None, str]]] = {
@@ -145,13 +149,13 @@ RULES: dict[str, list[tuple[str, str | None, str]]] = {
     ],
     "cpp": [
         (rf"\b(?P<key>class|struct|enum)\s+(?P<name>{ID})\b[^;{{()]*\{{", None, "brace"),
-        (rf"^(?!\s*(?:return|else|typedef|if|for|while|switch|do|case|goto|using)\b)[ \t]*(?:template\s*<[^>]*>\s*)?(?:[\w:<>,~]+[\s*&]+)*(?P<name>~?{ID}(?:::~?{ID})*)\s*\([^;{{}}]*\)[^;{{}}]*\{{", "function", "brace"),
+        (rf"^(?!\s*(?:return|else|typedef|if|for|while|switch|do|case|goto|using|public|private|protected)\b)[ \t]*(?:template\s*<[^>]*>\s*)?(?:[\w:<>,~]+[\s*&]+)*(?P<name>~?{ID}(?:::~?{ID})*)\s*\([^;{{}}]*\)[^;{{}}]*\{{", "function", "brace"),
     ],
     "csharp": [
         (rf"\b(?P<key>class|struct|interface|enum|record)\s+(?P<name>{ID})\b[^;{{]*\{{", None, "brace"),
         (rf"^[ \t]*{_MODS}(?!return\b|new\b|else\b|throw\b|await\b|using\b|namespace\b)[\w<>\[\],.? ]+\s+(?P<name>{ID})\s*(?:<[^>]*>)?\s*\([^;{{}}]*\)[^;{{}}=]*(?:\{{|=>)", "method", "brace"),
         (rf"^[ \t]*(?:public|private|protected|internal)\s+(?P<name>{ID})\s*\([^;{{}}]*\)[^;{{}}]*\{{", "method", "brace"),
-        (rf"^[ \t]*{_MODS}[\w<>\[\],.?]+\s+(?P<name>{ID})\s*\{{\s*(?:get|set|init|private|protected|internal)\b", "variable", "brace"),
+        (rf"(?:^|(?<=[{{;}}]))[ \t]*{_MODS}{_CS_TYPE}\s+(?P<name>{ID})\s*\{{\s*(?:get|set|init|private|protected|internal)\b", "variable", "brace"),
     ],
     "go": [
         (rf"^type\s+(?P<name>{ID})\s+(?P<key>struct|interface)\s*\{{", None, "brace"),
@@ -164,7 +168,7 @@ RULES: dict[str, list[tuple[str, str | None, str]]] = {
         (rf"\b(?P<key>class|interface|enum|record)\s+(?P<name>{ID})\b[^;{{]*\{{", None, "brace"),
         (rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*{_MODS}(?:<[^>]+>\s*)?(?!return\b|new\b|else\b|throw\b)(?:[\w<>\[\],.?]+\s+)(?P<name>{ID})\s*\([^;{{}}]*\)[^;{{}}]*\{{", "method", "brace"),
         (rf"^[ \t]*(?:public|private|protected)\s+(?P<name>{ID})\s*\([^;{{}}]*\)[^;{{}}]*\{{", "method", "brace"),
-        (rf"^[ \t]*(?:public|private|protected)\s+(?:(?:static|final|transient|volatile)\s+)*[\w<>\[\],.?]+\s+(?P<name>{ID})\s*(?:=[^;]*)?;", "variable", "line"),
+        (rf"^[ \t]*(?:public|private|protected)\s+(?:(?:static|final|transient|volatile)\s+)*[\w<>\[\],.?]+\s+(?P<name>{ID})\s*(?:=[^;]*|,[^;]*)?;", "variable", "line"),
     ],
     "php": [
         (rf"\b(?P<key>class|interface|trait|enum)\s+(?P<name>{ID})\b[^;{{]*\{{", None, "brace"),
@@ -184,17 +188,6 @@ RULES: dict[str, list[tuple[str, str | None, str]]] = {
         (rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>[A-Z_][A-Z0-9_]*)\s*:", "constant", "line"),
     ],
 }
-_JS = [
-    (rf"\b(?P<key>class|interface)\s+(?P<name>{ID})\b[^;{{]*\{{", None, "brace"),
-    (rf"\bfunction\s*\*?\s+(?P<name>{ID})\s*(?:<[^>]*>)?\(", "function", "brace"),
-    (rf"\bexport\s+(?P<name>default)\s+(?:async\s+)?(?:function\s*\*?\s*\(|\(|{ID}\s*=>)", "function", "brace"),
-    (rf"\b(?:const|let|var)\s+(?P<name>{ID})\s*(?::[^=;]+)?=\s*(?:async\s+)?(?:function\b|(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|{ID})\s*(?::[^=]+)?=>)", "function", "brace"),
-    (rf"^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set|abstract)\s+)*\*?(?!(?:if|for|while|switch|catch|function|return|with|await|new|else|do|typeof|constructor\s*=)\b)(?P<name>#?{ID})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::[^;{{=]+)?\{{", "method", "brace"),
-    (rf"\b(?:module\.)?exports\.(?P<name>{ID})\s*=\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*=>|{ID}\s*=>)", "function", "brace"),
-    (rf"^[ \t]*(?P<name>{ID})\s*:\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*=>|{ID}\s*=>)", "method", "brace"),
-    (rf"^(?:export\s+)?(?:const|let|var)\s+(?P<name>{ID})\s*(?::[^=;]+)?=\s*(?!\s*(?:async\b|function\b|\([^()]*\)\s*=>|{ID}\s*=>|class\b|require\b|await\b|import\b))", "variable", "line"),
-]
-RULES |= {"javascript": _JS, "typescript": _JS, "tsx": _JS}
 COMPILED = {k: [(re.compile(p, re.M), kind, body) for p, kind, body in rules] for k, rules in RULES.items()}
 
 # Words that look like calls or type names but are none: fixed values, for all languages and by language.
@@ -251,8 +244,16 @@ class _Found:
     owner: str | None
 
 
+SCRIPTS = ("javascript", "typescript", "tsx")
+#: Groups of constants and variables: the first name stands for the group.
+GO_GROUP = re.compile(r"^(?P<key>const|var)\s*\(\s*(?P<name>[A-Za-z_]\w*)", re.M)
+
+
 def declarations(text: str, language: str) -> list[_Found]:
     out: dict[int, _Found] = {}
+    if language == "go":
+        for m in GO_GROUP.finditer(text):
+            out[m.start("name")] = _Found(m.start(), m.start("name"), matching(text, text.index("(", m.start())), m["name"], "constant" if m["key"] == "const" else "variable", None)
     for pattern, kind, body in COMPILED[language]:
         for m in pattern.finditer(text):
             groups = m.groupdict()
@@ -271,7 +272,7 @@ def declarations(text: str, language: str) -> list[_Found]:
     return sorted(out.values(), key=lambda f: (f.at, -f.end))
 
 
-def _symbols(text: str, found: list[_Found]) -> tuple[list[Symbol], list[tuple[int, int, str]]]:
+def _symbols(text: str, found: list[_Found], plain: bool = True) -> tuple[list[Symbol], list[tuple[int, int, str]]]:
     """Symbols with qualified names, and (start, end, qualified name) of what can call."""
     symbols, spans, scope = [], [], []
     for f in found:
@@ -287,13 +288,28 @@ def _symbols(text: str, found: list[_Found]) -> tuple[list[Symbol], list[tuple[i
             if f.kind != "impl":
                 symbols.append(Symbol(f.name, qualified, f.kind, line_of(text, f.at), line_of(text, f.end)))
             continue
-        kind = "method" if f.kind == "function" and (in_type or f.owner) else f.kind
+        kind = "method" if plain and f.kind == "function" and (in_type or f.owner) else f.kind
         symbols.append(Symbol(f.name, qualified, kind, line_of(text, f.at), line_of(text, f.end)))
         if kind in CALLABLE:
             spans.append((f.at, f.end, qualified))
     return symbols, spans
 
 
+#: The end of a call that a member follows.
+CHAINED = re.compile(r"\)\s*(?:\?\.|\.|->|\?->)\s*\Z")
+
+
+def closing(text: str) -> dict[int, int]:
+    """Opening parenthesis of each closing one."""
+    stack, out = [], {}
+    for i, c in enumerate(text):
+        if c == "(":
+            stack.append(i)
+        elif c == ")" and stack:
+            out[i] = stack.pop()
+    return out
+
+
 _CHAIN = rf"{ID}[?!]?(?:\s*(?:\?\.|\.|::|->|\?->)\s*(?:{ID}|<[^<>()]*>)|\[[^\[\]()]*\])*"
 CALL = re.compile(rf"(?<![\w$@#])(?:new\s+)?(?P<callee>\$?{_CHAIN})\s*(?P<bang>!)?(?:\?\.)?(?:<[\w\s,.<>\[\]?]*>)?\s*\(")
 RUBY_CALL = re.compile(r"(?<![\w.:@$])(?P<callee>(?:[A-Za-z_]\w*(?:\.|::))+[a-z_]\w*[?!]?|(?:puts|raise|attr_reader|attr_accessor|include|extend))(?=[\s(]|$)")
@@ -301,30 +317,45 @@ BASH_CALL = re.compile(rf"(?:^|[;&|({{`]|\$\(|\b(?:then|do|else|if|while|until|!
 BASH_WORDS = frozenset("if then else elif fi for while until do done case esac function in select return local export declare readonly set unset shift break continue exit trap true false eval exec source".split())
 
 
-def _calls(text: str, language: str, found: list[_Found], spans: list[tuple[int, int, str]]) -> list[Call]:
-    declared = {f.name_at for f in found}
+def _calls(text: str, language: str, found: list[_Found], spans: list[tuple[int, int, str]], walked: script.Script | None = None) -> list[Call]:
+    declared = {f.name_at for f in found if walked is None or f.kind != "variable"}
+    if walked:  # a declared name that is followed by its parameters is no call
+        declared = {f.name_at for f in found if f.kind == "method"} | {m.start("name") for m in script._FUNCTION.finditer(text)} | walked.signatures
+    # Members of interfaces are declared there, not called; Java and C# may have bodies in them.
+    interfaces = [(f.at, f.end) for f in found if f.kind == "interface"] if walked or language == "go" else []
     patterns = [CALL] if language != "bash" else [BASH_CALL]
     if language == "ruby":
         patterns.append(RUBY_CALL)
-    out, seen = [], set()
+    out, seen, opened = [], set(), []
+    closes = closing(text)
+    called: dict[int, str] = {}  # callee by its opening parenthesis
     for pattern in patterns:
         for m in pattern.finditer(text):
             at = m.start("callee")
             callee = dotted(m["callee"]).lstrip("$").replace(".$", ".")
             callee = callee if language == "ruby" else callee.rstrip("!?")
-            if at in declared or at in seen or not callee:
+            if at in declared or at in seen or not callee or any(a < at < z for a, z in interfaces):
                 continue
+            earlier = CHAINED.search(text, max(0, at - 100), at) if language not in ("bash", "ruby") else None
+            if earlier and closes.get(earlier.start()) in called:  # a member of what another call gives
+                callee = f"{called[closes[earlier.start()]]}.{callee}"
             head = callee.split(".")[0]
             if language == "bash" and callee in BASH_WORDS or callee in KEYWORDS[language] and callee != "super":
                 continue
             if head in ("return", "await", "throw", "new", "else", "case"):
                 continue
-            if any(at == f.name_at or f.at <= at < f.name_at for f in found if f.kind in CALLABLE and f.at <= at <= f.name_at):
+            if walked is None and any(at == f.name_at or f.at <= at < f.name_at for f in found if f.kind in CALLABLE and f.at <= at <= f.name_at):
                 continue
             seen.add(at)
+            called[m.end() - 1] = callee
             around = [s for s in spans if s[0] <= at <= s[1]]
             caller = max(around, key=lambda s: s[0])[2] if around else MODULE
             out.append(Call(caller, callee, line_of(text, at), at - text.rfind("\n", 0, at)))
+            opened.append((at, m.end() - 1, callee))
+    if walked:
+        callbacks = walked.callback_of(opened)
+        for call, (at, _, _) in zip(out, opened):
+            call.caller = callbacks.get(at, call.caller)
     return sorted(out, key=lambda c: (c.line, c.column))
 
 
@@ -391,7 +422,7 @@ def _named(parts: str) -> list[tuple[str, str]]:
 def javascript_dependencies(text: str, line) -> list[Dependency]:
     out: list[Dependency] = []
     bindings: dict[str, str] = {}
-    for m in re.finditer(rf"\bconst\s+({ID})\s*(?::[^=]+)?=\s*([^;\n]+)", text):
+    for m in re.finditer(rf"\b(?:const|let|var)\s+({ID})\s*(?::[^=]+)?=\s*([^;\n]+)", text):
         value = string_value(m[2], bindings)
         if value is not None:
             bindings[m[1]] = value
@@ -456,14 +487,17 @@ def dependencies(text: str, language: str) -> list[Dependency]:
         for m in each(r'^[ \t]*#[ \t]*include[ \t]*(?:"([^"\n]+)"|(<[^>\n]+>))'):
             add(m, "include", m[1] or m[2])
     elif language == "csharp":
+        blanked = mask(text, language)
+        types = [(m.end() - 1, matching(blanked, m.end() - 1), m[1]) for m in re.finditer(rf"\b(?:class|struct|record|interface)\s+({ID})[^;{{]*\{{", blanked)]
         for m in each(r"^[ \t]*(?:global\s+)?using\s+(static\s+)?(?:(\w+)\s*=\s*)?([\w.]+(?:<[^;]*>)?)\s*;"):
             kind = "using_static" if m[1] else "using_alias" if m[2] else "using"
             add(m, kind, strip_generics(m[3]), m[2])
         for m in each(r"^[ \t]*namespace\s+([\w.]+)"):
             add(m, "namespace", m[1])
-        for m in each(rf"^[ \t]*{_MODS}([\w<>\[\],.?]+)\s+({ID})\s*\{{\s*(?:get|set|init)\b"):
-            owner = re.findall(rf"\b(?:class|struct|record|interface)\s+({ID})", text[: m.start()])
-            add(m, "property_type", element_type(m[1]), m[2], owner[-1] if owner else None)
+        for m in each(rf"(?:^|(?<=[{{;}}]))[ \t]*{_MODS}({_CS_TYPE})\s+({ID})\s*\{{\s*(?:get|set|init)\b"):
+            around = [t for t in types if t[0] < m.start() < t[1]]
+            if around:
+                add(m, "property_type", element_type(m[1]), m[2], max(around)[2])
         for m in each(rf"\bstatic\s+[\w<>\[\],.?]+\s+({ID})\s*(?:<[^>]*>)?\(\s*this\s+([\w<>\[\],.?]+)\s+\w+"):
             add(m, "extension_method", strip_generics(m[2]), m[1], m[1])
         for m in each(rf"\b(?:var\s+({ID})\s*=\s*new\s+([\w.]+)(?:<[^>]*>)?\s*[({{]|([A-Z][\w.]*)(?:<[^>;()]*>)?\??\s+({ID})\s*=\s*)"):
@@ -511,9 +545,10 @@ def element_type(name: str) -> str:
 
 def rule_extract(text: str, language: str) -> Extract:
     masked = mask(text, language)
-    found = declarations(masked, language)
-    symbols, spans = _symbols(masked, found)
-    return Extract(symbols, dependencies(comments_blanked(text, language), language), _calls(masked, language, found, spans))
+    walked = script.Script(masked, text) if language in SCRIPTS else None
+    found = [_Found(x.at, x.at, x.end, x.name, x.kind, None) for x in walked.symbols()] if walked else declarations(masked, language)
+    symbols, spans = _symbols(masked, found, plain=walked is None)
+    return Extract(symbols, dependencies(comments_blanked(text, language), language), _calls(masked, language, found, spans, walked))
 
 
 def extract(text: str, language: str) -> Extract:

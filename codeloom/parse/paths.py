@@ -28,6 +28,7 @@ DEFAULT_CONDITIONS = ("import", "require", "node", "default")
 class Context:
     go_modules: dict[str, str] = field(default_factory=dict)  # module path to folder
     go_replace: dict[str, str] = field(default_factory=dict)  # module path to folder
+    go_work: dict[str, list[str]] = field(default_factory=dict)  # folder to the local folders that its workspace uses
     packages: dict[str, dict] = field(default_factory=dict)  # folder to its package file
     configs: dict[str, dict] = field(default_factory=dict)  # folder to its path configuration
     conditions: tuple[str, ...] = DEFAULT_CONDITIONS
@@ -332,17 +333,21 @@ def _rust(source: str, target: str, kind: str) -> list[str]:
 
 
 def _go(source: str, target: str, ctx: Context) -> list[str]:
-    """Folders of a package, marked by a trailing slash: a representative file is chosen by the join."""
-    out = []
-    for module, folder in sorted(ctx.go_replace.items(), key=lambda mf: -len(mf[0])):
-        if target == module or target.startswith(module + "/"):
-            out.append(join(folder, target[len(module) :]) + "/")
+    """Folders of a package, marked by a trailing slash: a representative file is chosen by the join.
+
+    The nearest module comes first, then local replacements, the longest first, then the
+    modules that the nearest workspace uses.
+    """
     folder = posixpath.dirname(source)
-    near = [m for m, f in sorted(ctx.go_modules.items(), key=lambda mf: -len(mf[1])) if f == "" or folder == f or folder.startswith(f + "/")]
-    for module in dict.fromkeys([*near, *sorted(ctx.go_modules)]):
-        if target == module or target.startswith(module + "/"):
-            out.append(join(ctx.go_modules[module], target[len(module) :]) + "/")
-    return out
+    within = lambda module: target == module or target.startswith(module + "/")
+    above = ancestors(folder)
+    near = sorted((above.index(f), m, f) for m, f in ctx.go_modules.items() if f in above)[:1]
+    named = [(m, f) for _, m, f in near]
+    named += sorted(ctx.go_replace.items(), key=lambda mf: -len(mf[0]))
+    work = next((a for a in above if a in ctx.go_work), None)
+    used = {join(work, u) for u in ctx.go_work[work]} if work is not None else set()
+    named += sorted(((m, f) for m, f in ctx.go_modules.items() if f in used), key=lambda mf: -len(mf[0]))
+    return [join(f, target[len(m) :]) + "/" for m, f in named if within(m)]
 
 
 def candidates(language: str, source: str, target: str, kind: str, ctx: Context) -> list[str]:
@@ -397,6 +402,15 @@ def parse_go_mod(text: str) -> tuple[str | None, dict[str, str]]:
     return module[1].strip('"') if module else None, replaced
 
 
+def parse_go_work(text: str) -> list[str]:
+    """Local folders that a workspace file uses, one by one or in a block; others are left out."""
+    plain = re.sub(r"//[^\n]*", "", text)
+    uses = re.findall(r"^[ \t]*use[ \t]+([^\s(]+)", plain, re.M)
+    for block in re.findall(r"^[ \t]*use[ \t]*\(([^)]*)\)", plain, re.M):
+        uses += [line.split()[0] for line in block.splitlines() if line.split()]
+    return [u for u in (x.strip("\"`") for x in uses) if u.startswith(".")]
+
+
 def context_from(texts: dict[str, str], conditions: tuple[str, ...] = DEFAULT_CONDITIONS) -> Context:
     """Context of the metadata files of a tree (path to text): module, package and path configuration files."""
     ctx = Context(conditions=conditions)
@@ -407,6 +421,8 @@ def context_from(texts: dict[str, str], conditions: tuple[str, ...] = DEFAULT_CO
             if module:
                 ctx.go_modules[module] = folder
             ctx.go_replace |= {m: join(folder, to) for m, to in replaced.items()}
+        elif name == "go.work":
+            ctx.go_work[folder] = parse_go_work(text)
         elif name in ("package.json", "tsconfig.json", "jsconfig.json"):
             try:
                 # path configurations may have comments and trailing commas
