@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +16,20 @@ from pyspark.sql import functions as F
 
 from codeloom import __version__
 from codeloom.functions.names import ascii_lower
-from codeloom.operators import graph, index, incremental, lookup, overview, planning, resolve, semantic
+from codeloom.operators import context, graph, index, incremental, lookup, overview, planning, resolve, semantic
 from codeloom.operators.scratch import materialize
-from codeloom.sources import tree
+from codeloom.sources import backend as backends
+from codeloom.sources import records, services, tree
 
 EDGE = ("source_file", "target", "resolved_file", "kind", "language", "line")
 # Words of a task that name nothing, and words that are looked for together: fixed values.
 STOP_WORDS = frozenset("the and for with from into that this when what where which how why add fix make use change update remove does should can please code file files function".split())
 ALIASES = (("route", "routing", "router", "routes"), ("auth", "authentication", "login"), ("settings", "config", "configuration"))
 #: Base scores of context candidates by source: ours, as no rule of the kind is documented.
-CONTEXT_SCORES = {"seed_file": 100, "task_location": 95, "symbol_definition": 90, "type_relation": 70, "call_graph": 65, "reference": 50, "semantic": 45, "dependency": 40}
+CONTEXT_SCORES = {"seed_file": 100, "task_location": 95, "symbol_definition": 90, "type_relation": 70, "call_graph": 65, "reference": 50, "semantic": 45, "dependency": 40, "fallback": 30}
 MAX_LOCATIONS = 16
-TOKENS_PER_LINE = 10
+#: Lines of a chunk that vectors or terms are looked up in, if the project has none yet, and chunks that a context takes.
+CHUNK_LINES, CONTEXT_CHUNKS = 40, 12
 
 
 def required_text(name: str, value: object) -> str:
@@ -77,15 +80,28 @@ def task_terms(task: str, most: int = 8) -> list[str]:
     return list(dict.fromkeys(found))[:most]
 
 
+def _git(root: str, *args: str) -> bytes | None:
+    try:
+        got = subprocess.run(["git", "-C", root, *args], capture_output=True, timeout=60)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return got.stdout if got.returncode == 0 else None
+
+
+def git_head(root: str) -> str | None:
+    head = _git(root, "rev-parse", "HEAD")
+    return head.decode().strip() if head else None
+
+
+def is_dirty(root: str) -> bool:
+    return bool(_git(root, "status", "--porcelain"))
+
+
 def repository_fingerprint(root: str) -> str | None:
     """Digest of HEAD, of the working tree's difference to it and of untracked files; None outside of a repository."""
     import hashlib
 
-    def git(*args: str) -> bytes | None:
-        got = subprocess.run(["git", "-C", root, *args], capture_output=True, timeout=60)
-        return got.stdout if got.returncode == 0 else None
-
-    parts = [git("rev-parse", "HEAD"), git("diff", "--binary", "HEAD"), git("ls-files", "--others", "--exclude-standard", "-z")]
+    parts = [_git(root, "rev-parse", "HEAD"), _git(root, "diff", "--binary", "HEAD"), _git(root, "ls-files", "--others", "--exclude-standard", "-z")]
     if any(p is None for p in parts):
         return None
     digest = hashlib.sha256(b"\0".join(parts))
@@ -120,12 +136,27 @@ class Project:
     # --- index ---------------------------------------------------------------------
 
     def index_project(self, force: bool = False) -> DataFrame:
-        """Index the tree, only what changed since the last run unless forced; one row of counts."""
+        """Index the tree, only what changed since the last run unless forced; one row of counts, scope, duration and freshness.
+
+        With a store the last run may be one of another session; freshness says whether the
+        repository is still as it was then.
+        """
+        began = time.perf_counter()
+        current = repository_fingerprint(self.root)
+        fresh = freshness(self.stored("repository"), current, force)
         previous = None if force else self._index
-        self._index = index.index_tree(self.spark, self.root, previous)
-        if self.store:
-            self._index = index.select_previous(self._index, self.store)
-        return self._index.report()
+        if previous is None and not force and self.store:
+            previous = index.open_index(self.spark, self.store)
+        found = index.index_tree(self.spark, self.root, previous)
+        if self.store and found is not previous:
+            found = index.select_previous(found, self.store)
+        if self.store and current and self.stored("repository") != current:
+            records.write_manifest(self.spark, self.store, (records.read_manifest(self.spark, self.store) or {}) | {"repository": current})
+        self._index = found
+        scope = index.tree_scope(self.root)
+        report = self._index.report().first().asDict()
+        row = (*report.values(), scope.include, scope.exclude, int(1000 * (time.perf_counter() - began)), fresh)
+        return self.spark.createDataFrame([row], ", ".join(f"{k} long" for k in report) + ", include array<string>, exclude array<string>, duration_ms long, freshness string")
 
     @property
     def tables(self) -> index.Index:
@@ -138,8 +169,17 @@ class Project:
         return self.tables.dependencies.select(*EDGE)
 
     def _texts(self) -> DataFrame:
-        scope = tree.Scope(tree.load_config(self.root).include, tree.load_config(self.root).exclude)
-        return tree.read_tree(self.spark, self.root, scope).select("path", "language", "text").filter("text is not null")
+        """(path, language, text) of the indexed files, under the scope of the index."""
+        texts = tree.read_tree(self.spark, self.root, index.tree_scope(self.root)).select("path", "language", "text").filter("text is not null")
+        return texts.join(self.tables.files.select("path"), "path", "left_semi")
+
+    def file_metadata(self, file: str) -> DataFrame:
+        """The index's row of a file."""
+        return self.tables.files.filter(F.col("path") == required_text("file", file))
+
+    def stored(self, key: str) -> str | None:
+        """A value that the store keeps beside its tables, by key."""
+        return (records.read_manifest(self.spark, self.store) or {}).get(key) if self.store else None
 
     # --- overview and lookups -----------------------------------------------------------
 
@@ -158,6 +198,13 @@ class Project:
             "calls": overview.call_summary(t.calls),
         }
 
+    def overview_text(self) -> str:
+        """One sentence of the overview, for people."""
+        o = self.project_overview()
+        totals = o["totals"].first().asDict() | {"type_relation": o["dependencies"].first()["type_relation"]}
+        language, directory = o["languages"].first(), o["top_directories"].first()
+        return overview.summary_text(totals, language["language"] if language else None, directory["directory"] if directory else None)
+
     def recommended_next_tools(self) -> DataFrame:
         """(priority, tool, reason) of what to ask next, by what the overview has."""
         o = self.project_overview()
@@ -206,30 +253,47 @@ class Project:
 
     # --- chunks and vectors ----------------------------------------------------------
 
-    def semantic_index(self, chunk_lines: int = 80, provider: str | None = "local-hash") -> DataFrame:
-        """Chunk the tree, embed the chunks that have no vector yet; one row of counts."""
+    @staticmethod
+    def _provider(name: str | None) -> str | None:
+        """A known provider; 'env' is the one that the environment sets, which is made known."""
+        if name == "env":
+            found = services.provider_from_env()
+            if found is None:
+                return None
+            name = found[0]
+            semantic.PROVIDERS[name] = found[1:]
+        if name is not None and name not in semantic.PROVIDERS:
+            raise ValueError(f"unknown provider {name!r}")
+        return name
+
+    def semantic_index(self, chunk_lines: int = 80, provider: str | None = "local-hash", explain: bool = False) -> DataFrame | dict:
+        """Chunk the tree, embed the chunks that have no vector yet; one row of counts, and the changes if asked for."""
+        provider = self._provider(provider)
         desired = materialize(semantic.chunk_windows(self._texts().withColumnRenamed("path", "file"), at_least("chunk_lines", chunk_lines, 1)))
         stored = self._chunks if self._chunks is not None else desired.limit(0)
         diff = materialize(incremental.chunk_diff(stored, desired))
         counts = incremental.diff_counts(diff, desired)
         self._chunks = desired
+        changes = diff.orderBy("file", "start_line", "end_line", "change")
+        answer = lambda row: {"counts": row, "changes": changes} if explain else row
         if provider is None:
-            return counts.withColumn("generated", F.lit(0)).withColumn("vector_status", F.lit("provider_not_configured"))
-        if provider not in semantic.PROVIDERS:
-            raise ValueError(f"unknown provider {provider!r}")
+            return answer(counts.withColumn("generated", F.lit(0)).withColumn("vector_status", F.lit("provider_not_configured")))
         key, model = incremental.CHUNK_KEY, semantic.PROVIDERS[provider][0]
         kept = incremental.kept_vectors(self._vectors, diff) if self._vectors is not None else None
         missing = incremental.missing_vectors(desired, kept, provider, model, key) if kept is not None else desired
-        new = materialize(semantic.embed(missing.select(*key, "text"), key, provider))
+        new = materialize(semantic.embed(missing.select(*key, "text"), key, provider, services.batch_size()))
         self._vectors = materialize(new.unionByName(kept)) if kept is not None else new
-        return counts.join(F.broadcast(new.agg(F.count("*").alias("generated")))).withColumn("vector_status", F.lit("embeddings_indexed"))
-
-    def embedding_status(self, provider: str = "local-hash") -> DataFrame:
-        if self._chunks is None or self._vectors is None:
-            n = 0 if self._chunks is None else self._chunks.count()
-            return self.spark.createDataFrame([(provider, n, 0)], "provider string, chunks long, vectors long")
-        model = semantic.PROVIDERS[provider][0]
-        return semantic.vector_counts(self._chunks, self._vectors, provider, model, 0).select(F.lit(provider).alias("provider"), "chunks", "vectors")
+        return answer(counts.join(F.broadcast(new.agg(F.count("*").alias("generated")))).withColumn("vector_status", F.lit("embeddings_indexed")))
+
+    def embedding_status(self, provider: str | None = "local-hash") -> DataFrame:
+        """One row: provider, batch size, chunks, vectors and what is missing; no service is asked."""
+        provider, batch = self._provider(provider), services.batch_size()
+        n = 0 if self._chunks is None else self._chunks.count()
+        have = 0
+        if self._vectors is not None and provider is not None:
+            have = semantic.vector_counts(self._chunks, self._vectors, provider, semantic.PROVIDERS[provider][0], 0).first()["vectors"]
+        status = "disabled" if provider is None else "not_indexed" if not n else "complete" if have >= n else "incomplete"
+        return self.spark.createDataFrame([(provider or "disabled", batch, n, have, n - have, status)], "provider string, batch int, chunks long, vectors long, missing long, status string")
 
     def semantic_search(self, query: str, limit: int = 20, provider: str = "local-hash") -> DataFrame:
         """Nearest chunks to the query's vector; by terms where there are no vectors."""
@@ -238,6 +302,7 @@ class Project:
             self.semantic_index(provider=None)
         if self._vectors is None:
             return lookup.chunks_matching(self._chunks, query.split(), limit)
+        provider = self._provider(provider)
         vector = semantic.PROVIDERS[provider][1]([query])[0].tolist()
         rows = self._vectors.withColumn("chunk", F.concat_ws(":", "file", "start_line", "end_line"))
         return semantic.vector_search(rows, vector, "chunk", "vector", limit)
@@ -269,8 +334,8 @@ class Project:
             made = t.calls.filter(named(F.col("caller")))
             parts.append(planning.evidence(made, "callee_source"))
             parts.append(planning.evidence(made.filter("callee_file is not null"), "callee_target", "callee_file"))
-            for s in symbols:
-                parts.append(planning.evidence(lookup.reference_lines(self._texts(), s).filter("kind <> 'definition'"), "text_reference", "path"))
+            for found in self._references(symbols):
+                parts.append(planning.evidence(found.filter("kind <> 'definition'"), "text_reference", "path"))
         if depth > 1:
             start = seeds.select(F.col("file").alias("start"))
             importers = edges.select(F.col("resolved_file").alias("src"), F.col("source_file").alias("dst"))
@@ -282,6 +347,14 @@ class Project:
             united = united.unionByName(p)
         return united
 
+    def _references(self, symbols: list[str]) -> list[DataFrame]:
+        """Lines that name each symbol; the tree is read once for all of them."""
+        named = F.lit(False)
+        for s in symbols:
+            named = named | F.contains("text", F.lit(s))
+        texts = materialize(self._texts().filter(named)) if symbols else None
+        return [lookup.reference_lines(texts, s) for s in symbols]
+
     @staticmethod
     def _any_name(column, names: list[str]):
         fits = F.lit(False)
@@ -289,100 +362,196 @@ class Project:
             fits = fits | (ascii_lower(column) == n) | ascii_lower(column).endswith("." + n)
         return fits
 
-    def impact_analysis(self, symbols=None, files=None, limit: int = 50, depth: int = 1, evidence_limit: int = 20) -> dict[str, DataFrame]:
-        """Files that a change of the seeds reaches, with scores, and the risk over all of them."""
+    def impact_paths(self, files: list[str], depth: int = 1) -> DataFrame:
+        """(kind, depth, from, to, file, line): how a change of ``files`` walks to callers and importers."""
+        start = self.spark.createDataFrame([(f,) for f in text_list("files", files)], "start string")
+        t, out = self.tables, None
+        importers = self.edges.filter("resolved_file is not null").select(F.col("resolved_file").alias("src"), F.col("source_file").alias("dst"), "line")
+        callers = t.calls.filter("callee_file is not null and callee_file <> file").select(F.col("callee_file").alias("src"), F.col("file").alias("dst"), "line")
+        for kind, e in (("importer", importers), ("caller", callers)):
+            first = e.groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.min("line").alias("line"))
+            walked = resolve.walk_paths(e, start, at_least("depth", depth, 1))
+            found = walked.join(first, (walked["via"] == first["_src"]) & (walked["node"] == first["_dst"]))
+            found = found.select(F.lit(kind).alias("kind"), "depth", F.col("via").alias("from"), F.col("node").alias("to"), F.col("node").alias("file"), "line")
+            out = found if out is None else out.unionByName(found)
+        return out.orderBy("depth", "kind", "from", "to")
+
+    def impact_analysis(self, symbols=None, files=None, limit: int = 50, depth: int = 1, evidence_limit: int = 20, format: str = "full") -> dict[str, DataFrame]:
+        """Files that a change of the seeds reaches, with scores, and the risk over all of them.
+
+        ``format`` 'summary' cuts files and their reasons to ``evidence_limit``; counts are
+        taken before any cut.
+        """
         symbols, files = text_list("symbols", symbols), text_list("files", files)
         if not symbols and not files:
             raise ValueError("impact_analysis needs symbols or files")
+        if format not in ("full", "summary"):
+            raise ValueError("format must be full or summary")
+        most = at_least("evidence_limit", evidence_limit, 1)
         found = materialize(self._evidence(symbols, files, at_least("depth", depth, 1)))
         scores = materialize(planning.impact_scores([found]))
         ranked = scores.orderBy(F.desc("score"), "file").limit(at_least("limit", limit, 1))
-        return {
+        risk = planning.impact_risk(scores, depth)
+        counts = scores.agg(F.count("*").alias("files")).join(F.broadcast(found.agg(F.count("*").alias("evidence"), F.count_distinct("reason").alias("reasons"))))
+        out = {
             "files": ranked,
-            "evidence": found.orderBy(F.desc("score"), "file", "reason").limit(at_least("evidence_limit", evidence_limit, 1)),
+            "evidence": found.orderBy(F.desc("score"), "file", "reason").limit(most),
             "breakdown": found.groupBy("reason").agg(F.count("*").alias("n"), F.sum("score").alias("score")),
-            "risk": planning.impact_risk(scores, depth),
+            "counts": counts,
+            "risk": risk,
+            "paths": self.impact_paths(files, depth) if files else None,
             "checks": self.suggested_checks(scores),
+            "review": self._review(risk, depth, ranked),
         }
+        if format == "summary":
+            out["files"] = ranked.limit(most).withColumn("reasons", F.slice("reasons", 1, most))
+            out["paths"] = out["paths"].limit(most) if files else None
+        return {k: v for k, v in out.items() if v is not None}
+
+    def _review(self, risk: DataFrame, depth: int, ranked: DataFrame) -> DataFrame:
+        """(topic, detail) of what a reviewer should look at: the risk, the depth, index errors, the first file."""
+        r, top, errors = risk.first(), ranked.first(), self.tables.errors.count()
+        rows = [("risk", f"{r['risk']} risk over {r['files']} files")]
+        rows += [("depth", f"indirect evidence up to depth {depth}")] if depth > 1 else []
+        rows += [("errors", f"{errors} files could not be read or parsed")] if errors else []
+        rows += [("top_file", top["file"])] if top else []
+        return self.spark.createDataFrame(rows, "topic string, detail string")
 
     def suggested_checks(self, scores: DataFrame) -> DataFrame:
-        """(rank, command, reason): checks of the configuration that fit, else commands of the ecosystem; focused tests first."""
+        """(rank, command, reason): focused tests first, then checks of the configuration that fit any file reached, then commands of the ecosystem."""
         config = tree.load_config(self.root)
         tests = [r["file"] for r in scores.filter(F.col("file").rlike(r"(^|/)tests?/|(^|/)test_|_test\.|\.(test|spec)\.")).orderBy(F.desc("score"), "file").limit(5).collect()]
         rows = [(f"pytest {f}" if f.endswith(".py") else f"run the tests of {f}", "focused test") for f in tests]
-        hit = [r["file"] for r in scores.orderBy(F.desc("score"), "file").limit(200).collect()]
-        for check in config.checks:
-            prefix = check.get("path_prefix", "")
-            if check.get("command") and any(f.startswith(prefix) for f in hit):
-                rows.append((check["command"], f"configured for {prefix or 'all files'}"))
+        checks = [c for c in config.checks if c.get("command")]
+        if checks:
+            language = self.tables.files.select(F.col("path").alias("file"), "language")
+            fits = lambda c: F.col("file").startswith(c.get("path_prefix", "")) & (F.lit("language" not in c) | (F.col("language") == c.get("language")))
+            hit = scores.join(language, "file", "left").agg(*[F.coalesce(F.max(fits(c)), F.lit(False)).alias(f"c{i}") for i, c in enumerate(checks)]).first()
+            rows += [(c["command"], f"configured for {c.get('path_prefix') or c.get('language') or 'all files'}") for i, c in enumerate(checks) if hit[i]]
         commands = config.test_commands or tree.test_commands(os.listdir(self.root))
         rows += [(c, "configured" if config.test_commands else "detected") for c in commands]
         rows = [(i + 1, *r) for i, r in enumerate(dict.fromkeys(rows))]
         return self.spark.createDataFrame(rows, "rank int, command string, reason string")
 
     def seeds_of(self, task: str, seed_files=None, seed_symbols=None) -> tuple[str, list[str], list[str]]:
-        """(strategy, files, symbols) to begin with: what is named, what the task names, or an entrypoint."""
+        """(strategy, files, symbols) to begin with: what is named, what the task names, or an entrypoint.
+
+        What comes later in this order is looked for only if nothing before it was found.
+        """
         import re
 
         files, symbols = text_list("seed_files", seed_files, MAX_LOCATIONS), text_list("seed_symbols", seed_symbols)
-        if files or symbols:
-            return "explicit", [parse_location(f)[0] for f in files], symbols
+        found: dict[str, object] = dict.fromkeys(("explicit", "task_path", "path_indexed", "task_match", "entrypoint", "source_file"))
         known = self.tables.files
-        for token in re.findall(r"[\w./-]+\.\w+", task):
-            if known.filter(F.col("path") == token).count():
-                return "auto_task_path", [token], []
-            if os.path.exists(os.path.join(self.root, token)):
-                return "auto_task_path_unindexed", [], []
+        if files or symbols:
+            found["explicit"] = "named"
+        else:
+            for token in re.findall(r"[\w./-]+\.\w+", task):
+                indexed = not known.filter(F.col("path") == token).isEmpty()
+                if indexed or os.path.exists(os.path.join(self.root, token)):
+                    found |= {"task_path": token, "path_indexed": indexed}
+                    break
+        if not any(found.values()):
+            found["task_match"] = self._task_match(task)
+        if not any(found.values()):
+            entry = overview.entrypoints(known, self.tables.symbols).filter("role = 'source'").first()
+            found["entrypoint"] = entry["path"] if entry else None
+        if not any(found.values()):
+            first = known.orderBy("path").first()
+            found["source_file"] = first["path"] if first else None
+        row = self.spark.createDataFrame([tuple(found.values())], "explicit string, task_path string, path_indexed boolean, task_match string, entrypoint string, source_file string")
+        got = planning.infer_seed(row).first()
+        if got["strategy"] == "explicit":
+            return "explicit", files, symbols
+        return got["strategy"], [got["seed"]] if got["seed"] and got["strategy"] != "auto_task_path_unindexed" else [], []
+
+    def _task_match(self, task: str) -> str | None:
+        """The file that the words of a task fit best, by its path and its symbols."""
         terms = task_terms(task)
-        if terms:
-            score = F.lit(0)
-            for t in terms:
-                score = score + F.when(F.lower("path").contains(t), 2).otherwise(0)
-            named = self.tables.symbols.filter(F.lower("name").isin(*terms)).groupBy("path").agg(F.count("*").alias("_n"))
-            best = known.join(named, "path", "left").withColumn("_score", score + F.coalesce("_n", F.lit(0))).filter("_score > 0")
-            row = best.orderBy(F.desc("_score"), "path").first()
-            if row:
-                return "auto_task_match", [row["path"]], []
-        entry = overview.entrypoints(known, self.tables.symbols).filter("role = 'source'").first()
-        if entry:
-            return "auto_entrypoint", [entry["path"]], []
-        first = known.orderBy("path").first()
-        return ("auto_source_fallback", [first["path"]], []) if first else ("auto_no_seed", [], [])
+        if not terms:
+            return None
+        score = F.lit(0)
+        for t in terms:
+            score = score + F.when(F.lower("path").contains(t), 2).otherwise(0)
+        named = self.tables.symbols.filter(F.lower("name").isin(*terms)).groupBy("path").agg(F.count("*").alias("_n"))
+        best = self.tables.files.join(named, "path", "left").withColumn("_score", score + F.coalesce("_n", F.lit(0))).filter("_score > 0")
+        row = best.orderBy(F.desc("_score"), "path").first()
+        return row["path"] if row else None
+
+    def _context_parts(self, task: str, locations: list[tuple[str, int | None, int | None]], symbols: list[str]) -> list[DataFrame]:
+        """Ranges of every source of context around the seeds."""
+        t, e, score = self.tables, self.edges.filter("resolved_file is not null"), CONTEXT_SCORES
+        seeds = self.spark.createDataFrame(locations, "file string, start_line long, end_line long")
+        ranged = seeds.filter("start_line is not null")
+        whole = seeds.filter("start_line is null").select("file").join(t.files.select(F.col("path").alias("file"), F.col("line_count").alias("end_line")), "file")
+        parts = [context.ranges(ranged, "task_location", score["task_location"]), context.ranges(whole.withColumn("start_line", F.lit(1)), "seed_file", score["seed_file"])]
+        names = [x.lower() for x in symbols]
+        own = t.symbols.filter(self._any_name(F.col("qualified_name"), names) | F.lower("name").isin(*names)) if names else t.symbols.limit(0)
+        own = materialize(own.select(F.col("path").alias("file"), "start_line", "end_line"))
+        parts.append(context.ranges(own, "symbol_definition", score["symbol_definition"]))
+        files = materialize(seeds.select("file").union(own.select("file")).distinct())
+        into = e.join(files, e["resolved_file"] == files["file"], "left_semi")
+        parts.append(context.around(into.filter("kind = 'base_type'"), "type_relation", score["type_relation"], file="source_file"))
+        parts.append(context.around(into.filter("kind <> 'base_type'"), "dependency", score["dependency"], file="source_file"))
+        parts.append(context.heads(e.join(files, e["source_file"] == files["file"], "left_semi").select("resolved_file").distinct(), "dependency", score["dependency"], "resolved_file"))
+        if names:
+            parts.append(context.around(t.calls.filter(self._any_name(F.col("callee"), names)), "call_graph", score["call_graph"]))
+            made = t.calls.filter(self._any_name(F.col("caller"), names) & F.col("callee_file").isNotNull())
+            made = made.select(F.col("callee_file").alias("_file"), F.substring_index("callee", ".", -1).alias("_name")).distinct()
+            called = made.join(t.symbols, (made["_file"] == t.symbols["path"]) & (made["_name"] == t.symbols["name"]))
+            parts.append(context.ranges(called, "call_graph", score["call_graph"], file="_file"))
+            parts += [context.around(r.filter("kind <> 'definition'"), "reference", score["reference"], file="path") for r in self._references(symbols)]
+        else:
+            calls = t.calls.join(files.withColumnRenamed("file", "callee_file"), "callee_file", "left_semi").filter("callee_file <> file")
+            parts.append(context.around(calls, "call_graph", score["call_graph"]))
+        if self._vectors is not None:
+            near = self.semantic_search(task, CONTEXT_CHUNKS).select(F.split("chunk", ":").alias("_c"))
+            near = near.select(F.concat_ws(":", F.slice("_c", 1, F.size("_c") - 2)).alias("file"), F.element_at("_c", -2).alias("start_line"), F.element_at("_c", -1).alias("end_line"))
+            parts.append(context.ranges(near, "semantic", score["semantic"]))
+        else:
+            if self._chunks is None:
+                self.semantic_index(CHUNK_LINES, provider=None)
+            parts.append(context.ranges(lookup.chunks_matching(self._chunks, task_terms(task), CONTEXT_CHUNKS), "fallback", score["fallback"]))
+        return parts
 
     def context_pack(self, task: str, seed_files=None, seed_symbols=None, token_budget: int = 6000) -> dict:
-        """What to read first for a task: ranked ranges under a token budget, and what was left out."""
+        """What to read first for a task: ranked ranges of lines under a token budget, and what was left out."""
         required_text("task", task)
         budget = at_least("token_budget", token_budget, 1)
         strategy, files, symbols = self.seeds_of(task, seed_files, seed_symbols)
-        reasons = {"seed_file": "seed_file", "seed_definition": "symbol_definition", "type_relation_source": "type_relation", "direct_caller": "call_graph", "callee_target": "call_graph", "callee_source": "call_graph", "text_reference": "reference", "dependency_target": "dependency", "dependency_source": "dependency"}
-        found = materialize(self._evidence(symbols, files, 1)) if files or symbols else None
-        out = {"strategy": strategy, "seed_files": files, "seed_symbols": symbols, "applied_budget": max(budget, planning.LEAST_BUDGET)}
-        if found is None:
+        locations = [parse_location(f) for f in files]
+        out = {"strategy": strategy, "seed_files": [f for f, _, _ in locations], "seed_symbols": symbols, "applied_budget": max(budget, planning.LEAST_BUDGET)}
+        if not files and not symbols:
             return out | {"status": "blocked_no_seed"}
-        table = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])
-        mix = planning.source_mix(found.select("file", F.coalesce(F.try_element_at(table, F.col("reason")), F.lit("seed_file")).alias("source")))
-        points = F.create_map(*[F.lit(x) for kv in CONTEXT_SCORES.items() for x in kv])
         wants_tests = any(t.startswith("test") for t in task_terms(task))
         in_test = F.col("file").rlike(r"(^|/)tests?/|(^|/)test_|_test\.|\.(test|spec)\.")
-        boost = F.lit(0)
+        boost = F.when(in_test, 30 if wants_tests else -30).otherwise(0)
         for t in task_terms(task):
             boost = boost + F.when(F.lower("file").contains(t), 5).otherwise(0)
-        scored = mix.groupBy("file").agg(F.max(F.try_element_at(points, F.col("source"))).alias("_base")).withColumn(
-            "score", F.col("_base") + boost + F.when(in_test, 30 if wants_tests else -30).otherwise(0)
-        )
-        sized = scored.join(self.tables.files.select(F.col("path").alias("file"), "line_count"), "file")
-        candidates = materialize(sized.select("file", "score", F.greatest(F.lit(1), F.col("line_count") * TOKENS_PER_LINE).cast("long").alias("tokens"), "line_count"))
+        sized = self.tables.files.select(F.col("path").alias("file"), "line_count")
+        candidates = materialize(context.candidates(self._context_parts(task, locations, symbols), sized, boost))
         cut = materialize(planning.budget_cut(candidates, budget))
         selected = cut.filter("selected")
-        counts = cut.agg(F.count("*").alias("candidates"), F.count_if("selected").alias("selected"))
-        counts = counts.withColumn("raised", F.lit(budget < planning.LEAST_BUDGET)).withColumn("exhausted", F.col("selected") == 0)
-        lines = self.tables.files.agg(F.sum("line_count").alias("baseline")).join(F.broadcast(selected.agg(F.coalesce(F.sum("line_count"), F.lit(0)).alias("selected"))))
+        # A range that is too long for the budget alone is trimmed to it.
+        if selected.isEmpty() and not cut.isEmpty():
+            room = max(budget, planning.LEAST_BUDGET) // context.TOKENS_PER_LINE
+            selected = planning.trim_ranges(cut.filter("rank = 1"), room).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+            selected = materialize(selected.withColumn("tokens", F.col("lines") * context.TOKENS_PER_LINE).withColumn("selected", F.lit(True)))
+        own = context.by_file(selected).join(sized, "file")
+        all_files = context.by_file(cut.select("file", "rank", "score", "lines", "tokens"))
+        counts = cut.agg(F.count_distinct("file").alias("candidates"), F.count("*").alias("candidate_ranges"))
+        counts = counts.join(F.broadcast(selected.agg(F.count_distinct("file").alias("selected"), F.count("*").alias("selected_ranges"))))
+        counts = counts.withColumn("raised", F.lit(budget < planning.LEAST_BUDGET)).withColumn("exhausted", F.col("selected_ranges") < F.col("candidate_ranges"))
+        lines = self.tables.files.agg(F.sum("line_count").alias("baseline")).join(F.broadcast(selected.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("selected"))))
+        mix = planning.source_mix(selected.select("file", F.explode("sources").alias("source")))
         return out | {
             "status": "ok",
-            "files": selected.orderBy("rank"),
-            "omitted": planning.omitted(candidates, selected),
+            "files": own.orderBy("rank"),
+            "ranges": selected.select("file", "start_line", "end_line", "rank", "score", "sources", "lines", "tokens").orderBy("file", "start_line"),
+            "locations": context.location_map(selected),
+            "omitted": planning.omitted(all_files, own),
             "continuation": planning.continuation(counts),
-            "plan": planning.reading_plan(mix.join(selected.select("file"), "file", "left_semi")),
+            "plan": planning.reading_plan(mix),
             "read_less": planning.read_less(lines),
         }
 
@@ -395,6 +564,7 @@ class Project:
         agree = planning.agreement(self.spark.createDataFrame(row, "first_file string, selected array<string>, backend array<string>")).first()
         score = {"explicit": 90, "auto_task_path": 85, "auto_task_match": 70, "auto_entrypoint": 50, "auto_source_fallback": 30}.get(pack["strategy"], 0)
         score = 0 if not files else score - (20 if agree["agreement"] == "conflict" else 0)
+        warnings = [w for w, there in (("no_seed", not files), ("backend_conflict", agree["agreement"] == "conflict"), ("index_errors", report["errors"] > 0)) if there]
         return {
             "index": report,
             "overview": self.project_overview(),
@@ -404,10 +574,56 @@ class Project:
             "agreement": agree["agreement"],
             "quality_score": score,
             "quality_level": "high" if score >= 80 else "medium" if score >= 50 else "low" if score else "blocked",
+            "warnings": warnings,
             "steps": ["index_project", "project_overview", "context_pack", "impact_analysis"],
         }
 
-    agent_first_read = agent_route
+    def agent_first_read(
+        self, task: str, seed_files=None, seed_symbols=None, token_budget: int = 6000, backend_command: list[str] | None = None, backend_json: str | None = None,
+        backend_file: str | None = None, backend_head: str | None = None, force: bool = False, deadline: float = 30.0,
+    ) -> dict:
+        """The compact answer for a first read: where to begin, its ranges, and what an external backend says.
+
+        The backend's answer comes from a command, a JSON text or a file; a command gets
+        the one word of the task that tells most as its last argument. ``backend_head`` is
+        the commit that the backend indexed.
+        """
+        required_text("task", task)
+        command = text_list("backend_command", backend_command)
+        if command:
+            command = [*command, services.search_pattern(task_terms(task)) or task]
+        evidence = backends.evidence(command, backend_json, backend_file, backends.COMPACT, deadline)
+        self.index_project()
+        pack = self.context_pack(task, seed_files, seed_symbols, token_budget)
+        files = [r["file"] for r in pack["files"].limit(backends.COMPACT).collect()] if "files" in pack else []
+        named = [c["file"] for c in evidence.candidates] if evidence else None
+        agree = planning.agreement(self.spark.createDataFrame([(files[0] if files else None, files, named)], "first_file string, selected array<string>, backend array<string>")).first()
+        current = repository_fingerprint(self.root)
+        state = None
+        if evidence:
+            cached = self.stored("backend_fingerprint")
+            there = {r["path"] for r in self.tables.files.filter(F.col("path").isin(*named)).select("path").collect()} if named else set()
+            head = git_head(self.root)
+            state = backends.freshness(
+                current, cached, forced=force, head=head, indexed_head=backend_head, dirty=is_dirty(self.root), indexed=bool(named), lost=len(set(named) - there)
+            )
+            if self.store and current and state in ("forced", "cached", "changed", "head_match"):
+                kept = records.read_manifest(self.spark, self.store) or {}
+                records.write_manifest(self.spark, self.store, kept | {"backend_fingerprint": current})
+        return {
+            "status": pack["status"],
+            "strategy": pack["strategy"],
+            "first_file": files[0] if files else None,
+            "files": files,
+            "ranges": pack.get("ranges"),
+            "backend": None if evidence is None else {"provider": evidence.provider, "candidates": evidence.candidates, "total": evidence.total, "omitted": evidence.omitted, "freshness": state},
+            "agreement": agree["agreement"],
+            "next": "read_ranges" if files else "name_a_seed",
+        }
+
+    def config_init(self, force: bool = False) -> str:
+        """Write a sample configuration; the path that was written."""
+        return tree.write_config(self.root, force)
 
     def config_status(self) -> DataFrame:
         return tree.config_status(self.spark, self.root)

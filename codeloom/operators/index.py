@@ -23,8 +23,8 @@ DEPENDENCY = "struct<target:string,kind:string,line:bigint,local_alias:string,im
 CALL = "struct<caller:string,callee:string,line:bigint,column:bigint,confidence:double,own:boolean>"
 SCHEMA = f"path string, language string, symbols array<{SYMBOL}>, dependencies array<{DEPENDENCY}>, calls array<{CALL}>, extractor string, error string"
 METADATA = r"(^|/)(go\.mod|go\.work|package\.json|tsconfig\.json|jsconfig\.json|pnpm-workspace\.yaml)$"
-#: Metadata files that the driver takes; a tree with more is an error, not a silent cut.
-MAX_METADATA = 50_000
+#: Metadata files, and their characters in all, that the driver takes and sends to the executors; a tree with more is an error, not a silent cut.
+MAX_METADATA, MAX_METADATA_CHARS = 50_000, 256 << 20
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +101,8 @@ class Index:
     dependencies: DataFrame
     calls: DataFrame
     errors: DataFrame
+    #: Digest of what paths are resolved by: metadata files and conditions.
+    fingerprint: str | None = None
 
     def report(self) -> DataFrame:
         """One row of counts."""
@@ -153,6 +155,8 @@ def build_index(files: DataFrame, metadata: dict[str, str] | None = None, known:
 def metadata_texts(spark: SparkSession, root: str) -> dict[str, str]:
     """Metadata files of a tree by relative path, installed packages included."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("path").rlike(METADATA))
+    if (raw.agg(F.sum("length")).first()[0] or 0) > MAX_METADATA_CHARS:
+        raise ValueError(f"metadata files of more than {MAX_METADATA_CHARS} bytes under {root}")
     rows = raw.select("path", F.col("content").cast("string").alias("text")).limit(MAX_METADATA + 1).collect()
     if len(rows) > MAX_METADATA:
         raise ValueError(f"more than {MAX_METADATA} metadata files under {root}")
@@ -160,20 +164,57 @@ def metadata_texts(spark: SparkSession, root: str) -> dict[str, str]:
     return {r["path"].split(at, 1)[1].lstrip("/"): r["text"] for r in rows}
 
 
-def index_tree(spark: SparkSession, root: str, previous: Index | None = None) -> Index:
-    """Read, scope and index the tree at ``root`` by its configuration."""
-    from codeloom.sources.tree import Scope, ignored, load_config, read_tree
+def resolution_fingerprint(spark: SparkSession, metadata: dict[str, str], conditions: list[str]) -> str:
+    """Digest of the metadata files and conditions that paths are resolved by."""
+    inputs = spark.createDataFrame(list(metadata.items()), "path string, text string").select("path", F.sha2("text", 256).alias("hash"))
+    return incremental.fingerprint(inputs, conditions).first()[0]
+
+
+def tree_scope(root: str):
+    """The scope that the configuration of a tree sets."""
+    from codeloom.sources.tree import Scope, load_config
 
     config = load_config(root)
-    scope = Scope(config.include, [*config.exclude, *ignored(root)])
-    files = read_tree(spark, root, scope)
-    return build_index(files, metadata_texts(spark, root), conditions=tuple(config.package_conditions), previous=previous)
+    return Scope(config.include, config.exclude)
+
+
+def index_tree(spark: SparkSession, root: str, previous: Index | None = None) -> Index:
+    """Read, scope and index the tree at ``root`` by its configuration.
+
+    A tree whose files and resolution inputs are those of ``previous`` is not resolved again.
+    """
+    from codeloom.sources.tree import load_config, read_tree
+
+    conditions = tuple(load_config(root).package_conditions)
+    files = read_tree(spark, root, tree_scope(root))
+    metadata = metadata_texts(spark, root)
+    digest = resolution_fingerprint(spark, metadata, list(conditions))
+    if previous is not None and previous.fingerprint == digest:
+        now = files.filter("text is not null").select("path", "hash")
+        before = previous.files.select("path", "hash")
+        if now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty():
+            return previous
+    return replace(build_index(files, metadata, conditions=conditions, previous=previous), fingerprint=digest)
+
+
+TABLES = ("files", "symbols", "dependencies", "calls", "errors")
 
 
 def select_previous(index: Index, folder: str) -> Index:
-    """The same index from snapshots written under ``folder``, for the next run."""
-    from codeloom.sources.records import write_snapshot
+    """The same index from snapshots written under ``folder``, for the next run, which ``open_index`` finds again."""
+    from codeloom.sources.records import write_manifest, write_snapshot
 
     spark = index.files.sparkSession
-    saved = {n: spark.read.parquet(write_snapshot(getattr(index, n), folder, n, 1)) for n in ("files", "symbols", "dependencies", "calls", "errors")}
-    return replace(index, **saved)
+    paths_of = {n: write_snapshot(getattr(index, n), folder, n, 1) for n in TABLES}
+    write_manifest(spark, folder, paths_of | {"fingerprint": index.fingerprint or ""})
+    return replace(index, **{n: spark.read.parquet(p) for n, p in paths_of.items()})
+
+
+def open_index(spark: SparkSession, folder: str) -> Index | None:
+    """The index last written under ``folder``; None if there is none or its schema is of another version."""
+    from codeloom.sources.records import read_manifest
+
+    found = read_manifest(spark, folder)
+    if found is None or any(n not in found for n in TABLES):
+        return None
+    return Index(*[spark.read.parquet(found[n]) for n in TABLES], fingerprint=found.get("fingerprint") or None)

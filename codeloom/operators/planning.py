@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,15 +75,16 @@ def source_mix(parts: DataFrame) -> DataFrame:
     return parts.groupBy("file", "source").agg(F.count("*").alias("n"))
 
 
-def merge_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
+def merge_ranges(ranges: DataFrame, gap: int = 1, more: tuple[Column, ...] = ()) -> DataFrame:
     """Islands of (file, start_line, end_line): ranges that overlap or lie within ``gap`` lines become one.
 
     Ranges are dealt by (file, start_line), so that a hot file spreads over tasks. A slice
     takes over the last line that the slices before it reach in the file, and the number
-    of islands that they open; one row for each file and slice carries both.
+    of islands that they open; one row for each file and slice carries both. ``more`` are
+    aggregates of other columns over an island.
     """
     slices = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranges.select("file", "start_line", "end_line").repartitionByRange(slices, "file", "start_line", "end_line").withColumn("_slice", F.spark_partition_id())
+    ranged = ranges.repartitionByRange(slices, "file", "start_line", "end_line").withColumn("_slice", F.spark_partition_id())
     ranged = materialize(ranged)
     before = W.partitionBy("file").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy("_slice", "file").orderBy("start_line", "end_line")
@@ -96,7 +97,7 @@ def merge_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
     opened = marked.groupBy("file", "_slice").agg(F.sum("_new").alias("_n"))
     opened = opened.select("file", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     islands = marked.join(opened, ["file", "_slice"]).groupBy("file", (F.col("_island") + F.col("_offset")).alias("_island"))
-    return islands.agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged")).drop("_island")
+    return islands.agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("merged"), *more).drop("_island")
 
 
 def trim_ranges(ranges: DataFrame, most_lines: int) -> DataFrame:
@@ -112,7 +113,7 @@ def budget_cut(candidates: DataFrame, budget: int) -> DataFrame:
     ranking, counted and summed inside a range, and offset by the ranges before it.
     """
     limit = max(budget, LEAST_BUDGET)
-    order = [F.desc("score"), F.asc("file")]
+    order = [F.desc("score"), F.asc("file"), *([F.asc("start_line")] if "start_line" in candidates.columns else [])]
     slices = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(candidates.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row a range
@@ -166,6 +167,8 @@ FOLLOW_UP = {
     "reference": ("check_usage", "find_references"),
     "semantic": ("confirm_match", "semantic_search"),
     "dependency": ("check_import", "dependency_graph"),
+    "task_location": ("inspect_location", "outline"),
+    "fallback": ("confirm_match", "symbol_search"),
 }
 
 

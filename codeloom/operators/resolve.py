@@ -148,8 +148,8 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
     raise RuntimeError(f"closure has not ended after {most_rounds} rounds")
 
 
-def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): shortest depth, 1 to ``depth``, at which a node is met.
+def walk_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, depth, via): shortest depth, 1 to ``depth``, at which a node is met, and the first node that leads there.
 
     Only nodes that no shorter walk has met go on, and each level is written to the
     shared folder, so a cycle is walked once and plans do not nest.
@@ -157,12 +157,17 @@ def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     frontier, found = starts.select("start", F.col("start").alias("node")).distinct(), None
     for d in range(1, depth + 1):
-        step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
+        step = frontier.join(e, frontier["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         if found is not None:
-            step = step.join(found, ["start", "node"], "left_anti")
-        frontier = materialize(step)
-        level = frontier.withColumn("depth", F.lit(d))
+            step = step.join(found.select("start", "node"), ["start", "node"], "left_anti")
+        level = materialize(step.select("start", "node", F.lit(d).alias("depth"), "via"))
         found = level if found is None else found.unionByName(level)
+        frontier = level.select("start", "node")
         if d < depth and frontier.isEmpty():
             break
     return found
+
+
+def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, depth): shortest depth, 1 to ``depth``, at which a node is met."""
+    return walk_paths(edges, starts, depth).drop("via")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Version of the tables of a store; a store of another version is written anew.
+SCHEMA_VERSION = "2"
+
 CANDIDATE = "struct<file:string,symbol:string,start_line:bigint,end_line:bigint,score:double>"
 COMPACT, FULL = 8, 16
 
@@ -42,3 +46,23 @@ def write_snapshot(df: DataFrame, folder: str, name: str, version: int) -> str:
     path = f"{folder.rstrip('/')}/{name}/v{version}-{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def write_manifest(spark: SparkSession, folder: str, values: dict[str, str]) -> None:
+    """Write (key, value) rows of a store: its schema version, the paths of its snapshots and what else is kept."""
+    rows = sorted((values | {"schema_version": SCHEMA_VERSION}).items())
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/manifest")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> dict[str, str] | None:
+    """Keys and values of a store; None if it has none or is of another version."""
+    try:
+        found = {r["key"]: r["value"] for r in spark.read.schema("key string, value string").parquet(f"{folder.rstrip('/')}/manifest").collect()}
+    except AnalysisException:
+        return None
+    return found if found.get("schema_version") == SCHEMA_VERSION else None
+
+
+def read_json_expectations(spark: SparkSession, path: str) -> DataFrame:
+    """Expectations as a JSON array of objects of the same names."""
+    return spark.read.schema(EXPECTATION).json(path, multiLine=True).filter("task is not null and trim(task) <> ''")

@@ -123,29 +123,94 @@ class Scope:
         return (not inside or any(re.search(r, path) for r in inside)) and not any(re.search(r, path) for r in outside)
 
 
-def list_tree(root: str, scope: Scope) -> list[tuple[str, int, int]]:
-    """(path, size, time in microseconds) of files of known languages; pruned folders are not entered."""
+@dataclass(frozen=True)
+class IgnoreRule:
+    """A line of an ignore file: the folder it lies in, what it matches below, and whether it takes back."""
+
+    folder: str
+    pattern: re.Pattern
+    negated: bool
+    folders_only: bool
+
+
+def ignore_rules(folder: str, text: str) -> list[IgnoreRule]:
+    """Rules of the ignore file of ``folder``; a pattern with an inner slash is tied to the folder, others match at any depth."""
+    out = []
+    for raw in text.splitlines():
+        line = raw.rstrip() if not raw.endswith("\\ ") else raw[:-2] + " "
+        negated = line.startswith("!")
+        line = line[1:] if negated else line.removeprefix("\\")
+        body = line.strip("/")
+        if not body or not negated and raw.startswith("#"):
+            continue
+        tied = "/" in line.rstrip("/")
+        out.append(IgnoreRule(folder, re.compile(glob_regex(body if tied else f"**/{body}")), negated, line.endswith("/")))
+    return out
+
+
+def is_ignored(path: str, is_folder: bool, rules: list[IgnoreRule]) -> bool:
+    """The last rule that matches decides; rules of inner folders come after those of outer ones."""
+    for r in reversed(rules):
+        if r.folders_only and not is_folder or r.folder and not path.startswith(r.folder + "/"):
+            continue
+        if r.pattern.match(path[len(r.folder) + 1 :] if r.folder else path):
+            return not r.negated
+    return False
+
+
+def list_tree(root: str, scope: Scope, errors: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int]]:
+    """(path, size, time in microseconds) of files of known languages.
+
+    Pruned and ignored folders are not entered; ignore files of all folders count, and a
+    file below an ignored folder cannot be taken back. Folders and files that cannot be
+    listed go to ``errors`` as (path, message) and the walk goes on.
+    """
     out: dict[str, tuple[int, int]] = {}
+    errors = [] if errors is None else errors
+    relative = lambda full: os.path.relpath(full, root).replace(os.sep, "/")
+    rules: dict[str, list[IgnoreRule]] = {}
+
+    def rules_of(folder: str) -> list[IgnoreRule]:
+        if folder not in rules:
+            above = rules_of(os.path.dirname(folder)) if folder else []
+            try:
+                with open(os.path.join(root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                    rules[folder] = above + ignore_rules(folder, f.read())
+            except OSError:
+                rules[folder] = above
+        return rules[folder]
+
+    def failed(e: OSError) -> None:
+        errors.append((relative(e.filename) if e.filename else "", f"walk: {e.strerror}"))
+
     for start in walk_roots(scope.include):
         top = os.path.join(root, start)
-        if os.path.isfile(top):
-            folders = [(os.path.dirname(top), [], [os.path.basename(top)])]
-        else:
-            folders = os.walk(top)
+        above = [p for p in (start.split("/")[: n + 1] for n in range(start.count("/") + 1)) if start]
+        if any(is_ignored("/".join(p), os.path.isdir(os.path.join(root, *p)), rules_of("/".join(p[:-1]))) for p in above):
+            continue
+        folders = [(os.path.dirname(top), [], [os.path.basename(top)])] if os.path.isfile(top) else os.walk(top, onerror=failed)
         for folder, inner, names in folders:
-            inner[:] = sorted(d for d in inner if d not in PRUNED)
+            at = relative(folder)
+            at = "" if at == "." else at
+            own = rules_of(at)
+            inside = lambda name: f"{at}/{name}" if at else name  # noqa: B023, E731
+            inner[:] = sorted(d for d in inner if d not in PRUNED and not is_ignored(inside(d), True, own))
             for name in names:
-                full = os.path.join(folder, name)
-                path = os.path.relpath(full, root).replace(os.sep, "/")
-                if name.rpartition(".")[2] in EXTENSIONS and "." in name and scope.matches(path):
-                    stat = os.stat(full)
+                path = inside(name)
+                if name.rpartition(".")[2] in EXTENSIONS and "." in name and scope.matches(path) and not is_ignored(path, False, own):
+                    try:
+                        stat = os.stat(os.path.join(folder, name))
+                    except OSError as e:
+                        failed(e)
+                        continue
                     out[path] = (stat.st_size, stat.st_mtime_ns // 1000)
     return [(p, *s) for p, s in sorted(out.items())]
 
 
 def _mounted_files(spark: SparkSession, root: str, scope: Scope) -> DataFrame:
     """Listed on the driver (names and sizes only), read on the executors. Spark's own reader skips names like __init__.py."""
-    listed = list_tree(root, scope)
+    lost: list[tuple[str, str]] = []
+    listed = list_tree(root, scope, lost)
     names = spark.createDataFrame(listed, "path string, size long, modified long")
     # About 16 MB or 2,000 files to a task.
     tasks = max(1, len(listed) // 2000, sum(r[1] for r in listed) >> 24)
@@ -163,7 +228,10 @@ def _mounted_files(spark: SparkSession, root: str, scope: Scope) -> DataFrame:
                     errors.append(f"read: {e.strerror}")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["path", "size", "modified", "content", "error"])
 
-    return names.repartition(tasks, "path").mapInArrow(read, "path string, size long, modified long, content binary, error string")
+    found = names.repartition(tasks, "path").mapInArrow(read, "path string, size long, modified long, content binary, error string")
+    if not lost:
+        return found
+    return found.unionByName(spark.createDataFrame([(p, None, None, None, e) for p, e in lost], found.schema))
 
 
 def _stored_files(spark: SparkSession, root: str, scope: Scope) -> DataFrame:
@@ -186,27 +254,12 @@ def read_tree(spark: SparkSession, root: str, scope: Scope | None = None) -> Dat
     scope = scope or Scope()
     base = re.sub("^file:/*", "/", root).rstrip("/")
     own = _mounted_files(spark, base, scope) if "://" not in base else _stored_files(spark, base, scope)
-    own = own.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull())
+    own = own.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull() | F.col("error").startswith("walk:"))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     error = F.coalesce("error", F.when(text.isNull(), "read: invalid UTF-8"))
     return own.select("path", "language", text.alias("text"), error.alias("error"), "size", "modified", F.sha2("content", 256).alias("hash"), line_count(text).alias("line_count"))
 
 
-def ignored(root: str) -> list[str]:
-    """Patterns of the ignore file at the root; comments, blanks and negations are left out."""
-    path = os.path.join(root, ".gitignore")
-    if not os.path.exists(path):
-        return []
-    with open(path, encoding="utf-8") as f:
-        lines = [x.strip() for x in f]
-    out = []
-    for x in lines:
-        if x and not x.startswith(("#", "!")):
-            p = x.rstrip("/")
-            out += [p.lstrip("/")] if "/" in p else [p, f"**/{p}", f"**/{p}/**"]
-    return out
-
-
 # --- configuration -----------------------------------------------------------------
 
 CONFIG = "codeloom.toml"

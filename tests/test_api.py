@@ -178,3 +178,121 @@ def test_calls_resolve_by_language(spark, tmp_path):
     }
     assert {k: got[k][0] for k in want} == want
     assert got["csrc/main.c", "inner"][1] == 0.68 and got["src/user.rs", "crate.util.go"][1] == 0.76 and got["src/user.rs", "util.deep.dig"][1] == 0.74
+
+
+def test_context_ranges(project):
+    project._vectors = project._chunks = None
+    pack = project.context_pack("look at it", seed_files=["app/auth.py#L7-L8"], seed_symbols=["load"])
+    ranges = rows(pack["ranges"], "file", "start_line", "end_line")
+    assert ranges == sorted(ranges) and ("app/auth.py", 8) in {(f, e) for f, _, e in ranges}
+    by = {}
+    for f, a, z in ranges:
+        assert a <= z and all(a > y for _, y in by.get(f, [])), "no line twice"
+        by.setdefault(f, []).append((a, z))
+    sources = {x for r in pack["ranges"].collect() for x in r["sources"]}
+    assert {"task_location", "symbol_definition", "call_graph", "dependency"} <= sources
+    assert pack["locations"].first()["locations"]["app/store.py"] == ["1-2"]
+    assert pack["read_less"].first()["selected"] == sum(z - a + 1 for f, a, z in ranges)
+
+
+def test_first_read(project, tmp_path):
+    import sys
+
+    answer = json.dumps({"result": {"provider": "p", "results": [{"path": "main.py"}], "semantic_results": [{"file": "./app/auth.py", "score": 1.0}, {"file": "gone.py"}]}})
+    got = project.agent_first_read("fix the login in app/auth.py", backend_json=answer)
+    assert got["first_file"] == "app/auth.py" and got["agreement"] == "agree" and got["next"] == "read_ranges"
+    assert [c["file"] for c in got["backend"]["candidates"]] == ["app/auth.py", "gone.py", "main.py"] and got["backend"]["freshness"] == "non_git"
+    said = project.agent_first_read("fix the login", backend_command=[sys.executable, "-c", "import json, sys; print(json.dumps([sys.argv[1] + '.py']))"])
+    assert [c["file"] for c in said["backend"]["candidates"]] == ["authentication.py"]
+    assert project.agent_first_read("fix the login in app/auth.py")["backend"] is None
+    with pytest.raises(ValueError):
+        project.agent_first_read("x", backend_json="[]", backend_file="f")
+
+
+def test_backend_states():
+    from codeloom.sources.backend import freshness as state
+
+    assert [state("a", "a"), state("a", "b"), state(None), state("a", forced=True), state("a", indexed=False), state("a", lost=1), state("a")] == ["cached", "changed", "non_git", "forced", "missing", "stale_candidates", "unverified"]
+    assert [state("a", head="h", indexed_head="h", dirty=True), state("a", head="h", indexed_head="h"), state("a", head="h", indexed_head="i")] == ["dirty", "head_match", "stale"]
+
+
+def test_backend_evidence_is_cut():
+    from codeloom.sources import backend
+
+    many = backend.normalise([f"f{i}.py" for i in range(20)] + ["f0.py", 3, {"x": 1}])
+    assert (len(many.candidates), many.total, many.omitted) == (16, 20, 4)
+    assert backend.evidence() is None and backend.normalise("x").candidates == []
+    with pytest.raises(ValueError):
+        backend.evidence(text="{")
+
+
+def test_impact_paths_and_summary(project):
+    got = project.impact_analysis(files=["app/store.py"], depth=2, format="summary", evidence_limit=1)
+    assert got["files"].count() == 1 and got["counts"].first()["files"] > 1 and got["evidence"].count() == 1
+    paths = rows(project.impact_paths(["app/store.py"], 2), "kind", "depth", "from", "to", "line")
+    assert ("importer", 1, "app/store.py", "app/auth.py", 1) in paths and any(p[1] == 2 for p in paths)
+    assert {r["topic"] for r in got["review"].collect()} >= {"risk", "depth", "top_file"}
+    with pytest.raises(ValueError):
+        project.impact_analysis(files=["x"], format="other")
+
+
+def test_ignored_files_are_nowhere(spark, tmp_path):
+    write(str(tmp_path), {
+        ".gitignore": "# note\ngen/\n*.tmp.py\n!keep.tmp.py\n/only_root.py\n", "a.py": "def find_me():\n    pass\n", "gen/b.py": "find_me()\n", "x.tmp.py": "find_me()\n", "keep.tmp.py": "find_me()\n",
+        "sub/.gitignore": "local.py\n!inner.py\n", "sub/local.py": "find_me()\n", "sub/inner.py": "find_me()\n", "sub/only_root.py": "find_me()\n", "only_root.py": "find_me()\n", "other/local.py": "find_me()\n",
+    })
+    p = Project(spark, str(tmp_path))
+    kept = {"a.py", "keep.tmp.py", "sub/inner.py", "sub/only_root.py", "other/local.py"}
+    p.index_project()
+    assert {r[0] for r in rows(p.tables.files, "path")} == kept
+    assert {r[0] for r in rows(p.find_references("find_me", include_definitions=True), "path")} == kept
+    p.semantic_index(5)
+    assert {r[0] for r in rows(p._chunks, "file")} == kept
+
+
+def test_store_is_opened_again(spark, tmp_path, monkeypatch):
+    root, store = str(tmp_path / "tree"), str(tmp_path / "store")
+    write(root, {"a.py": "def f():\n    g()\n", "b.py": "def g():\n    pass\n"})
+    first = Project(spark, root, store)
+    assert first.index_project().first()["files"] == 2
+    parsed = []
+    real = index.extract_files
+    monkeypatch.setattr(index, "extract_files", lambda df: parsed.append(df.count()) or real(df))
+    again = Project(spark, root, store)
+    row = again.index_project().first()
+    assert row["files"] == 2 and parsed == [] and row["duration_ms"] > 0
+    write(root, {"a.py": "def f():\n    h()\n"})
+    assert Project(spark, root, store).index_project().first()["calls"] == 1 and parsed == [1]
+    from codeloom.sources import records
+
+    monkeypatch.setattr(records, "SCHEMA_VERSION", "other")
+    assert index.open_index(spark, store) is None
+
+
+def test_changes_are_explained(spark, tmp_path):
+    write(str(tmp_path), {"a.py": "x = 1\n"})
+    p = Project(spark, str(tmp_path))
+    got = p.semantic_index(5, explain=True)
+    assert rows(got["changes"], "file", "change") == [("a.py", "added")] and got["counts"].first()["generated"] == 1
+    write(str(tmp_path), {"a.py": "x = 2\n"})
+    p.index_project()
+    assert rows(p.semantic_index(5, explain=True)["changes"], "file", "change") == [("a.py", "updated")]
+    with pytest.raises(ValueError):
+        p.semantic_index(5, provider="nope")
+
+
+def test_provider_of_the_environment(spark, tmp_path, monkeypatch):
+    write(str(tmp_path), {"a.py": "x = 1\n"})
+    p = Project(spark, str(tmp_path))
+    assert p.semantic_index(5, provider="env").first()["vector_status"] == "provider_not_configured"
+    assert p.embedding_status("env").first()["status"] == "disabled"
+    monkeypatch.setenv("CODELOOM_EMBEDDINGS", "local-hash")
+    assert p.semantic_index(5, provider="env").first()["generated"] == 1
+    assert p.embedding_status("env").first()["status"] == "complete"
+
+
+def test_long_answers_say_what_is_left_out(spark, monkeypatch):
+    from codeloom import cli
+
+    monkeypatch.setattr(cli, "MOST_ROWS", 3)
+    assert cli.plain(spark.range(5))["omitted"] == 2 and len(cli.plain(spark.range(3))) == 3
