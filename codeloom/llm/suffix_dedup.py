@@ -29,7 +29,6 @@ import functools
 import hashlib
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -267,7 +266,7 @@ def _unpack_cuts(blob: bytes) -> np.ndarray:
 HEADER = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("group", "<u4"), ("left", "u1"), ("right", "u1")])
 
 
-def _pack_around(rows: list[tuple[int, int, int, int, int, bytes]]) -> bytes:
+def _pack_around(rows: list[Around]) -> bytes:
     """(doc, pos, group, left, right, bytes) of surroundings in one blob."""
     head = np.array([r[:5] for r in rows], HEADER)
     return zstandard.compress(struct.pack("<q", len(rows)) + head.tobytes() + b"".join(r[5] for r in rows), 1)
@@ -287,7 +286,7 @@ def _surroundings(docs: pa.Table, repeats: pa.Table, buckets: int) -> pa.Table:
         code = _codes(h, buckets)
         hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
         first: set[tuple[int, bytes]] = set()
-        sent: dict[int, list[tuple[int, int, int, int, int, bytes]]] = {}
+        sent: dict[int, list[Around]] = {}
         cuts: tuple[list[int], list[int], list[int]] = ([], [], [])
         bucket = (code[hit] >> _shift(buckets)).astype(np.int64)
         if len(hot):
@@ -457,55 +456,6 @@ def _reach(order: list[int], prefix: list[int], head: list[tuple], lefts: list[b
             yield order[j], most_left[j], most_right[j]
 
 
-@dataclass
-class _Suffixes:
-    head: np.ndarray
-    data: bytes
-    begin: np.ndarray
-
-    @classmethod
-    def unpack(cls, blobs: list[bytes]) -> _Suffixes:
-        heads, datas = [], []
-        for blob in blobs:
-            raw = zstandard.decompress(blob)
-            n = struct.unpack_from("<q", raw)[0]
-            heads.append(np.frombuffer(raw, HEADER, n, 8))
-            datas.append(raw[8 + n * HEADER.itemsize :])
-        head = np.concatenate(heads) if heads else np.array([], HEADER)
-        size = head["left"].astype(np.int64) + head["right"]
-        return cls(head, b"".join(datas), np.cumsum(size) - size)
-
-
-def earlier_strings(blobs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(document group, doc, start, end) of every cut that the surroundings of a bucket give."""
-    s = _Suffixes.unpack(blobs)
-    if not len(s.head):
-        return
-    anchor = s.begin + s.head["left"]
-    raw = np.frombuffer(s.data + bytes(SHALLOW), np.uint8)
-    keys = raw[anchor[:, None] + np.arange(SHALLOW)].view(">u8").astype(np.uint64)
-    order = shallow_sort(keys)
-    sorted_keys = keys[order]
-    edge = np.flatnonzero(np.r_[True, (sorted_keys[1:] != sorted_keys[:-1]).any(1)])
-    ends = np.r_[edge[1:], len(order)]
-    for a, z in zip(edge[ends - edge > 1].tolist(), ends[ends - edge > 1].tolist()):
-        own = order[a:z]
-        trie, lefts = BlindTrie(), []
-        rows = s.head[own]
-        head = list(zip(rows["doc"].tolist(), rows["pos"].tolist(), rows["left"].tolist(), rows["right"].tolist()))
-        for j, (at, (_, _, left, right)) in enumerate(zip(anchor[own].tolist(), head)):
-            trie.add(s.data[at : at + right], j)
-            lefts.append(s.data[at - left : at][::-1])
-        members, prefix = trie.ordered()
-        # Only strings that share the anchor's K-gram can share SPAN bytes around it.
-        cut = [i for i, p in enumerate(prefix) if p < K] + [len(members)]
-        for lo, hi in zip(cut, cut[1:]):
-            if hi - lo > 1:
-                for m, left, right in _reach(members[lo:hi], [0, *prefix[lo + 1 : hi]], head, lefts):
-                    doc, pos, _, _ = head[m]
-                    yield int(rows["group"][m]), doc, pos - left, pos + right
-
-
 class _Cuts:
     """Cuts of document groups, packed for each."""
 
@@ -522,19 +472,60 @@ class _Cuts:
         return [buckets + g for g in self.of], [_pack_cuts(*c) for c in self.of.values()]
 
 
-def _combine(blobs: list[bytes], cuts: _Cuts) -> bytes:
-    """Of equal surroundings of a deal the earliest is left; the others are cut whole, as all their strings occur there."""
-    s = _Suffixes.unpack(blobs)
-    first: dict[tuple[int, bytes], tuple[int, int, int, int, int, bytes]] = {}
-    for (doc, pos, group, left, right), at in zip(s.head.tolist(), s.begin.tolist()):
-        around = s.data[at : at + left + right]
-        row, known = (doc, pos, group, left, right, around), first.get((left, around))
-        if known is None or row[:2] < known[:2]:
-            first[left, around] = row
-            row = known
-        if row:
-            cuts.add(row[2], row[0], row[1] - row[3], row[1] + row[4])
-    return _pack_around(list(first.values()))
+#: Surroundings of an anchor: doc, pos, document group, bytes to the left and to the right, and the bytes.
+Around = tuple[int, int, int, int, int, bytes]
+
+
+def _unpack_around(blob: bytes) -> Iterator[Around]:
+    raw = zstandard.decompress(blob)
+    n = struct.unpack_from("<q", raw)[0]
+    at = 8 + n * HEADER.itemsize
+    for doc, pos, group, left, right in np.frombuffer(raw, HEADER, n, 8).tolist():
+        yield doc, pos, group, left, right, raw[at : at + left + right]
+        at += left + right
+
+
+def _distinct(blobs: list[bytes], cuts: _Cuts) -> list[Around]:
+    """Of equal surroundings the earliest is left; the others are cut whole, as all their strings occur there.
+
+    Blobs are taken one by one and dropped, so that copies take no memory.
+    """
+    first: dict[tuple[int, bytes], Around] = {}
+    while blobs:
+        for row in _unpack_around(blobs.pop()):
+            key = row[3], row[5]
+            known = first.setdefault(key, row)
+            if known is not row:
+                if row[:2] < known[:2]:
+                    first[key], row = row, known
+                cuts.add(row[2], row[0], row[1] - row[3], row[1] + row[4])
+    return list(first.values())
+
+
+def earlier_strings(rows: list[Around]) -> Iterator[tuple[int, int, int, int]]:
+    """(document group, doc, start, end) of every cut that distinct surroundings of a bucket give."""
+    if len(rows) < 2:
+        return
+    keys = np.frombuffer(b"".join(r[5][r[3] : r[3] + SHALLOW] for r in rows), np.uint8).reshape(-1, SHALLOW).view(">u8").astype(np.uint64)
+    order = shallow_sort(keys)
+    sorted_keys = keys[order]
+    edge = np.flatnonzero(np.r_[True, (sorted_keys[1:] != sorted_keys[:-1]).any(1)])
+    ends = np.r_[edge[1:], len(order)]
+    for a, z in zip(edge[ends - edge > 1].tolist(), ends[ends - edge > 1].tolist()):
+        own = [rows[i] for i in order[a:z].tolist()]
+        head = [(doc, pos, left, right) for doc, pos, _, left, right, _ in own]
+        trie, lefts = BlindTrie(), []
+        for j, (_, _, _, left, _, around) in enumerate(own):
+            trie.add(around[left:], j)
+            lefts.append(around[:left][::-1])
+        members, prefix = trie.ordered()
+        # Only strings that share the anchor's K-gram can share SPAN bytes around it.
+        cut = [i for i, p in enumerate(prefix) if p < K] + [len(members)]
+        for lo, hi in zip(cut, cut[1:]):
+            if hi - lo > 1:
+                for m, left, right in _reach(members[lo:hi], [0, *prefix[lo + 1 : hi]], head, lefts):
+                    doc, pos, group = own[m][:3]
+                    yield group, doc, pos - left, pos + right
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -549,11 +540,12 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             yield batch_of([route] * len(blobs), blobs)
             continue
         cuts = _Cuts()
+        rows = _distinct(blobs, cuts)
         if route >= HOT:
-            yield batch_of([(route - HOT) & 0xFFFFFF], [_combine(blobs, cuts)])
+            yield batch_of([(route - HOT) & 0xFFFFFF], [_pack_around(rows)])
         else:
-            for group, doc, start, end in earlier_strings(blobs):
-                cuts.add(group, doc, start, end)
+            for found in earlier_strings(rows):
+                cuts.add(*found)
         yield batch_of(*cuts.rows(buckets))
     trim()
 
