@@ -147,9 +147,16 @@ def _shift(buckets: int) -> np.uint64:
 
 
 def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the upper 16 or 24 bits, from the upper bits of the hash; its lower bits below."""
+    """Bucket in the upper 16 or 24 bits of a mixed hash, the lower bits of which lie below.
+
+    Hashes of anchors are minima and therefore small; mixed one to one, they spread evenly.
+    """
     shift = _shift(buckets)
     low = (np.uint64(1) << shift) - np.uint64(1)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
     return ((h >> shift) * np.uint64(buckets) >> (np.uint64(64) - shift)) << shift | h & low
 
 
@@ -635,8 +642,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     taken = docs.columns
     docs, number = _numbered(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number reaches the driver
-    buckets = groups = min(1 << 24, max(4 * partitions(spark), -(-size // GROUP_BYTES)))
-    tasks = max(partitions(spark), -(-size // TASK_BYTES))
+    groups = min(1 << 24, max(4 * partitions(spark), -(-size // GROUP_BYTES)))
+    buckets = tasks = min(1 << 24, max(partitions(spark), -(-size // TASK_BYTES)))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("_group")
     raw = F.col("text").cast("binary").alias("_bytes")
     number = number.alias("_id")
