@@ -1,10 +1,15 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network in numpy.
 
-The vocabulary is counted over the whole corpus. Every task trains the network on
-its own documents, starting from one common initialisation and predicting each token
-once from both sides, itself masked; the tasks' parameters are averaged by tokens
-seen. Then every token of every document is predicted from its neighbours, and the
-conditional log-probabilities are summed.
+All words of the corpus are counted. The most frequent ones have an output of their own,
+all others share SPARE outputs; within such an output a word's share is its count over
+those of all words there, so every distinct word of the corpus has a probability of its
+own, and what is known of them grows with the corpus. The counts stay in a table, by hash;
+the driver gets the frequent words and one copy of the parameters.
+
+Every task trains the network on its own documents, starting from one common
+initialisation and predicting each token once from both sides, itself masked; the tasks'
+parameters are averaged by tokens seen. Then every token of every document is predicted
+from its neighbours, and the conditional log-probabilities are summed.
 """
 
 from __future__ import annotations
@@ -19,12 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import materialize, partitions
+
 #: Token ids: 0 stands outside the text, 1 to SPARE are hash buckets of rare words.
 SPARE = 63
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 #: Tokens that are predicted at a time; bounds memory, not texts.
 CHUNK = 32_768
+#: Tokens of a training step.
+STEP = 2048
+#: Tokens of the corpus to a task that looks up counts of rare words.
+TASK_TOKENS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -76,22 +87,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield passed_on()
 
 
-def count_vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` most frequent words of all texts; ties in byte order."""
-    counts = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def spare_of(hashed: int) -> int:
+    """Output that a rare word shares."""
+    return 1 + hashed % SPARE
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of every distinct word of all texts."""
+    return docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[bytes]:
+    """The ``size`` most frequent words; ties in byte order."""
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 class Tokenizer:
-    """Word to token id: frequent words have their own, others share hash buckets."""
+    """Word to token id: frequent words have their own, others share one by hash."""
 
     def __init__(self, vocabulary: list[bytes]):
         # Frequent words are dealt to the classes in turn, so that classes weigh about alike.
         self.ids = {w: SPARE + 1 + i for i, w in enumerate(vocabulary)}
 
     def encode(self, text: str | None) -> np.ndarray:
-        ids, rare = self.ids, xxhash.xxh32_intdigest
-        return np.fromiter((ids.get(w) or 1 + rare(w) % SPARE for w in words_of(text)), np.int32)
+        ids = self.ids
+        return np.fromiter((ids.get(w) or spare_of(hash_of(w)) for w in words_of(text)), np.int32)
+
+    def encode_rare(self, text: str | None) -> tuple[np.ndarray, list[int]]:
+        """Token ids, and the hashes of the rare words among them."""
+        ids, rare, out = self.ids, [], []
+        for w in words_of(text):
+            known = ids.get(w)
+            if not known:
+                hashed = hash_of(w)
+                rare.append(hashed)
+                known = spare_of(hashed)
+            out.append(known)
+        return np.array(out, np.int32), rare
 
 
 @dataclass
@@ -159,7 +195,7 @@ class Network:
             out[i : i + CHUNK] = own
         return out
 
-    def train(self, tokens: np.ndarray, at: np.ndarray, memory: dict[str, np.ndarray], batch: int = 1024) -> None:
+    def train(self, tokens: np.ndarray, at: np.ndarray, memory: dict[str, np.ndarray], batch: int = STEP) -> None:
         """AdaGrad steps on the positions ``at``; ``memory`` holds the squared gradients."""
         s, p = self.shape, self.p
 
@@ -228,22 +264,32 @@ class MaskedLM:
     vocabulary: list[bytes]
     params: dict[str, np.ndarray]
     trained: int  # tokens that were predicted in training
+    share: np.ndarray  # of each token id among them
+    words: DataFrame  # (route, hash, n) of every rare word of the corpus
+    routes: int
+
+    def spare_counts(self) -> np.ndarray:
+        """Tokens of the corpus under each shared output, 1 at least."""
+        return np.maximum(self.share[: SPARE + 1].astype(float) * self.trained, 1.0)
 
 
 def train_masked_lm(docs: DataFrame, shape: Shape = Shape(), salts: int = 64) -> MaskedLM:
     """Train on all texts of ``docs``; each token is predicted once.
 
-    The driver gets the vocabulary and one averaged copy of the parameters, both of
-    fixed size. Task copies are averaged in two levels, ``salts`` to a parameter
-    first. Without any token the initial parameters are returned.
+    The driver gets the frequent words and one averaged copy of the parameters, both of
+    fixed size; the counts of all other words are written as a table. Task copies are
+    averaged in two levels, ``salts`` to a parameter first. Without any token the initial
+    parameters are returned.
     """
     spark = docs.sparkSession
-    vocabulary = count_vocabulary(docs, shape.tokens - SPARE - 1)
+    counts = materialize(count_words(docs), "words")
+    vocabulary = most_frequent(counts, shape.tokens - SPARE - 1)
     words = spark.sparkContext.broadcast(vocabulary)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, net = Tokenizer(words.value), Network(shape, shape.start())
         memory = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
+        times = np.zeros(shape.tokens)
         seen, task = 0, None
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -255,48 +301,116 @@ def train_masked_lm(docs: DataFrame, shape: Shape = Shape(), salts: int = 64) ->
                 rng = np.random.default_rng([shape.seed, mark])
                 at = rng.permutation(stream.at)
                 net.train(stream.tokens, at, memory)
+                times += np.bincount(stream.tokens[at], minlength=shape.tokens)
                 seen += len(at)
         if seen:
-            names = list(net.p)
+            blocks = net.p | {"share": (times / seen).astype(np.float32)}
+            n = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([task % salts] * len(names), pa.int32()), pa.array([task] * len(names), pa.int64()), pa.array([seen] * len(names), pa.int64()), pa.array([net.p[k].tobytes() for k in names], pa.binary())],
+                [pa.array(list(blocks)), pa.array([task % salts] * n, pa.int32()), pa.array([task] * n, pa.int64()), pa.array([seen] * n, pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in blocks.values()], pa.binary())],
                 schema=_BLOCKS,
             )
 
     copies = docs.select("text").mapInArrow(train, _BLOCKS_DDL)
     once = copies.groupBy("block", "salt").applyInArrow(_average, _BLOCKS_DDL)
     rows = once.groupBy("block").applyInArrow(_average, _BLOCKS_DDL).collect()
-    params, trained = shape.start(), 0
+    params, share, trained = shape.start(), np.zeros(shape.tokens, np.float32), 0
     for r in rows:
-        trained = r["tokens"]
-        params[r["block"]] = np.frombuffer(r["values"], np.float32).reshape(params[r["block"]].shape).copy()
-    return MaskedLM(shape, vocabulary, params, trained)
+        trained, values = r["tokens"], np.frombuffer(r["values"], np.float32)
+        if r["block"] == "share":
+            share = values.copy()
+        else:
+            params[r["block"]] = values.reshape(params[r["block"]].shape).copy()
+    routes = max(partitions(spark), -(-trained // TASK_TOKENS))
+    return MaskedLM(shape, vocabulary, params, trained, share, _rare_words(counts, vocabulary, routes), routes)
+
+
+def _route_of(hashes: np.ndarray, routes: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) * np.uint64(routes) >> np.uint64(24)).astype(np.int64)
+
+
+def _rare_words(counts: DataFrame, vocabulary: list[bytes], routes: int) -> DataFrame:
+    """(route, hash, n) of the words of ``counts`` that are not frequent."""
+    known = counts.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(hash_of(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in known.value]
+            h = np.array([k for k, _ in kept], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_route_of(h, routes)), pa.array(h.view(np.int64)), pa.array([n for _, n in kept], pa.int64())], names=["route", "hash", "n"])
+
+    return counts.select("word", "n").mapInArrow(hashed, "route long, hash long, n long")
+
+
+def _deal_rare(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
+    """(route, packed hashes, packed rows) of (row, packed hashes)."""
+    for batch in batches:
+        blobs = batch.column(1).to_pylist()
+        h = np.frombuffer(b"".join(blobs), "<u8")
+        row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(b) // 8 for b in blobs])
+        route = _route_of(h, routes)
+        order = np.argsort(route, kind="stable")
+        h, row, route = h[order], row[order], route[order]
+        edge = np.flatnonzero(np.r_[True, route[1:] != route[:-1]]) if len(route) else np.array([], np.int64)
+        ends = [*edge[1:].tolist(), len(route)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(route[edge]), pa.array([h[a:z].tobytes() for a, z in zip(edge, ends)], pa.binary()), pa.array([row[a:z].astype("<i8").tobytes() for a, z in zip(edge, ends)], pa.binary())],
+            names=["route", "hashes", "rows"],
+        )
+
+
+def _look_up(tokens: pa.Table, words: pa.Table) -> pa.Table:
+    """(row, logs): the sum of log counts of a row's rare words on this route; a word that was never counted counts once."""
+    h = np.frombuffer(b"".join(tokens["hashes"].to_pylist()), "<u8")
+    row = np.frombuffer(b"".join(tokens["rows"].to_pylist()), "<i8")
+    known, n = words["hash"].to_numpy().view(np.uint64), words["n"].to_numpy()
+    logs = np.zeros(len(h))
+    if len(known) and len(h):
+        order = np.argsort(known)
+        known, n = known[order], n[order]
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        logs[hit] = np.log(n[at[hit]])
+    rows, own = np.unique(row, return_inverse=True)
+    return pa.table({"row": pa.array(rows, pa.int64()), "logs": pa.array(np.bincount(own, logs, len(rows)), pa.float64())})
 
 
 def score_documents(docs: DataFrame, model: MaskedLM) -> DataFrame:
     """doc_id, n_tokens, pll and pll_per_token of every row of ``docs`` (doc_id, text).
 
-    Whole texts are scored, every token from both of its sides. Defined results: null
-    and empty texts have no tokens and score 0; repeated rows each get their row; extra
-    columns are ignored; an empty table gives no rows.
+    Whole texts are scored, every token from both of its sides; a rare word's probability
+    is that of the output it shares times its part of the words counted there, one count
+    for a word that the corpus does not have. Defined results: null and empty texts have no
+    tokens and score 0; very long texts are scored in chunks of their tokens; repeated rows
+    each get their row; extra columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.shape, model.vocabulary, model.params, -np.log(model.spare_counts())))
+    routes = model.routes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        tokenizer, net = Tokenizer(m.vocabulary), Network(m.shape, m.params)
+        shape, vocabulary, params, less = shared.value
+        tokenizer, net = Tokenizer(vocabulary), Network(shape, params)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            texts = batch.column(2).to_pylist()
+            total, n, blobs = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
             for lo in range(0, len(texts), 500):
-                part = texts[lo : lo + 500]
-                stream = lay_out([tokenizer.encode(t) for t in part], m.shape.reach)
+                part = [tokenizer.encode_rare(t) for t in texts[lo : lo + 500]]
+                stream = lay_out([ids for ids, _ in part], shape.reach)
                 logp = net.log_prob(stream.tokens, stream.at)
+                ids = stream.tokens[stream.at]
+                logp += np.where(ids <= SPARE, less[np.minimum(ids, SPARE)], 0.0)
                 total[lo : lo + len(part)] = np.bincount(stream.doc, logp, len(part))
                 n[lo : lo + len(part)] = np.bincount(stream.doc, minlength=len(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_tokens", "pll", "pll_per_token"]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, n_tokens long, pll double, pll_per_token double")
+                blobs += [np.array(rare, "<u8").tobytes() for _, rare in part]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), pa.array(blobs, pa.binary())], names=["row", "doc_id", "n_tokens", "net", "rare"])
+
+    # Rows get their number in the table that is written, so a task that runs again changes nothing.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = materialize(numbered.mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, net double, rare binary"), "scored")
+    dealt = scored.select("row", "rare").mapInArrow(lambda it: _deal_rare(it, routes), "route long, hashes binary, rows binary")
+    looked = dealt.groupBy("route").cogroup(model.words.groupBy("route")).applyInArrow(_look_up, "row long, logs double")
+    logs = looked.groupBy(F.col("row").alias("_row")).agg(F.sum("logs").alias("logs"))
+    whole = scored.drop("rare").join(logs, F.col("row") == F.col("_row"), "left")
+    pll = F.round(F.col("net") + F.coalesce("logs", F.lit(0.0)), 6)
+    return whole.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))

@@ -330,13 +330,65 @@ def test_scores_of_all_rows(spark, docs):
     rows = masked_lm.score_documents(frame(spark, [(1, None, "en", "s"), (2, "", "en", "s"), (3, "The and of", "en", "s"), (3, "The and of", "en", "s")]), model).collect()
     assert [(r["n_tokens"], r["pll"]) for r in rows[:2]] == [(0, 0.0)] * 2
     assert rows[2]["pll"] == rows[3]["pll"] < 0 and rows[2]["n_tokens"] == 3
-    uniform = -math.log(model.shape.tokens)
+    uniform = -math.log(len(model.vocabulary) + model.words.count())  # every distinct word is an outcome
     scored = masked_lm.score_documents(docs, model).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
     assert scored > uniform + 0.5
     empty = masked_lm.train_masked_lm(frame(spark, []))
     assert empty.vocabulary == [] and masked_lm.score_documents(frame(spark, []), empty).count() == 0
 
 
+def plain_likelihood(text, model, counts):
+    """Sum of log-probabilities, one token after the other, by the definition of the network and of word shares."""
+    p, s = {k: v.astype(float) for k, v in model.params.items()}, model.shape
+    ids = {w: masked_lm.SPARE + 1 + i for i, w in enumerate(model.vocabulary)}
+    words = text.split(" ") if text else []
+    shared = lambda w: 1 + masked_lm.hash_of(w.encode()) % masked_lm.SPARE
+    token = lambda w: ids.get(w.encode()) or shared(w)
+    of_spare = Counter()
+    for w, n in counts.items():
+        if w.encode() not in ids:
+            of_spare[shared(w)] += n
+    tokens, total = [0] * s.reach + [token(w) for w in words] + [0] * s.reach, 0.0
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, w in enumerate(words):
+        near = tokens[i : i + s.reach] + tokens[i + s.reach + 1 : i + 2 * s.reach + 1]
+        h = np.tanh(np.concatenate([p["embed"][t] for t in near]) @ p["w1"] + p["b1"])
+        cls, member = token(w) % s.classes, token(w) // s.classes
+        total += math.log(softmax(h @ p["w2"] + p["b2"])[cls]) + math.log(softmax(h @ p["w3"][cls] + p["b3"][cls])[member])
+        if w.encode() not in ids:
+            total += math.log(max(counts.get(w, 1), 1) / max(of_spare[shared(w)], 1))
+    return len(words), total
+
+
+def test_scores_equal_brute_force(spark, docs):
+    """The query's rows against an independent sum over single tokens, whole texts, for a spread of documents."""
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    counts = Counter(w.decode() for t in texts.values() for w in masked_lm.words_of(t))
+    model = masked_lm.train_masked_lm(docs, masked_lm.Shape(classes=8, members=32))
+    assert model.words.count() == len(set(counts)) - len(model.vocabulary) > 100
+    got = {r["doc_id"]: r for r in masked_lm.score_documents(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[::9]:
+        text = " ".join(w.decode() for w in masked_lm.words_of(texts[i]))
+        n, total = plain_likelihood(text, model, counts)
+        assert got[i]["n_tokens"] == n and got[i]["pll"] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_what_occurs_twice_scores_apart(spark):
+    """Counts of the whole corpus tell texts that occur twice from those that occur once, in whatever task they lie."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common = [word() for _ in range(30)]
+    text = lambda: " ".join(rng.sample([*rng.choices(common, k=40), *(word() for _ in range(40))], 80))
+    once, twice = [text() for _ in range(120)], [text() for _ in range(20)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(once + twice + twice)]
+    corpus = frame(spark, rows).repartition(6)
+    model = masked_lm.train_masked_lm(corpus, masked_lm.Shape(classes=8, members=12))
+    got = {r["doc_id"]: r["pll_per_token"] for r in masked_lm.score_documents(corpus, model).collect()}
+    assert min(got[i] for i in range(120, 160)) > max(got[i] for i in range(120))
+    assert all(got[i] == got[i + 20] for i in range(120, 140))
+
+
 def test_every_token_is_trained_on(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (1, 2, 3, 1, 50, 700)] + ["", None]
