@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 64
 #: Bytes of a digest that are used, two for each step: a place and a sign.
@@ -107,3 +109,15 @@ def vector_counts(chunks: DataFrame, vectors: DataFrame, provider: str, model: s
     """One row: chunks, vectors of the provider and model, and how many of them were reused."""
     have = vectors.filter((F.col("provider") == provider) & (F.col("model") == model)).agg(F.count("*").alias("vectors"))
     return chunks.agg(F.count("*").alias("chunks")).join(F.broadcast(have)).withColumn("reused", F.col("vectors") - generated)
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_vector(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def decode_vector(blobs: pd.Series, dimensions: pd.Series) -> pd.Series:
+    """Vectors of their bytes; null where the bytes are not ``dimensions`` floats."""
+    return pd.Series([None if b is None or n is None or len(b) != 4 * n else np.frombuffer(b, "<f4") for b, n in zip(blobs, dimensions)])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.names import line_count
 from codeloom.operators import arms, index
 from codeloom.parse import paths
 from codeloom.plans import bindings as b
@@ -88,6 +89,31 @@ for _language in TEXTS:
     _register_extraction(_language)
 
 
+# --- the whole index -------------------------------------------------------------------
+
+
+def generated_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a source tree as its scan gives them: a file of every language for every supplier."""
+    files = _generated(spark, sf, [(path, language, text) for language, (path, text) in TEXTS.items()], ["path", "language", "text"])
+    text = F.col("text")
+    return files.withColumn("error", F.lit(None).cast("string")).withColumn("size", F.octet_length(text).cast("long")).withColumn("modified", F.lit(0).cast("long")).withColumn(
+        "hash", F.sha2(text, 256)
+    ).withColumn("line_count", line_count(text))
+
+
+def _part_count(part: str) -> int:
+    return sum(r.startswith(part + "|") for rows in FOUND.values() for r in rows.strip().splitlines())
+
+
+@query(
+    f"""SELECT {len(TEXTS)} * count(*) AS files, CAST({sum(t.count(chr(10)) for _, t in TEXTS.values())} * count(*) AS BIGINT) AS "lines", {_part_count("symbol")} * count(*) AS symbols,
+ {_part_count("edge")} * count(*) AS dependencies, {_part_count("call")} * count(*) AS calls, 0 * count(*) AS errors FROM supplier"""
+)
+def index_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of all languages extracted, resolved and counted: the whole build of an index."""
+    return index.build_index(generated_tree(spark, sf)).report()
+
+
 # --- path resolution ---------------------------------------------------------------------
 
 _TARGET = ["language", "source_file", "target", "kind"]
