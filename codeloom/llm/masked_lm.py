@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,13 +88,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield passed_on()
 
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-def spare_of(hashed: int) -> int:
-    """Output that a rare word shares."""
-    return 1 + hashed % SPARE
+hash_of = xxhash.xxh64_intdigest
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -106,6 +101,16 @@ def most_frequent(counts: DataFrame, size: int) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+@dataclass
+class Tokens:
+    """Token ids of several texts in a row, tokens of each text, and hashes and texts of the rare words among them."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    rare: np.ndarray
+    rare_text: np.ndarray
+
+
 class Tokenizer:
     """Word to token id: frequent words have their own, others share one by hash."""
 
@@ -113,21 +118,15 @@ class Tokenizer:
         # Frequent words are dealt to the classes in turn, so that classes weigh about alike.
         self.ids = {w: SPARE + 1 + i for i, w in enumerate(vocabulary)}
 
-    def encode(self, text: str | None) -> np.ndarray:
-        ids = self.ids
-        return np.fromiter((ids.get(w) or spare_of(hash_of(w)) for w in words_of(text)), np.int32)
-
-    def encode_rare(self, text: str | None) -> tuple[np.ndarray, list[int]]:
-        """Token ids, and the hashes of the rare words among them."""
-        ids, rare, out = self.ids, [], []
-        for w in words_of(text):
-            known = ids.get(w)
-            if not known:
-                hashed = hash_of(w)
-                rare.append(hashed)
-                known = spare_of(hashed)
-            out.append(known)
-        return np.array(out, np.int32), rare
+    def encode(self, texts: list[str | None]) -> Tokens:
+        split = [words_of(t) for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        ids = np.fromiter(map(self.ids.get, words, repeat(0)), np.int32, len(words))
+        at = np.flatnonzero(ids == 0)
+        rare = np.fromiter(map(hash_of, map(words.__getitem__, at.tolist())), np.uint64, len(at))
+        ids[at] = rare % np.uint64(SPARE) + np.uint64(1)
+        return Tokens(ids, n, rare, np.searchsorted(np.cumsum(n), at, "right"))
 
 
 @dataclass
@@ -139,15 +138,13 @@ class Stream:
     doc: np.ndarray  # text of each of them
 
 
-def lay_out(encoded: list[np.ndarray], reach: int) -> Stream:
-    n = np.fromiter(map(len, encoded), np.int64, len(encoded))
+def lay_out(ids: np.ndarray, n: np.ndarray, reach: int) -> Stream:
+    """``ids`` of texts of ``n`` tokens each."""
     begin = reach + np.cumsum(n + reach) - (n + reach)
-    tokens = np.zeros(int(n.sum()) + reach * (len(encoded) + 1), np.int32)
-    doc = np.repeat(np.arange(len(encoded)), n)
-    at = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
-    if len(at):
-        tokens[at] = np.concatenate(encoded)
-    return Stream(tokens, at, doc)
+    tokens = np.zeros(len(ids) + reach * (len(n) + 1), np.int32)
+    at = np.arange(len(ids)) + np.repeat(begin - (np.cumsum(n) - n), n)
+    tokens[at] = ids
+    return Stream(tokens, at, np.repeat(np.arange(len(n)), n))
 
 
 def _row_sums(x: np.ndarray) -> np.ndarray:
@@ -160,6 +157,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(_row_sums(np.exp(x)))
 
 
+def _softmax(x: np.ndarray) -> None:
+    """In place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= _row_sums(x)
+
+
 class Network:
     def __init__(self, shape: Shape, params: dict[str, np.ndarray]):
         self.shape, self.p = shape, params
@@ -168,8 +172,10 @@ class Network:
     def _forward(self, tokens: np.ndarray, at: np.ndarray):
         near = tokens[at[:, None] + self.around]
         x = self.p["embed"][near].reshape(len(at), -1)
-        h = np.tanh(x @ self.p["w1"] + self.p["b1"])
-        return near, x, h, _log_softmax(h @ self.p["w2"] + self.p["b2"])
+        h = x @ self.p["w1"]
+        h += self.p["b1"]
+        np.tanh(h, out=h)
+        return near, x, h, h @ self.p["w2"] + self.p["b2"]
 
     def _by_class(self, target: np.ndarray):
         """Positions grouped by the class of their target: one dense product a class."""
@@ -187,6 +193,7 @@ class Network:
             part = at[i : i + CHUNK]
             target = tokens[part]
             _, _, h, cls = self._forward(tokens, part)
+            cls = _log_softmax(cls)
             own = cls[np.arange(len(part)), target % self.shape.classes].astype(np.float64)
             member = target // self.shape.classes
             for c, rows in self._by_class(target):
@@ -212,8 +219,8 @@ class Network:
             rows = np.arange(len(part))
             target = tokens[part]
             own, member = target % s.classes, target // s.classes
-            near, x, h, cls = self._forward(tokens, part)
-            d = np.exp(cls)
+            near, x, h, d = self._forward(tokens, part)
+            _softmax(d)
             d[rows, own] -= 1
             d /= n
             dh = d @ p["w2"].T
@@ -222,9 +229,7 @@ class Network:
             e = p["b3"][own]
             for c, lo, hi in slices:
                 e[lo:hi] += h[lo:hi] @ p["w3"][c]
-            e -= e.max(1, keepdims=True)
-            np.exp(e, out=e)
-            e /= _row_sums(e)
+            _softmax(e)
             e[rows, member] -= 1
             e /= n
             w3 = np.zeros_like(p["w3"])
@@ -297,7 +302,8 @@ def train_masked_lm(docs: DataFrame, shape: Shape = Shape(), salts: int = 64) ->
                 part = texts[lo : lo + 500]
                 mark = xxhash.xxh64_intdigest("\0".join((t or "")[:64] for t in part).encode("utf-8", "surrogatepass")) >> 1
                 task = mark if task is None else task
-                stream = lay_out([tokenizer.encode(t) for t in part], shape.reach)
+                found = tokenizer.encode(part)
+                stream = lay_out(found.ids, found.n, shape.reach)
                 rng = np.random.default_rng([shape.seed, mark])
                 at = rng.permutation(stream.at)
                 net.train(stream.tokens, at, memory)
@@ -342,6 +348,10 @@ def _rare_words(counts: DataFrame, vocabulary: list[bytes], routes: int) -> Data
     return counts.select("word", "n").mapInArrow(hashed, "route long, hash long, n long")
 
 
+#: Bits of a row's number below its partition, as monotonically_increasing_id makes it.
+ROW_BITS = 33
+
+
 def _deal_rare(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
     """(route, packed hashes, packed rows) of (row, packed hashes)."""
     for batch in batches:
@@ -360,19 +370,43 @@ def _deal_rare(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.Re
 
 
 def _look_up(tokens: pa.Table, words: pa.Table) -> pa.Table:
-    """(row, logs): the sum of log counts of a row's rare words on this route; a word that was never counted counts once."""
+    """(part, packed rows, packed logs): sums of log counts of the rare words on this route, by row and packed by partition.
+
+    A word that was never counted counts once.
+    """
     h = np.frombuffer(b"".join(tokens["hashes"].to_pylist()), "<u8")
     row = np.frombuffer(b"".join(tokens["rows"].to_pylist()), "<i8")
     known, n = words["hash"].to_numpy().view(np.uint64), words["n"].to_numpy()
     logs = np.zeros(len(h))
     if len(known) and len(h):
         order = np.argsort(known)
-        known, n = known[order], n[order]
+        known, n = known[order], np.log(n[order])
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
-        logs[hit] = np.log(n[at[hit]])
+        logs[hit] = n[at[hit]]
     rows, own = np.unique(row, return_inverse=True)
-    return pa.table({"row": pa.array(rows, pa.int64()), "logs": pa.array(np.bincount(own, logs, len(rows)), pa.float64())})
+    sums = np.bincount(own, logs, len(rows))
+    part = rows >> ROW_BITS
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.array([], np.int64)
+    ends = [*edge[1:].tolist(), len(part)]
+    return pa.table(
+        {
+            "part": pa.array(part[edge], pa.int64()),
+            "rows": pa.array([rows[a:z].astype("<i8").tobytes() for a, z in zip(edge, ends)], pa.binary()),
+            "logs": pa.array([sums[a:z].astype("<f8").tobytes() for a, z in zip(edge, ends)], pa.binary()),
+        }
+    )
+
+
+def _add_up(scored: pa.Table, looked: pa.Table) -> pa.Table:
+    """(doc_id, n_tokens, pll, pll_per_token) of the rows of a partition, with the sums of all routes."""
+    row, pll = scored["row"].to_numpy(), scored["net"].to_numpy().copy()
+    order = np.argsort(row)
+    for rows, logs in sorted(zip(looked["rows"].to_pylist(), looked["logs"].to_pylist())):
+        at = order[np.searchsorted(row, np.frombuffer(rows, "<i8"), sorter=order)]
+        pll[at] += np.frombuffer(logs, "<f8")
+    n = scored["n_tokens"].to_numpy()
+    return pa.table({"doc_id": scored["doc_id"], "n_tokens": scored["n_tokens"], "pll": pa.array(pll), "pll_per_token": pa.array(pll / np.maximum(n, 1))})
 
 
 def score_documents(docs: DataFrame, model: MaskedLM) -> DataFrame:
@@ -395,22 +429,21 @@ def score_documents(docs: DataFrame, model: MaskedLM) -> DataFrame:
             texts = batch.column(2).to_pylist()
             total, n, blobs = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
             for lo in range(0, len(texts), 500):
-                part = [tokenizer.encode_rare(t) for t in texts[lo : lo + 500]]
-                stream = lay_out([ids for ids, _ in part], shape.reach)
+                found = tokenizer.encode(texts[lo : lo + 500])
+                stream = lay_out(found.ids, found.n, shape.reach)
                 logp = net.log_prob(stream.tokens, stream.at)
-                ids = stream.tokens[stream.at]
-                logp += np.where(ids <= SPARE, less[np.minimum(ids, SPARE)], 0.0)
-                total[lo : lo + len(part)] = np.bincount(stream.doc, logp, len(part))
-                n[lo : lo + len(part)] = np.bincount(stream.doc, minlength=len(part))
-                blobs += [np.array(rare, "<u8").tobytes() for _, rare in part]
+                logp += np.where(found.ids <= SPARE, less[np.minimum(found.ids, SPARE)], 0.0)
+                k = len(found.n)
+                total[lo : lo + k] = np.bincount(stream.doc, logp, k)
+                n[lo : lo + k] = found.n
+                raw, ends = found.rare.astype("<u8").tobytes(), np.cumsum(np.bincount(found.rare_text, minlength=k)) * 8
+                blobs += [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), pa.array(blobs, pa.binary())], names=["row", "doc_id", "n_tokens", "net", "rare"])
 
     # Rows get their number in the table that is written, so a task that runs again changes nothing.
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scored = materialize(numbered.mapInArrow(score, f"row long, doc_id {kind}, n_tokens long, net double, rare binary"), "scored")
     dealt = scored.select("row", "rare").mapInArrow(lambda it: _deal_rare(it, routes), "route long, hashes binary, rows binary")
-    looked = dealt.groupBy("route").cogroup(model.words.groupBy("route")).applyInArrow(_look_up, "row long, logs double")
-    logs = looked.groupBy(F.col("row").alias("_row")).agg(F.sum("logs").alias("logs"))
-    whole = scored.drop("rare").join(logs, F.col("row") == F.col("_row"), "left")
-    pll = F.round(F.col("net") + F.coalesce("logs", F.lit(0.0)), 6)
-    return whole.select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).otherwise(0.0).alias("pll_per_token"))
+    looked = dealt.groupBy("route").cogroup(model.words.groupBy("route")).applyInArrow(_look_up, "part long, rows binary, logs binary")
+    whole = scored.select("row", "doc_id", "n_tokens", "net").withColumn("part", F.shiftright("row", ROW_BITS))
+    return whole.groupBy("part").cogroup(looked.groupBy("part")).applyInArrow(_add_up, f"doc_id {kind}, n_tokens long, pll double, pll_per_token double")

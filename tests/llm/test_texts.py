@@ -289,7 +289,7 @@ def test_pages_give_their_documents(spark, sf_dir):
 def test_log_probabilities_are_a_distribution():
     shape = masked_lm.Shape(classes=4, members=5, embed=3, hidden=4)
     net = masked_lm.Network(shape, shape.start())
-    stream = masked_lm.lay_out([np.array([1, 5, 7], np.int32)], shape.reach)
+    stream = masked_lm.lay_out(np.array([1, 5, 7], np.int32), np.array([3]), shape.reach)
     total = 0.0
     for token in range(shape.tokens):
         t = stream.tokens.copy()
@@ -302,7 +302,7 @@ def test_training_lowers_the_loss_and_gradients_agree():
     shape = masked_lm.Shape(classes=3, members=4, embed=3, hidden=5)
     rng = np.random.default_rng(2)
     tokens = np.tile(np.array([1, 2, 3, 4, 5, 6], np.int32), 60)
-    stream = masked_lm.lay_out([tokens], shape.reach)
+    stream = masked_lm.lay_out(tokens, np.array([len(tokens)]), shape.reach)
     net = masked_lm.Network(shape, shape.start())
     before = net.log_prob(stream.tokens, stream.at).mean()
     memory = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
