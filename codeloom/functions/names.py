@@ -41,17 +41,29 @@ def directory_key(path: Column) -> Column:
     return F.when(F.instr(path, "/") == 0, F.lit(".")).otherwise(F.substring_index(path, "/", 1))
 
 
+# Roles of paths: top folders, words in the path and endings, in the order in which they decide. Fixed values.
+PATH_ROLES = (
+    ("vendor", ("node_modules",), (), ()),
+    ("fixture", (), ("fixture",), ()),
+    ("test", ("test", "tests"), (), ("_test", "_tests")),
+    ("example", ("examples",), (), ()),
+    ("docs", ("docs",), (), ()),
+)
+
+
+def _below(path: Column, folder: str) -> Column:
+    return (path == folder) | path.startswith(folder + "/")
+
+
 def path_role(path: Column) -> Column:
     """vendor, fixture, test, example, docs or source; the first rule that fits decides."""
-    p = ascii_lower(path)
-    return (
-        F.when((p == "node_modules") | p.startswith("node_modules/"), "vendor")
-        .when(p.contains("fixture"), "fixture")
-        .when(p.isin("test", "tests") | p.startswith("test/") | p.startswith("tests/") | p.endswith("_test") | p.endswith("_tests"), "test")
-        .when((p == "examples") | p.startswith("examples/"), "example")
-        .when((p == "docs") | p.startswith("docs/"), "docs")
-        .otherwise("source")
-    )
+    p, found = ascii_lower(path), F.lit("source")
+    for role, folders, words, endings in reversed(PATH_ROLES):
+        fits = F.lit(False)
+        for condition in (*(_below(p, x) for x in folders), *(p.contains(x) for x in words), *(p.endswith(x) for x in endings)):
+            fits = fits | condition
+        found = F.when(fits, role).otherwise(found)
+    return found
 
 
 def is_local(resolved: Column) -> Column:
@@ -80,74 +92,75 @@ def normalize_path(path: Column) -> Column:
     return F.array_join(kept, "/")
 
 
-# Scores and names of entrypoint conventions: fixed values.
+# Entrypoint conventions of files: score, reason, and what the path must be like; of several the first counts. Fixed values.
+# "stem": the file name up to its first dot is one of these; "name": the whole file name is; "under": a folder of the path
+# is the first and the stem one of the others; "path": the path is or ends with this; "part": the path has the first or the
+# stem is the second; "ending": the file name ends so.
 FILE_SIGNALS = (
-    (100, "conventional main file"),
-    (82, "Next.js app router entrypoint"),
-    (82, "Next.js pages bootstrap entrypoint"),
-    (82, "Rails route entrypoint"),
-    (79, "Python web framework entrypoint"),
-    (79, "C# web application entrypoint"),
-    (90, "Rust library root"),
-    (85, "Rust module root"),
-    (80, "conventional index file"),
-    (75, "conventional app file"),
-    (70, "server entrypoint naming"),
-    (65, "CLI entrypoint naming"),
-    (62, "Java application entrypoint naming"),
+    (100, "conventional main file", "stem", ("main",)),
+    (82, "Next.js app router entrypoint", "under", ("app", "page", "layout", "route")),
+    (82, "Next.js pages bootstrap entrypoint", "under", ("pages", "_app", "_document")),
+    (82, "Rails route entrypoint", "path", ("config/routes.rb",)),
+    (79, "Python web framework entrypoint", "name", ("manage.py", "asgi.py", "wsgi.py", "urls.py")),
+    (79, "C# web application entrypoint", "name", ("program.cs", "startup.cs")),
+    (90, "Rust library root", "name", ("lib.rs",)),
+    (85, "Rust module root", "name", ("mod.rs",)),
+    (80, "conventional index file", "stem", ("index",)),
+    (75, "conventional app file", "stem", ("app",)),
+    (70, "server entrypoint naming", "part", ("/server.", "server")),
+    (65, "CLI entrypoint naming", "part", ("/cli.", "cli")),
+    (62, "Java application entrypoint naming", "ending", ("application.java",)),
+)
+# Entry-like names of symbols: score, what is said of them, and whether the name is added. Fixed values.
+SYMBOL_SIGNALS = (
+    (110, "entry symbol named main", False, ("main",)),
+    (88, "entry-like symbol named ", True, ("run", "start")),
+    (78, "service entry-like symbol named ", True, ("server", "handler")),
 )
+#: Score that counts as certain.
+CERTAIN = 110
+# What is taken off for a folder, and for a role of the path. Fixed values.
+LOW_FOLDER, LOW_ROLES = ("scripts", -40), (("docs", "test", "fixture", "vendor"), -60)
 
 
-def _file_conditions(path: Column) -> list[Column]:
-    """One condition for each of FILE_SIGNALS, in the same order."""
+def _like(path: Column, how: str, names: tuple[str, ...]) -> Column:
     p = ascii_lower(path)
     b = basename(p)
-    under = lambda d: p.startswith(f"{d}/") | p.contains(f"/{d}/")
-    any_prefix = lambda *names: b.rlike("^(" + "|".join(names) + r")\.")
-    return [
-        any_prefix("main"),
-        under("app") & any_prefix("page", "layout", "route"),
-        under("pages") & any_prefix("_app", "_document"),
-        (p == "config/routes.rb") | p.endswith("/config/routes.rb"),
-        b.isin("manage.py", "asgi.py", "wsgi.py", "urls.py"),
-        b.isin("program.cs", "startup.cs"),
-        b == "lib.rs",
-        b == "mod.rs",
-        any_prefix("index"),
-        any_prefix("app"),
-        p.contains("/server.") | any_prefix("server"),
-        p.contains("/cli.") | any_prefix("cli"),
-        b.endswith("application.java"),
-    ]
+    stem = lambda *own: F.substring_index(b, ".", 1).isin(*own) & (F.instr(b, ".") > 0)
+    if how == "stem":
+        return stem(*names)
+    if how == "name":
+        return b.isin(*names)
+    if how == "under":
+        return (p.startswith(f"{names[0]}/") | p.contains(f"/{names[0]}/")) & stem(*names[1:])
+    if how == "path":
+        return (p == names[0]) | p.endswith("/" + names[0])
+    if how == "part":
+        return p.contains(names[0]) | stem(names[1])
+    return b.endswith(names[0])
 
 
 def file_entrypoint(path: Column) -> Column:
     """struct(score, reason) of the first convention that a path follows; null if none."""
     found = F.lit(None).cast("struct<score:int,reason:string>")
-    for (score, reason), cond in reversed(list(zip(FILE_SIGNALS, _file_conditions(path)))):
-        found = F.when(cond, F.struct(F.lit(score).alias("score"), F.lit(reason).alias("reason"))).otherwise(found)
+    for score, reason, how, names in reversed(FILE_SIGNALS):
+        found = F.when(_like(path, how, names), F.struct(F.lit(score).alias("score"), F.lit(reason).alias("reason"))).otherwise(found)
     return found
 
 
 def symbol_entrypoint(name: Column) -> Column:
     """struct(score, reason) of an entry-like symbol name; null if it is none."""
-    n = ascii_lower(name)
-    s = lambda score, reason: F.struct(F.lit(score).alias("score"), reason.alias("reason"))
-    return (
-        F.when(n == "main", s(110, F.lit("entry symbol named main")))
-        .when(n.isin("run", "start"), s(88, F.concat(F.lit("entry-like symbol named "), name)))
-        .when(n.isin("server", "handler"), s(78, F.concat(F.lit("service entry-like symbol named "), name)))
-    )
+    n, found = ascii_lower(name), F.lit(None).cast("struct<score:int,reason:string>")
+    for score, said, named, names in SYMBOL_SIGNALS:
+        reason = F.concat(F.lit(said), name) if named else F.lit(said)
+        found = F.when(n.isin(*names), F.struct(F.lit(score).alias("score"), reason.alias("reason"))).otherwise(found)
+    return found
 
 
 def entrypoint_confidence(score: Column) -> Column:
-    return F.round(F.least(score, F.lit(110)) / 110, 2)
+    return F.round(F.least(score, F.lit(CERTAIN)) / CERTAIN, 2)
 
 
 def entrypoint_priority(path: Column) -> Column:
     p = ascii_lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    return (
-        F.when((p == "scripts") | p.startswith("scripts/"), -40)
-        .when(path_role(path).isin("docs", "test", "fixture", "vendor"), -60)
-        .otherwise(0)
-    )
+    return F.when(_below(p, LOW_FOLDER[0]), LOW_FOLDER[1]).when(path_role(path).isin(*LOW_ROLES[0]), LOW_ROLES[1]).otherwise(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this session's own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("codeloom.rounds", None)
-    if not base:
-        master = spark.sparkContext.master
-        local = master.startswith("local") and "cluster" not in master
-        base = "file://" + tempfile.mkdtemp(prefix="codeloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_codeloom_rounds"
-        spark.conf.set("codeloom.rounds", base)
+    """This application's folder below ``spark.checkpoint.dir``; where that is unset, one of its own.
+
+    Results are read lazily, so nothing is deleted while the application runs;
+    ``clear_scratch`` deletes the folder, and a temporary one goes at exit.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return f"{base.rstrip('/')}/codeloom-{spark.sparkContext.applicationId}"
+    known = spark.conf.get("codeloom.rounds", None)
+    if known:
+        return known
+    master = spark.sparkContext.master
+    if master.startswith("local") and "cluster" not in master:
+        folder = tempfile.mkdtemp(prefix="codeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
+    else:
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_codeloom_rounds"
+    spark.conf.set("codeloom.rounds", base)
     return base
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote; results that were not read yet are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; lineage ends here."""
     spark, schema = df.sparkSession, df.schema
