@@ -260,9 +260,9 @@ def candidate_dedup_cap(spark: SparkSession, sf: str) -> DataFrame:
     return reports.dedup_candidates(_candidates(spark, sf))
 
 
-@query(f"WITH {_CAND} SELECT source, least(count(DISTINCT file), 64) AS files, greatest(count(DISTINCT file) - 64, 0) AS omitted FROM cand GROUP BY 1")
+@query(f"WITH {_CAND} SELECT source, least(count(DISTINCT file), 64) AS files, greatest(count(DISTINCT file) - 64, 0) AS omitted, CAST(sum(pos % 90) AS BIGINT) AS latency FROM cand GROUP BY 1")
 def source_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.source_evidence(_candidates(spark, sf))
+    return reports.source_evidence(_candidates(spark, sf).withColumn("latency_ms", F.col("pos") % 90))
 
 
 @query(f"WITH {_CAND}, m AS (SELECT file, source, count(*) AS n FROM cand GROUP BY 1, 2) SELECT file, source, n FROM m")

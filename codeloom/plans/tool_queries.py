@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import context, graph, planning, resolve, semantic
+from codeloom.operators import context, graph, planning, reports, resolve, semantic
 from codeloom.operators.scratch import materialize, scratch_dir
 from codeloom.plans import bindings as b
 from codeloom.plans.registry import query
@@ -149,3 +149,70 @@ def event_times(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", F.to_date("ts").alias("day"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("days"), F.unix_seconds(ts).alias("seconds"),
         (F.weekday("ts") + 1).alias("weekday"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"),
     )
+
+
+_ROUTES = """r AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'f/' || doc_id % 10 END AS first_file, ['f/' || doc_id % 10, 'f/' || doc_id % 11] AS selected,
+ CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN [] ELSE ['f/' || doc_id % 12, 'f/' || doc_id % 10] END AS candidates FROM documents),
+ s AS (SELECT doc_id, coalesce(first_file, '') AS f, selected, coalesce(candidates, []) AS c FROM r),
+ t AS (SELECT *, f <> '' AND len(c) > 0 AND f = c[1] AS matches_top, f <> '' AND list_contains(c, f) AS in_candidates, [x FOR x IN selected IF list_contains(c, x)] AS common FROM s),
+ b AS (SELECT *, CASE WHEN matches_top THEN 'agree' WHEN in_candidates THEN 'overlap' ELSE 'conflict' END AS agreement FROM t)"""
+
+
+def _bridge(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    f = lambda n: F.concat(F.lit("f/"), (d % n).cast("string"))
+    candidates = F.when(d % 5 == 0, None).when(d % 5 == 1, F.array().cast("array<string>")).otherwise(F.array(f(12), f(10)))
+    return reports.bridge_reports(b.table(spark, sf, "documents").select("doc_id", F.when(d % 9 != 0, f(10)).alias("first_file"), F.array(f(10), f(11)).alias("selected"), candidates.alias("candidates")))
+
+
+@query(
+    f"""WITH {_ROUTES} SELECT doc_id, matches_top, in_candidates, array_to_string(common, ',') AS common_files, CAST(len(c) AS INTEGER) AS candidate_count, CAST(len(common) AS INTEGER) AS common_count,
+ CASE WHEN len(c) > 0 THEN len(common)::DOUBLE / len(c) ELSE 0.0 END::DOUBLE AS ratio, agreement,
+ CASE agreement WHEN 'agree' THEN 'read_selected_context' WHEN 'overlap' THEN 'read_selected_context_then_compare_backend_rank' ELSE 'compare_backend_route_before_edits' END AS recommended_action,
+ CASE agreement WHEN 'agree' THEN 'use_agent_route_selected_context' WHEN 'overlap' THEN 'review_backend_order_vs_local_route' ELSE 'investigate_backend_local_conflict' END AS next_action FROM b"""
+)
+def bridge_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _bridge(spark, sf).withColumn("common_files", F.array_join("common_files", ",")).drop("first_file", "selected", "candidates")
+
+
+_STATUS = "q AS (SELECT *, CASE WHEN matches_top THEN 'pass' ELSE 'warn' END AS status FROM b)"
+
+
+@query(
+    f"""WITH {_ROUTES}, {_STATUS}, o AS (SELECT count(*) AS reports, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (agreement = 'agree') AS agree, count(*) FILTER (agreement = 'overlap') AS overlap,
+  count(*) FILTER (agreement = 'conflict') AS conflict, count(*) FILTER (agreement = 'backend_only') AS backend_only, count(*) FILTER (agreement = 'no_local_route') AS no_local_route,
+  count(*) FILTER (status <> 'pass' OR agreement <> 'agree') AS conflicts, CAST(sum(len(common)) AS BIGINT) AS common, CAST(sum(len(c)) AS BIGINT) AS candidates FROM q)
+ SELECT *, floor(agree * 10000::DOUBLE / reports) / 100 AS rate, floor(common * 10000::DOUBLE / candidates) / 100 AS candidate_rate, CASE WHEN conflicts > 0 THEN 'needs_review' ELSE 'pass' END AS status,
+ CASE WHEN conflict > 0 THEN 'review_backend_local_conflicts' WHEN overlap > 0 THEN 'review_backend_order_vs_local_route' ELSE 'run_more_real_backend_tasks' END AS next_action FROM o"""
+)
+def bridge_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.bridge_decision(_bridge(spark, sf).withColumn("status", F.when(F.col("matches_top"), "pass").otherwise("warn")), 3, 50.0)
+
+
+@query(f"WITH {_ROUTES}, {_STATUS} SELECT doc_id, agreement, status FROM q WHERE status <> 'pass' OR agreement <> 'agree'")
+def bridge_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.conflicts(_bridge(spark, sf).withColumn("status", F.when(F.col("matches_top"), "pass").otherwise("warn"))).select("doc_id", "agreement", "status")
+
+
+_TRIALS = """t AS (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'useful' WHEN toxic = 1 THEN 'route_miss' ELSE 'route_near_miss' END AS outcome, CASE WHEN doc_id % 17 <> 0 THEN n_chars % 100 END AS quality FROM labels JOIN documents USING (doc_id))"""
+
+
+def _trials(spark: SparkSession, sf: str) -> DataFrame:
+    joined = b.table(spark, sf, "labels").join(b.table(spark, sf, "documents"), "doc_id")
+    outcome = F.when(F.col("quality") == 1, "useful").when(F.col("toxic") == 1, "route_miss").otherwise("route_near_miss")
+    return joined.select("doc_id", outcome.alias("outcome"), F.when(F.col("doc_id") % 17 != 0, F.col("n_chars") % 100).alias("quality"))
+
+
+@query(
+    f"""WITH {_TRIALS} SELECT count(*) AS reports, count(*) FILTER (outcome = 'needs_triage') AS needs_triage, count(*) FILTER (outcome = 'workflow_friction') AS workflow_friction,
+ count(*) FILTER (quality IS NULL OR quality < 20) AS route_quality_below_threshold, count(*) FILTER (outcome = 'route_miss') AS route_miss, count(*) FILTER (outcome = 'overtrust_risk') AS overtrust_risk,
+ count(*) FILTER (outcome = 'route_near_miss') AS route_near_miss, 'quality_gate_failed' AS status, 'fix_low_quality_routes' AS next_action, 'route_quality_below_threshold' AS about FROM t"""
+)
+def trial_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.trial_decision(_trials(spark, sf), 3, 20)
+
+
+@query(f"WITH {_TRIALS} SELECT doc_id, outcome, quality FROM t WHERE quality IS NULL OR quality < 20")
+def trial_priorities(spark: SparkSession, sf: str) -> DataFrame:
+    trials = _trials(spark, sf)
+    return reports.priority_reports(trials, reports.trial_decision(trials, 3, 20), 20)
