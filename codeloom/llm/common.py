@@ -7,8 +7,10 @@ executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,20 +27,36 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this session's own."""
+    """This application's folder below ``spark.checkpoint.dir``; where that is unset, one of its own.
+
+    Results are read lazily, so nothing is deleted while the application runs;
+    ``clear_shared`` deletes the folder, and a temporary one goes at exit.
+    """
     conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("codeloom.scratch", None)
+    base = conf.get("spark.checkpoint.dir")
     if base:
-        return base
+        return f"{base.rstrip('/')}/codeloom-{spark.sparkContext.applicationId}"
+    known = spark.conf.get("codeloom.scratch", None)
+    if known:
+        return known
     master = spark.sparkContext.master
     if master.startswith("local") and "cluster" not in master:
-        base = "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        folder = tempfile.mkdtemp(prefix="codeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
     else:
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_codeloom_scratch"
     spark.conf.set("codeloom.scratch", base)
     return base
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote; results that were not read yet are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows that go to a Python worker at once. Texts are long: the default of 10,000 rows
 #: takes tens of megabytes on either side of the pipe, in several copies.
 BATCH_ROWS = 2000

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -164,6 +165,16 @@ def test_simhash_equals_brute_force(spark):
     assert got == {i: (f"{fps[i]:016x}", component[i]) for i, _ in docs}
 
 
+def test_simhash_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(4000)}" for _ in range(90_000))
+    got = {r["doc_id"]: r["fingerprint"] for r in near_duplicates(frame(spark, [(1, long), (2, long + " end")])).collect()}
+    assert got == {1: f"{plain_fingerprint(long):016x}", 2: f"{plain_fingerprint(long + ' end'):016x}"}
+    whole = simhash.fingerprint(long.encode())
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    assert simhash.fingerprint(long.encode()) == whole == plain_fingerprint(long)
+
+
 def test_simhash_edge_cases(spark):
     docs = [(5, None), (3, ""), (3, ""), (None, " \n"), (9, "a b")]
     rows = near_duplicates(frame(spark, docs)).collect()
@@ -354,3 +365,12 @@ def test_stale_answers(spark):
     assert (texts(pairs[3]["chosen"]), texts(pairs[3]["rejected"])) == ([""], [])
     assert None in pairs and 4 in pairs
     assert stale_answer_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_preferences_with_clashing_columns_and_long_turns(spark):
+    long = "word " * 60_000
+    rows = [(1, 0, "user", long, "p", 7), (1, 1, "assistant", "a", "p", 7), (1, 1, "assistant", "a", "p", 7), (1, 2, "assistant", "b", "p", 7)]
+    pairs = stale_answer_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt string, pair_id long"))
+    got = format_preferences(pairs.withColumn("prompt", F.lit("taken")).withColumn("turns", F.lit(1))).collect()
+    assert [(r["pair_id"], r["prompt"], r["chosen"], r["rejected"]) for r in got] == [(1, f"<|user|>\n{long}<|end|>\n<|assistant|>\na<|end|>\n", "<|assistant|>\nb<|end|>\n", "<|assistant|>\na<|end|>\n")] or got[0]["prompt"].startswith("<|user|>\n" + long)
+    assert len(got) == 1

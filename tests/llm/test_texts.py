@@ -99,6 +99,15 @@ def test_chunks_do_not_matter(spark, docs, monkeypatch):
     assert langid.label_texts(texts, model, spans=True) == whole
 
 
+def test_a_very_long_text_is_labelled_whole(spark, docs):
+    model = train_languages(docs)
+    parts = {lang: " ".join(r["text"] for r in docs.filter(f"lang = '{lang}' and n_chars between 300 and 900").limit(20).collect() if "***" not in r["text"]) for lang in ("en", "de")}
+    text = (parts["en"] + " ") * 60 + (parts["de"] + " ") * 90
+    (lang, share, spans), = langid.label_texts([text], model, spans=True)
+    letters = lambda t: sum(c.isalpha() for c in t)
+    assert len(text) > 500_000 and lang == ("de" if letters(parts["de"]) * 90 > letters(parts["en"]) * 60 else "en") and 0.4 < share < 0.9 and len(spans) >= 2
+
+
 def test_held_out_follows_crc32(spark):
     import zlib
 
@@ -298,6 +307,15 @@ def test_log_probabilities_are_a_distribution():
     assert total == pytest.approx(1.0, abs=1e-5)
 
 
+def test_chunks_of_tokens_do_not_matter(monkeypatch):
+    shape = masked_lm.Shape(classes=4, members=5, embed=3, hidden=4)
+    net = masked_lm.Network(shape, shape.start())
+    stream = masked_lm.lay_out(np.random.default_rng(1).integers(1, 20, 500).astype(np.int32), np.array([0, 200, 1, 299]), shape.reach)
+    whole = net.log_prob(stream.tokens, stream.at)
+    monkeypatch.setattr(masked_lm, "CHUNK", 37)
+    assert net.log_prob(stream.tokens, stream.at) == pytest.approx(whole, abs=1e-5)
+
+
 def test_training_lowers_the_loss_and_gradients_agree():
     shape = masked_lm.Shape(classes=3, members=4, embed=3, hidden=5)
     rng = np.random.default_rng(2)
@@ -488,6 +506,50 @@ def test_em_finds_the_better_rules():
     assert model.accuracy[0] > model.accuracy[2] and abs(model.accuracy[1] - 0.9) < 0.06 and abs(model.prior - 0.7) < 0.08
 
 
+def plain_quality(rows):
+    """(doc_id to p_good) by expectation-maximisation over single documents, from the counts of the query's rows."""
+    def votes(r):
+        w, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+        pick = lambda bad, good: -1 if bad else 1 if good else 0
+        mean, symbols, odd, plain = r["word_chars"] / w, r["n_symbols"] / w, r["n_symbol_words"] / w, r["n_plain_words"] / w
+        return [
+            pick(mean < 2.5 or mean > 14, False), pick(symbols > 0.3, symbols < 0.1), pick(odd > 0.25, odd < 0.1), pick(plain < 0.6, plain > 0.85),
+            pick(r["n_repeat_words"] / w > 0.25, False), pick(r["n_dup_lines"] / lines > 0.3, False), pick(r["n_upper_words"] / w > 0.5, False), pick(r["n_words"] < 20, r["n_words"] >= 60),
+        ]
+
+    cast, acc, prior = [votes(r) for r in rows], [0.8] * 8, 0.7
+    posterior = lambda v: 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc))))
+    for _ in range(200):
+        good = [posterior(v) for v in cast]
+        new = []
+        for k in range(8):
+            right = sum(g if v[k] > 0 else 1 - g for g, v in zip(good, cast) if v[k])
+            new.append(min(0.98, max(0.55, (right + 0.8) / (sum(1 for v in cast if v[k]) + 1.0))))
+        moved = max(abs(a - b) for a, b in zip(new + [sum(good) / len(good)], acc + [prior]))
+        acc, prior = new, min(0.95, max(0.05, sum(good) / len(good)))
+        if moved < 1e-9:
+            break
+    return {r["doc_id"]: posterior(v) for r, v in zip(rows, cast)}
+
+
+def test_quality_equals_brute_force(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = judge_quality(docs).collect()
+    want = plain_quality(rows)
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]] or "")
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), plain_repeats(words))
+        assert r["p_good"] == pytest.approx(want[r["doc_id"]], abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and want[r["doc_id"]] >= 0.5)
+
+
+def test_counts_of_very_long_texts():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(30)}" for _ in range(60_000)]
+    got = dict(zip(quality_votes.FEATURES, features("\n".join(" ".join(words[i : i + 7]) for i in range(0, 60_000, 7)))))
+    assert (got["n_words"], got["word_chars"], got["n_repeat_words"]) == (60_000, sum(map(len, words)), plain_repeats(words))
+
+
 def test_quality_verdicts(spark, sf_dir):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = QUERIES["op8_quality_votes"](spark, sf_dir).collect()
