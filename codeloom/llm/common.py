@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -82,6 +83,28 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What libraries call the function that sets their number of threads.
+_SET_THREADS = ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads", "MKL_Set_Num_Threads")
+
+
+@functools.cache
+def single_thread() -> None:
+    """Let the matrix products of this Python worker use one thread.
+
+    A task has one core; threads of small products mostly wait for each other, and the
+    waiting is paid for in CPU time. Where no such library is found nothing changes.
+    """
+    with contextlib.suppress(OSError):
+        with open("/proc/self/maps", encoding="utf-8", errors="replace") as f:
+            paths = {line.split()[-1] for line in f if "blas" in line.lower() or "mkl_rt" in line}
+        for path in paths:
+            with contextlib.suppress(OSError):
+                library = ctypes.CDLL(path)
+                for name in _SET_THREADS:
+                    if hasattr(library, name):
+                        getattr(library, name)(1)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

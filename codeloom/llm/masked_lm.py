@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions
+from codeloom.llm.common import materialize, partitions, single_thread
 
 #: Token ids: 0 stands outside the text, 1 to SPARE are hash buckets of rare words.
 SPARE = 63
@@ -292,6 +292,7 @@ def train_masked_lm(docs: DataFrame, shape: Shape = Shape(), salts: int = 64) ->
     words = spark.sparkContext.broadcast(vocabulary)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
         tokenizer, net = Tokenizer(words.value), Network(shape, shape.start())
         memory = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
         times = np.zeros(shape.tokens)
@@ -423,6 +424,7 @@ def score_documents(docs: DataFrame, model: MaskedLM) -> DataFrame:
     routes = model.routes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
         shape, vocabulary, params, less = shared.value
         tokenizer, net = Tokenizer(vocabulary), Network(shape, params)
         for batch in batches:
