@@ -152,14 +152,18 @@ def _row_sums(x: np.ndarray) -> np.ndarray:
     return (x @ np.ones(x.shape[-1], x.dtype))[..., None]
 
 
+#: Outputs before the softmax stay within this; their exponentials and sums fit a 32-bit float, and no row needs its maximum.
+STEEPEST = 60.0
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
+    x = np.clip(x, -STEEPEST, STEEPEST)
     return x - np.log(_row_sums(np.exp(x)))
 
 
 def _softmax(x: np.ndarray) -> None:
     """In place."""
-    x -= x.max(-1, keepdims=True)
+    np.clip(x, -STEEPEST, STEEPEST, out=x)
     np.exp(x, out=x)
     x /= _row_sums(x)
 
@@ -167,6 +171,8 @@ def _softmax(x: np.ndarray) -> None:
 class Network:
     def __init__(self, shape: Shape, params: dict[str, np.ndarray]):
         self.shape, self.p = shape, params
+        #: Sorting keys are narrow, which numpy sorts by digits.
+        self.key = np.min_scalar_type(shape.tokens)
         self.around = np.array([*range(-shape.reach, 0), *range(1, shape.reach + 1)])
 
     def _forward(self, tokens: np.ndarray, at: np.ndarray):
@@ -179,7 +185,7 @@ class Network:
 
     def _by_class(self, target: np.ndarray):
         """Positions grouped by the class of their target: one dense product a class."""
-        cls = target % self.shape.classes
+        cls = (target % self.shape.classes).astype(self.key)
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.shape.classes + 1))
         for c in range(self.shape.classes):
@@ -215,7 +221,7 @@ class Network:
             part = at[i : i + batch]
             n = np.float32(len(part))
             # Positions in the order of their target's class: a class is a slice.
-            part = part[np.argsort(tokens[part] % s.classes, kind="stable")]
+            part = part[np.argsort((tokens[part] % s.classes).astype(self.key), kind="stable")]
             rows = np.arange(len(part))
             target = tokens[part]
             own, member = target % s.classes, target // s.classes
@@ -245,7 +251,7 @@ class Network:
             step("w1", x.T @ dz)
             step("b1", dz.sum(0))
             flat = near.ravel()
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat.astype(self.key), kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
             step("embed", np.add.reduceat(dx[order], first), flat[first])
