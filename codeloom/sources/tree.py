@@ -1,7 +1,7 @@
 """Source trees: scope, walk roots, file rows, languages, configuration.
 
-The driver lists names and sizes, executors read the files. A file that cannot be read
-gives a row with an error and the scan goes on.
+The driver lists the top folders, executors list the rest and read the files. A file or
+folder that cannot be read gives a row with an error and the scan goes on.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import line_count
+from codeloom.operators.scratch import materialize
 
 # Folders that are never entered, at any depth: fixed values.
 PRUNED = (".git", ".codeloom", "node_modules", "target", "dist", "build", ".venv", "vendor", ".next", ".turbo")
@@ -158,80 +159,132 @@ def is_ignored(path: str, is_folder: bool, rules: list[IgnoreRule]) -> bool:
     return False
 
 
-def list_tree(root: str, scope: Scope, errors: list[tuple[str, str]] | None = None) -> list[tuple[str, int, int]]:
-    """(path, size, time in microseconds) of files of known languages.
+#: Folders that the driver finds open before it hands the rest of a walk to the executors.
+FRONTIER = 1000
+#: A file that was found: path, size, time in microseconds, and an error if it could not be listed.
+Found = tuple[str, int | None, int | None, str | None]
 
-    Pruned and ignored folders are not entered; ignore files of all folders count, and a
-    file below an ignored folder cannot be taken back. Folders and files that cannot be
-    listed go to ``errors`` as (path, message) and the walk goes on.
+
+@dataclass
+class Walker:
+    """Lists the folders of a tree. Pruned and ignored folders are not entered.
+
+    Ignore files of all folders count, inner ones after outer ones, and a file below an
+    ignored folder cannot be taken back. What cannot be listed becomes a row with an error.
     """
-    out: dict[str, tuple[int, int]] = {}
-    errors = [] if errors is None else errors
-    relative = lambda full: os.path.relpath(full, root).replace(os.sep, "/")
-    rules: dict[str, list[IgnoreRule]] = {}
-
-    def rules_of(folder: str) -> list[IgnoreRule]:
-        if folder not in rules:
-            above = rules_of(os.path.dirname(folder)) if folder else []
-            try:
-                with open(os.path.join(root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                    rules[folder] = above + ignore_rules(folder, f.read())
-            except OSError:
-                rules[folder] = above
-        return rules[folder]
 
-    def failed(e: OSError) -> None:
-        errors.append((relative(e.filename) if e.filename else "", f"walk: {e.strerror}"))
+    root: str
+    scope: Scope
+    rules: dict[str, list[IgnoreRule]] = field(default_factory=dict)
 
-    for start in walk_roots(scope.include):
-        top = os.path.join(root, start)
-        above = [p for p in (start.split("/")[: n + 1] for n in range(start.count("/") + 1)) if start]
-        if any(is_ignored("/".join(p), os.path.isdir(os.path.join(root, *p)), rules_of("/".join(p[:-1]))) for p in above):
-            continue
-        folders = [(os.path.dirname(top), [], [os.path.basename(top)])] if os.path.isfile(top) else os.walk(top, onerror=failed)
-        for folder, inner, names in folders:
-            at = relative(folder)
-            at = "" if at == "." else at
-            own = rules_of(at)
-            inside = lambda name: f"{at}/{name}" if at else name  # noqa: B023, E731
-            inner[:] = sorted(d for d in inner if d not in PRUNED and not is_ignored(inside(d), True, own))
-            for name in names:
-                path = inside(name)
-                if name.rpartition(".")[2] in EXTENSIONS and "." in name and scope.matches(path) and not is_ignored(path, False, own):
-                    try:
-                        stat = os.stat(os.path.join(folder, name))
-                    except OSError as e:
-                        failed(e)
-                        continue
-                    out[path] = (stat.st_size, stat.st_mtime_ns // 1000)
-    return [(p, *s) for p, s in sorted(out.items())]
+    def rules_of(self, folder: str) -> list[IgnoreRule]:
+        if folder not in self.rules:
+            above = self.rules_of(os.path.dirname(folder)) if folder else []
+            try:
+                with open(os.path.join(self.root, folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                    self.rules[folder] = above + ignore_rules(folder, f.read())
+            except OSError:
+                self.rules[folder] = above
+        return self.rules[folder]
+
+    def is_open(self, path: str, is_folder: bool) -> bool:
+        """Whether neither ``path`` nor a folder above it is ignored."""
+        parts = path.split("/") if path else []
+        return not any(is_ignored("/".join(parts[: n + 1]), n + 1 < len(parts) or is_folder, self.rules_of("/".join(parts[:n]))) for n in range(len(parts)))
+
+    def file(self, path: str) -> list[Found]:
+        name = os.path.basename(path)
+        if "." not in name or name.rpartition(".")[2] not in EXTENSIONS or not self.scope.matches(path):
+            return []
+        try:
+            stat = os.stat(os.path.join(self.root, path))
+        except OSError as e:
+            return [(path, None, None, f"walk: {e.strerror}")]
+        return [(path, stat.st_size, stat.st_mtime_ns // 1000, None)]
+
+    def folder(self, at: str) -> tuple[list[Found], list[str]]:
+        """Files and folders right below ``at``."""
+        own, files, inner = self.rules_of(at), [], []
+        try:
+            with os.scandir(os.path.join(self.root, at)) as entries:
+                for e in sorted(entries, key=lambda e: e.name):
+                    path = f"{at}/{e.name}" if at else e.name
+                    if e.is_dir(follow_symlinks=False):
+                        if e.name not in PRUNED and not is_ignored(path, True, own):
+                            inner.append(path)
+                    elif not is_ignored(path, False, own):
+                        files += self.file(path)
+        except OSError as e:
+            files.append((at, None, None, f"walk: {e.strerror}"))
+        return files, inner
+
+    def walk(self, starts: list[str], most: int | None = None) -> tuple[list[Found], list[str]]:
+        """Everything below ``starts``, level by level; with ``most``, up to a level of more open folders, which are returned."""
+        found: dict[str, Found] = {}
+        level = []
+        for start in starts:
+            if os.path.isfile(os.path.join(self.root, start)):
+                found |= {f[0]: f for f in (self.file(start) if self.is_open(start, False) else [])}
+            elif self.is_open(start, True):
+                level.append(start)
+        while level and (most is None or len(level) <= most):
+            below: list[str] = []
+            for at in level:
+                files, inner = self.folder(at)
+                found |= {f[0]: f for f in files}
+                below += inner
+            level = below
+        return [found[p] for p in sorted(found)], level
+
+
+def list_tree(root: str, scope: Scope) -> list[Found]:
+    """All files of known languages of a tree, listed by this process."""
+    return Walker(root, scope).walk(walk_roots(scope.include))[0]
+
+
+_FOUND = "path string, size long, modified long, error string"
 
 
 def _mounted_files(spark: SparkSession, root: str, scope: Scope) -> DataFrame:
-    """Listed on the driver (names and sizes only), read on the executors. Spark's own reader skips names like __init__.py."""
-    lost: list[tuple[str, str]] = []
-    listed = list_tree(root, scope, lost)
-    names = spark.createDataFrame(listed, "path string, size long, modified long")
+    """Listed and read on the executors; the driver lists the top levels only, as far as FRONTIER folders lie open.
+
+    Spark's own reader skips names like __init__.py.
+    """
+    top, open_folders = Walker(root, scope).walk(walk_roots(scope.include), FRONTIER)
+    names = spark.createDataFrame(top, _FOUND)
+    if open_folders:
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            walker = Walker(root, scope)
+            for batch in batches:
+                for start in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_pylist([dict(zip(("path", "size", "modified", "error"), f)) for f in walker.walk([start])[0]], schema=_FOUND_ARROW)
+
+        folders = spark.createDataFrame([(f,) for f in open_folders], "folder string").repartition(max(1, len(open_folders) // 8), "folder")
+        names = materialize(names.unionByName(folders.mapInArrow(walk, _FOUND)))
     # About 16 MB or 2,000 files to a task.
-    tasks = max(1, len(listed) // 2000, sum(r[1] for r in listed) >> 24)
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    tasks = max(1, size["n"] // 2000, size["size"] >> 24)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents, errors = [], []
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open(os.path.join(root, path), "rb") as f:
-                        contents.append(f.read())
-                    errors.append(None)
-                except OSError as e:
-                    contents.append(None)
-                    errors.append(f"read: {e.strerror}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["path", "size", "modified", "content", "error"])
-
-    found = names.repartition(tasks, "path").mapInArrow(read, "path string, size long, modified long, content binary, error string")
-    if not lost:
-        return found
-    return found.unionByName(spark.createDataFrame([(p, None, None, None, e) for p, e in lost], found.schema))
+            for path, lost in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                content = None
+                if lost is None:
+                    try:
+                        with open(os.path.join(root, path), "rb") as f:
+                            content = f.read()
+                    except OSError as e:
+                        lost = f"read: {e.strerror}"
+                contents.append(content)
+                errors.append(lost)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["path", "size", "modified", "content", "error"])
+
+    return names.repartition(tasks, "path").mapInArrow(read, "path string, size long, modified long, content binary, error string")
+
+
+_FOUND_ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.int64()), ("error", pa.string())])
 
 
 def _stored_files(spark: SparkSession, root: str, scope: Scope) -> DataFrame:

@@ -61,6 +61,20 @@ def test_scan(spark, root):
     assert {r[0] for r in scoped} == {"app/main.py", "app/__init__.py", "app/broken.py", "web/a.ts", "web/barrel.ts", "web/b.ts"}
 
 
+def test_executors_walk_what_the_driver_leaves(spark, root, monkeypatch):
+    whole = sorted(map(str, tree.read_tree(spark, root).collect()))
+    monkeypatch.setattr(tree, "FRONTIER", 2)
+    assert tree.Walker(root, tree.Scope()).walk([""], 2)[1] and sorted(map(str, tree.read_tree(spark, root).collect())) == whole
+
+
+def test_folders_that_cannot_be_listed(spark, tmp_path, monkeypatch):
+    write(str(tmp_path), {"a.py": "x = 1\n", "in/b.py": "y = 2\n"})
+    real = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: real(p) if not str(p).endswith("/in") else (_ for _ in ()).throw(PermissionError(13, "Permission denied", p)))
+    rows = {r["path"]: r["error"] for r in tree.read_tree(spark, str(tmp_path)).collect()}
+    assert rows == {"a.py": None, "in": "walk: Permission denied"}
+
+
 def test_scope_rules():
     assert tree.walk_roots(["src/a/*.py", "src", "docs/{a,b}"]) == ["src", "docs"]
     assert tree.walk_roots([]) == [""]
