@@ -246,14 +246,10 @@ def test_late_events_are_left_out(spark, tmp_path):
     assert {r["start"].hour for r in spark.table("late").collect()} == {10, 15}
 
 
-def test_scratch_is_cleared(spark, tmp_path):
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     from codeloom.operators import scratch
 
-    before = spark.conf.get("codeloom.rounds", None)
-    spark.conf.set("codeloom.rounds", f"file://{tmp_path}/rounds")
-    try:
-        assert scratch.materialize(spark.range(3)).count() == 3 and os.listdir(f"{tmp_path}/rounds")
-        scratch.clear_scratch(spark)
-        assert not os.path.exists(f"{tmp_path}/rounds")
-    finally:
-        spark.conf.set("codeloom.rounds", before) if before else spark.conf.unset("codeloom.rounds")
+    monkeypatch.setattr(scratch, "scratch_dir", lambda s: f"file://{tmp_path}/rounds")
+    assert scratch.materialize(spark.range(3)).count() == 3 and os.listdir(f"{tmp_path}/rounds")
+    scratch.clear_scratch(spark)
+    assert not os.path.exists(f"{tmp_path}/rounds")

@@ -71,3 +71,33 @@ def test_search_pattern():
     assert services.search_pattern(["login", "userName", "a_b", "c_d"]) == "c_d"
     assert services.search_pattern(["login", "User", "names"]) == "User"
     assert services.search_pattern([]) is None
+
+
+def test_expectations_as_json(spark, tmp_path):
+    from codeloom.sources import records
+
+    path = tmp_path / "e.json"
+    path.write_text('[{"task": "find it", "first_file": "a.py", "strategy": "explicit"}, {"task": " ", "first_file": "b.py"}, {"first_file": "c.py"}]')
+    rows = records.read_json_expectations(spark, str(path)).collect()
+    assert [(r["task"], r["first_file"], r["strategy"], r["seed"]) for r in rows] == [("find it", "a.py", "explicit", None)]
+
+
+def test_manifest_of_another_version(spark, tmp_path, monkeypatch):
+    from codeloom.sources import records
+
+    assert records.read_manifest(spark, str(tmp_path)) is None
+    records.write_manifest(spark, str(tmp_path), {"a": "1"})
+    assert records.read_manifest(spark, str(tmp_path)) == {"a": "1", "schema_version": records.SCHEMA_VERSION}
+    monkeypatch.setattr(records, "SCHEMA_VERSION", "0")
+    assert records.read_manifest(spark, str(tmp_path)) is None
+
+
+def test_commands_beyond_the_tools(spark, tmp_path):
+    from codeloom import cli
+    from codeloom.api import Project
+
+    p = Project(spark, str(tmp_path))
+    ask = lambda name, **a: cli.answer(p, {"id": 1, "method": name, "params": a}, cli.TOOLS + cli.COMMANDS)
+    assert ask("config_init")["result"].endswith("codeloom.toml") and ask("config_init")["error"]["code"] == -32602
+    assert ask("config_init", force=True)["result"] and "0 indexed files" in ask("overview_text")["result"]
+    assert cli.answer(p, {"id": 1, "method": "config_init"})["error"]["code"] == -32601
