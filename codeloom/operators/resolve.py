@@ -38,19 +38,31 @@ def prefix_join(left: DataFrame, left_name: str, right: DataFrame, right_key: st
     return prefixes.join(keyed, prefixes["_prefix"] == keyed["_key"]).drop("_key", "_prefix")
 
 
+#: Trailing parts of a path that a join on its ending is made on.
+JOIN_PARTS = 3
+
+
 def path_suffix_join(left: DataFrame, left_suffix: str, files: DataFrame, path: str = "path") -> DataFrame:
-    """Pairs where ``path`` ends with ``left_suffix``; joined on the file name, the rest is a residual.
+    """Pairs where ``path`` ends with ``left_suffix``.
 
-    As the suffix may begin inside a part of the path, a suffix without a slash is
-    compared with every ending of the file name and not by equality.
+    The suffix may begin inside a part of the path, but the parts after that are whole:
+    up to JOIN_PARTS of them are the key of an equi-join and the rest is a residual, so file
+    names that very many folders have do not meet all of each other. A suffix without a slash
+    is compared with every ending of the file name.
     """
-    own = left.withColumn("_base", basename(ascii_lower(F.col(left_suffix)))).withColumn("_whole", F.instr(left_suffix, "/") > 0)
+    parts = F.split(ascii_lower(F.col(left_suffix)), "/", -1)
+    whole = F.least(F.size(parts) - 1, F.lit(JOIN_PARTS))
+    own = left.withColumn("_n", whole).withColumn("_tail", F.when(whole > 0, F.array_join(F.slice(parts, F.size(parts) - whole + 1, F.greatest(whole, F.lit(1))), "/")))
+    steps = F.split(ascii_lower(F.col(path)), "/", -1)
+    counts = F.sequence(F.lit(1), F.least(F.size(steps), F.lit(JOIN_PARTS)))
+    ending = lambda n: F.struct(n.alias("n"), F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/").alias("tail"))
+    tails = files.withColumn("_end", F.explode(F.transform(counts, ending)))
+    found = own.filter("_n > 0").join(tails, (F.col("_n") == F.col("_end.n")) & (F.col("_tail") == F.col("_end.tail")))
+    found = found.filter(ascii_lower(F.col(path)).endswith(ascii_lower(F.col(left_suffix)))).drop("_end")
     names = files.withColumn("_name", basename(ascii_lower(F.col(path))))
-    ends = lambda df: df.filter(ascii_lower(F.col(path)).endswith(ascii_lower(F.col(left_suffix))))
-    whole = ends(own.filter("_whole").join(names, F.col("_base") == F.col("_name")))
-    endings = names.withColumn("_end", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name")), lambda i: F.substr("_name", i))))
-    bare = own.filter("not _whole").join(endings, F.col("_base") == F.col("_end")).drop("_end")
-    return whole.unionByName(bare).drop("_base", "_whole", "_name")
+    endings = names.withColumn("_end", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name")), lambda i: F.substr("_name", i)))).drop("_name")
+    bare = own.filter("_n = 0").join(endings, ascii_lower(F.col(left_suffix)) == F.col("_end")).drop("_end")
+    return found.unionByName(bare).drop("_n", "_tail")
 
 
 def unambiguous_globs(globs: DataFrame, names: DataFrame) -> DataFrame:
