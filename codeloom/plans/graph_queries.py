@@ -271,7 +271,8 @@ _RESOLVE_BASE = """c AS (SELECT event_id AS call_id, CAST(user_id % 50 AS BIGINT
  d AS (SELECT DISTINCT CAST(l_orderkey % 50 AS BIGINT) AS src, CAST(l_partkey % 20 AS BIGINT) AS target, CAST(l_linenumber AS BIGINT) AS line FROM lineitem),
  s AS (SELECT p_partkey AS sid, p_partkey % 20 AS file_id, ['view','signup','purchase','error','click','other','misc'][p_partkey % 7 + 1] AS name, p_brand || '.' || ['view','signup','purchase','error','click','other','misc'][p_partkey % 7 + 1] AS qualified_name,
    CAST(p_size AS BIGINT) AS start_line FROM part),
- cand AS (SELECT call_id, 'file/' || target AS callee_file, qualified_name, line AS dependency_line, start_line, 1 AS match_rank FROM c JOIN d ON c.src = d.src JOIN s ON d.target = s.file_id AND s.name = c.callee)"""
+ k AS (SELECT DISTINCT src, callee FROM c),
+ cand AS (SELECT k.src, callee, 'file/' || target AS callee_file, qualified_name, line AS dependency_line, start_line, 1 AS match_rank FROM k JOIN d ON k.src = d.src JOIN s ON d.target = s.file_id AND s.name = k.callee)"""
 
 
 def _resolve_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -296,8 +297,8 @@ def _resolve_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
 
 
 @query(
-    f"""WITH {_RESOLVE_BASE} SELECT call_id, callee_file FROM (SELECT *, row_number() OVER (PARTITION BY call_id
- ORDER BY match_rank, length(qualified_name), dependency_line, start_line, callee_file) AS r FROM cand) WHERE r = 1"""
+    f"""WITH {_RESOLVE_BASE}, best AS (SELECT src, callee, callee_file FROM (SELECT *, row_number() OVER (PARTITION BY src, callee
+ ORDER BY match_rank, length(qualified_name), dependency_line, start_line, callee_file) AS r FROM cand) WHERE r = 1) SELECT call_id, callee_file FROM c JOIN best USING (src, callee)"""
 )
 def resolve_calls_ranked(spark: SparkSession, sf: str) -> DataFrame:
     candidates, members = _direct(spark, sf)
@@ -310,7 +311,10 @@ def _direct(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return arms.direct_candidates(reps, deps, files, symbols), members
 
 
-@query(f"WITH {_RESOLVE_BASE} SELECT call_id, count(DISTINCT callee_file) AS n FROM cand GROUP BY 1 HAVING count(DISTINCT callee_file) > 1")
+@query(
+    f"""WITH {_RESOLVE_BASE}, several AS (SELECT src, callee, count(DISTINCT callee_file) AS n FROM cand GROUP BY 1, 2 HAVING count(DISTINCT callee_file) > 1)
+ SELECT call_id, n FROM c JOIN several USING (src, callee)"""
+)
 def ambiguous_targets(spark: SparkSession, sf: str) -> DataFrame:
     candidates, members = _direct(spark, sf)
     return resolve.of_members(resolve.ambiguous_calls(candidates), members).select("call_id", "n")

@@ -94,14 +94,17 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
  dig AS (SELECT file, start_line, sha256(token) AS h FROM tok),
  steps AS (SELECT file, start_line, unnest([CAST(('0x' || substr(h, 4 * i + 1, 2)) AS INTEGER) % 64 FOR i IN range(0, 16)]) AS place,
    unnest([CASE WHEN CAST(('0x' || substr(h, 4 * i + 3, 2)) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END FOR i IN range(0, 16)]) AS sign FROM dig),
- v AS (SELECT file, start_line, place, CAST(sum(sign) AS DOUBLE) AS x FROM steps GROUP BY 1, 2, 3), n AS (SELECT file, start_line, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1, 2)
- SELECT file, start_line, CAST(place AS INTEGER) AS place, round(x / norm, 4) AS value FROM v JOIN n USING (file, start_line) WHERE x <> 0"""
+ v AS (SELECT file, start_line, place, CAST(sum(sign) AS DOUBLE) AS x FROM steps GROUP BY 1, 2, 3), n AS (SELECT file, start_line, min(abs(x)) AS least FROM v WHERE x <> 0 GROUP BY 1, 2)
+ SELECT file, start_line, CAST(place AS INTEGER) AS place, round(x / least, 2) AS value, 1.0::DOUBLE AS norm FROM v JOIN n USING (file, start_line) WHERE x <> 0"""
 )
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """The values of every vector that are not zero, by place."""
+    """The values of every vector that are not zero, by place and in units of the least of them, and its length."""
     vectors = semantic.embed(b.chunks(spark, sf), ["file", "start_line", "end_line"])
-    values = vectors.select("file", "start_line", F.posexplode("vector").alias("place", "value"))
-    return values.filter("value <> 0").select("file", "start_line", "place", F.round(F.col("value").cast("double"), 4).alias("value"))
+    doubles = vectors.withColumn("v", F.transform("vector", lambda x: x.cast("double")))
+    least = F.array_min(F.transform(F.filter("v", lambda x: x != 0), F.abs))
+    marked = doubles.withColumn("least", least).withColumn("norm", F.round(F.sqrt(semantic.dot(F.col("v"), F.col("v"))), 4))
+    values = marked.select("file", "start_line", "least", "norm", F.posexplode("v").alias("place", "value"))
+    return values.filter("value <> 0").select("file", "start_line", "place", F.round(F.col("value") / F.col("least"), 2).alias("value"), "norm")
 
 
 _PARTS = f"""{b.DEPENDENCIES}, seed AS (SELECT DISTINCT source_file FROM deps WHERE resolved_file = 'Supplier#000000003'), parts AS (
