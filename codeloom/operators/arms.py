@@ -394,16 +394,27 @@ def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols:
     calls = materialize(resolve.reset_calls(calls, files))
     open_calls, members = resolve.representatives(calls)
     members = materialize(members)
+    # A handful of names; arms of languages that no open call is written in are left out.
+    spoken = {r["language"] for r in open_calls.select("language").distinct().collect()}
     direct = materialize(direct_candidates(open_calls, deps, files, symbols))
-    plain = reduce(DataFrame.unionByName, [*java_routes(open_calls, deps), *csharp_routes(open_calls, deps, files)])
-    passed = reexport_routes(open_calls, deps, files)
-    plain = reduce(DataFrame.unionByName, [plain, *[r for r, glob in passed if not glob]])
-    arms = [direct, find_members(plain, files, symbols), *[unambiguous(find_members(r, files, symbols)) for r, glob in passed if glob]]
+    plain = java_routes(open_calls, deps) if "java" in spoken else []
+    plain += csharp_routes(open_calls, deps, files) if "csharp" in spoken else []
+    passed = reexport_routes(open_calls, deps, files) if spoken & {"javascript", "typescript", "tsx", "rust"} else []
+    plain += [r for r, glob in passed if not glob]
+    arms = [direct, *[unambiguous(find_members(r, files, symbols)) for r, glob in passed if glob]]
+    arms += [find_members(reduce(DataFrame.unionByName, plain), files, symbols)] if plain else []
     winners = resolve.best_candidates(arms)
     c_like = open_calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
     winners = resolve.drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi"))
     done = resolve.apply_winners(calls, resolve.of_members(winners, members), 0.72)
-    for resolver, confidence in ((lambda c: include_closure_calls(c, deps, files, symbols), 0.68), (lambda c: go_package_calls(c, deps, files, symbols), 0.72), (lambda c: rust_qualified_calls(c, files, symbols), 0.76), (lambda c: rust_module_calls(c, deps, files, symbols), 0.74)):
-        done = materialize(done)
-        done = resolve.apply_winners(done, resolver(done), confidence)
+    late = (
+        ({"c", "cpp"}, lambda c: include_closure_calls(c, deps, files, symbols), 0.68),
+        ({"go"}, lambda c: go_package_calls(c, deps, files, symbols), 0.72),
+        ({"rust"}, lambda c: rust_qualified_calls(c, files, symbols), 0.76),
+        ({"rust"}, lambda c: rust_module_calls(c, deps, files, symbols), 0.74),
+    )
+    for languages, resolver, confidence in late:
+        if spoken & languages:
+            done = materialize(done)
+            done = resolve.apply_winners(done, resolver(done), confidence)
     return done
