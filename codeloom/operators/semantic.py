@@ -45,8 +45,8 @@ def chunk_windows(texts: DataFrame, lines: int = 80) -> DataFrame:
     )
 
 
-def hash_vector(text: str | None) -> np.ndarray:
-    """Signed token hashes in 64 places, length 1 in float32; the whole text is one token if it has none."""
+def hash_counts(text: str | None) -> np.ndarray:
+    """Sums of signed token hashes in 64 places; the whole text is one token if it has none."""
     raw = (text or "").encode()
     raw = raw.lower()
     v = np.zeros(DIMENSIONS, np.float32)
@@ -54,16 +54,34 @@ def hash_vector(text: str | None) -> np.ndarray:
         digest = hashlib.sha256(token).digest()
         for i in range(0, 2 * PAIRS, 2):
             v[digest[i] % DIMENSIONS] += 1.0 if digest[i + 1] & 1 == 0 else -1.0
+    return v
+
+
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.float32]:
+    """``v`` at length 1 in float32, and its length before; zeros stay as they are."""
     norm = np.sqrt((v * v).sum(dtype=np.float32))
-    return v / norm if norm > 0 else v
+    return (v / norm if norm > 0 else v), norm
+
+
+def hash_vector(text: str | None) -> np.ndarray:
+    """Signed token hashes in 64 places, length 1 in float32; the whole text is one token if it has none."""
+    return _scaled(hash_counts(text))[0]
 
 
 def local_hash(texts: list[str | None]) -> list[np.ndarray]:
     return [hash_vector(t) for t in texts]
 
 
+def local_hash_length(texts: list[str | None]) -> list[np.ndarray]:
+    """Vectors of ``local_hash``, each followed by its length before it was scaled to 1."""
+    return [np.append(*_scaled(hash_counts(t))) for t in texts]
+
+
 #: Providers by name: a function from texts to vectors. A caller may add its own.
-PROVIDERS: dict[str, tuple[str, Callable[[list[str | None]], list[np.ndarray]]]] = {"local-hash": ("sha256-64", local_hash)}
+PROVIDERS: dict[str, tuple[str, Callable[[list[str | None]], list[np.ndarray]]]] = {
+    "local-hash": ("sha256-64", local_hash),
+    "local-hash-length": ("sha256-64", local_hash_length),
+}
 
 
 def embed(chunks: DataFrame, key: list[str], provider: str = "local-hash", batch: int = BATCH) -> DataFrame:
