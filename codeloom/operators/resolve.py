@@ -38,31 +38,32 @@ def prefix_join(left: DataFrame, left_name: str, right: DataFrame, right_key: st
     return prefixes.join(keyed, prefixes["_prefix"] == keyed["_key"]).drop("_key", "_prefix")
 
 
-#: Trailing parts of a path that a join on its ending is made on.
-JOIN_PARTS = 3
-
-
 def path_suffix_join(left: DataFrame, left_suffix: str, files: DataFrame, path: str = "path") -> DataFrame:
     """Pairs where ``path`` ends with ``left_suffix``.
 
-    The suffix may begin inside a part of the path, but the parts after that are whole:
-    up to JOIN_PARTS of them are the key of an equi-join and the rest is a residual, so file
-    names that very many folders have do not meet all of each other. A suffix without a slash
-    is compared with every ending of the file name.
+    The suffix may begin inside a part of the path; the parts after that are whole. Folders
+    with such parts, each once however many files they stand for, are found by those parts and
+    by every ending of the part before; files are then found by their folders. All joins are
+    on equality, so names that very many paths or suffixes have do not meet all of each other.
+    A suffix without a slash is compared with every ending of the file name.
     """
     parts = F.split(ascii_lower(F.col(left_suffix)), "/", -1)
-    whole = F.least(F.size(parts) - 1, F.lit(JOIN_PARTS))
-    own = left.withColumn("_n", whole).withColumn("_tail", F.when(whole > 0, F.array_join(F.slice(parts, F.size(parts) - whole + 1, F.greatest(whole, F.lit(1))), "/")))
+    whole = F.size(parts) - 1
+    own = left.withColumn("_n", whole).withColumn("_tail", F.when(whole > 0, F.xxhash64(F.array_join(F.slice(parts, 2, F.greatest(whole, F.lit(1))), "/")))).withColumn("_first", F.element_at(parts, 1))
     steps = F.split(ascii_lower(F.col(path)), "/", -1)
-    counts = F.sequence(F.lit(1), F.least(F.size(steps), F.lit(JOIN_PARTS)))
-    ending = lambda n: F.struct(n.alias("n"), F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/").alias("tail"))
+    ending = lambda n: F.struct(n.alias("n"), F.xxhash64(F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/")).alias("tail"), F.element_at(steps, -n - 1).alias("before"))
+    counts = F.filter(F.sequence(F.lit(1), F.size(steps)), lambda n: n < F.size(steps))
     tails = files.withColumn("_end", F.explode(F.transform(counts, ending)))
-    found = own.filter("_n > 0").join(tails, (F.col("_n") == F.col("_end.n")) & (F.col("_tail") == F.col("_end.tail")))
-    found = found.filter(ascii_lower(F.col(path)).endswith(ascii_lower(F.col(left_suffix)))).drop("_end")
+    asked = own.filter("_n > 0").select(F.col("_n").alias("_gn"), F.col("_tail").alias("_gtail")).distinct()
+    groups = tails.select(F.col("_end.n").alias("_gn"), F.col("_end.tail").alias("_gtail"), F.col("_end.before").alias("_before")).distinct().join(asked, ["_gn", "_gtail"], "left_semi")
+    groups = groups.withColumn("_inside", F.explode(F.transform(F.sequence(F.lit(1), F.length("_before") + 1), lambda i: F.substr("_before", i))))
+    placed = own.join(groups, (F.col("_n") == F.col("_gn")) & (F.col("_tail") == F.col("_gtail")) & (F.col("_first") == F.col("_inside"))).drop("_gn", "_gtail", "_inside")
+    found = placed.join(tails, (F.col("_n") == F.col("_end.n")) & (F.col("_tail") == F.col("_end.tail")) & (F.col("_before") == F.col("_end.before")))
+    found = found.filter(ascii_lower(F.col(path)).endswith(ascii_lower(F.col(left_suffix)))).drop("_end", "_before")
     names = files.withColumn("_name", basename(ascii_lower(F.col(path))))
     endings = names.withColumn("_end", F.explode(F.transform(F.sequence(F.lit(1), F.length("_name")), lambda i: F.substr("_name", i)))).drop("_name")
     bare = own.filter("_n = 0").join(endings, ascii_lower(F.col(left_suffix)) == F.col("_end")).drop("_end")
-    return found.unionByName(bare).drop("_n", "_tail")
+    return found.unionByName(bare).drop("_n", "_tail", "_first")
 
 
 def unambiguous_globs(globs: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
 from codeloom import catalog
+from codeloom.operators import resolve
 from tests import oracle
 
 
@@ -16,3 +20,19 @@ def test_quotients_of_embeddings_are_rounded_as_whole_numbers_are(spark, tmp_pat
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = catalog.QUERIES["hash_embeddings"](spark, str(tmp_path))
     assert oracle.spark_rows(got) == oracle.duck_rows(con, catalog.ORACLE_SQL["hash_embeddings"])
+
+
+def test_path_endings_of_many_folders_do_not_meet_all_of_each_other(spark):
+    few = [("Lib/User.cs",), ("/b/User.cs",), ("ib/User.cs",), ("/Lib/User.cs",), ("ser.cs",), ("x/a/b/USER.cs",), ("User.cs/",)]
+    paths = ["a/Lib/User.cs", "Lib/User.cs", "b/User.cs", "ax/a/b/User.cs", "User.cs", "a/Glib/User.cs", "a/b/User.cs/c"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = resolve.path_suffix_join(spark.createDataFrame(few, "suffix string"), "suffix", files).collect()
+    assert sorted((r.suffix, r.path) for r in got) == sorted((s, p) for (s,) in few for p in paths if p.lower().endswith(s.lower()))
+
+    n = 20_000  # 400 million pairs of equal last parts, and of equal last three
+    one = spark.range(n)
+    files = one.select(F.format_string("s%d/Lib/User.cs", "id").alias("path")).unionByName(one.select(F.format_string("wild/s%d/src/b/tools/Tool.java", "id").alias("path")))
+    ends = one.select(F.format_string("this%d/User.cs", "id").alias("suffix")).unionByName(one.select(F.format_string("s%d/src/b/tools/Tool.java", "id").alias("suffix")))
+    began = time.monotonic()
+    assert resolve.path_suffix_join(ends, "suffix", files).count() >= n
+    assert time.monotonic() - began < 30
