@@ -113,6 +113,11 @@ def _deps(deps: DataFrame, language: str, *kinds: str) -> DataFrame:
     return own.select(F.col("source_file_id").alias("dep_src"), "target", "resolved_file", F.col("local_alias").alias("alias"), F.col("imported_symbol").alias("imported"), "line")
 
 
+def _settled(routes: list[DataFrame]) -> list[DataFrame]:
+    """``routes`` as one that is written: what reads it has a short plan, however many joins each took."""
+    return [materialize(reduce(DataFrame.unionByName, routes))]
+
+
 def java_routes(calls: DataFrame, deps: DataFrame) -> list[DataFrame]:
     """Class.member by a wildcard import, or in the call's own package."""
     own = _open(calls, "java").filter("instr(callee, '.') > 1")
@@ -121,7 +126,7 @@ def java_routes(calls: DataFrame, deps: DataFrame) -> list[DataFrame]:
         d = _deps(deps, "java", kind).withColumn("_package", package).filter("_package is not null and (instr(target, '.') > 0 or resolved_file is null)")
         joined = own.join(d, own["src"] == d["dep_src"])
         out.append(_route(joined, F.concat(_as_path(F.col("_package")), F.lit("/"), _head("callee"), F.lit(".java")), _rest("callee"), 0))
-    return out
+    return _settled(out)
 
 
 def _scoped(df: DataFrame, key: str, kind: str, deps: DataFrame) -> DataFrame:
@@ -203,10 +208,12 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     single = based.filter("instr(wanted, '.') = 0")
     keep = ["call_id", "wanted", "_file_end"]
     near = _scoped(single.filter("instr(type, '.') = 0"), "src", "type", deps).select(*keep).unionByName(_qualified(single, "type").select(*keep))
-    owners = _files_ending(near, files).select("call_id", "wanted", "owner_id")
+    owners = materialize(_files_ending(near, files).select("call_id", "wanted", "owner_id"))
     upper = owners.join(b.select(F.col("dep_src").alias("_up"), F.col("type"), "line"), F.col("owner_id") == F.col("_up"))
     out.append(_route(_scoped(upper, "owner_id", "type", deps), end, F.col("wanted"), 1))
 
+    out = _settled(out)
+
     # Owner.Property.member of a static owner.
     p = _deps(deps, "csharp", "property_type").filter("alias is not null and imported is not null")
     p = p.select(F.col("dep_src").alias("owner_id"), F.col("target").alias("type"), F.concat("imported", F.lit("."), "alias").alias("_chain"), "line")
@@ -215,6 +222,8 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     for shape in (_scoped(static, "owner_id", "type", deps), _qualified(static, "type")):
         out.append(_route(shape, end, F.col("wanted"), 0))
 
+    out = _settled(out)
+
     # Typed locals, and their properties.
     bound = materialize(bound_calls(calls, deps))
     for shape in (_scoped(bound, "src", "type", deps), _qualified(bound, "type"), _aliased(bound, "src", "type", deps)):
@@ -225,6 +234,8 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     for shape in (_scoped(last, "owner_id", "property_type", deps), _qualified(last, "property_type")):
         out.append(_route(shape, end, F.col("tail"), 0))
 
+    out = _settled(out)
+
     # Extension methods of files that the call's file uses.
     e = _deps(deps, "csharp", "extension_method").filter("alias is not null").select(F.col("dep_src").alias("_e_src"), F.col("target").alias("_on"), F.col("alias").alias("_method"), "line")
     f = files.select(F.col("id").alias("_e_file"), F.col("path").alias("_e_path"))
@@ -236,7 +247,7 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     named = dotted.join(used, (dotted["src"] == used["_u_src"]) & (F.substring_index(dotted["callee"], ".", -1) == used["_method"]))
     named = named.filter(_ends_with(F.col("callee"), F.concat("_on", F.lit("."), "_method")))
     out.append(_route(named, F.col("_e_path"), F.col("_method"), 2, exact=True, line="_e_line"))
-    return out
+    return _settled(out)
 
 
 # --- names that files pass on ----------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import line_count
 from codeloom.operators import arms, index
+from codeloom.operators.scratch import materialize
 from codeloom.parse import paths
 from codeloom.plans import bindings as b
 from codeloom.plans.call_cases import CASES, Case
@@ -157,6 +158,7 @@ def _resolved(spark: SparkSession, sf: str, cases: list[Case]) -> DataFrame:
     c = _generated(spark, sf, calls, ["file", "language", "caller", "callee", "line"])
     c = c.withColumn("source_file_id", _id(F.col("file"))).withColumn("id", F.xxhash64("file", "caller", "callee", "line"))
     c = c.withColumn("callee_file", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.55))
+    d, f, s = materialize(d), materialize(f), materialize(s)  # each arm reads them
     return arms.resolve_calls(c, d, f, s).select("file", "caller", "callee", "callee_file", "confidence")
 
 
