@@ -66,13 +66,42 @@ def path_suffix_join(left: DataFrame, left_suffix: str, files: DataFrame, path:
     return found.unionByName(bare).drop("_n", "_tail", "_first")
 
 
+#: Names in a word of bits, words of a row, and names that are numbered in one task.
+NAME_BITS, NAME_WORDS, NAME_ROWS = 64, 4, 1_000_000
+
+
 def unambiguous_globs(globs: DataFrame, names: DataFrame) -> DataFrame:
     """Glob re-exports that alone offer a name in their file.
 
     ``globs`` has file and target, ``names`` target and name; gives (file, name, target).
+    Names are numbered and travel as sets of bits, so that a glob moves a row for every 256
+    neighbouring names and not one for each; bits that two targets of a file have are taken out.
     """
-    offered = globs.join(names, "target").select("file", "name", "target").distinct()
-    return offered.groupBy("file", "name").agg(F.count("*").alias("_n"), F.min("target").alias("target")).filter("_n = 1").drop("_n")
+    distinct = names.select("name").distinct()
+    count = distinct.count()  # one number reaches the driver
+    numbered = distinct.repartitionByRange(max(1, -(-count // NAME_ROWS)), "name").withColumn("_id", F.monotonically_increasing_id())
+    row = NAME_BITS * NAME_WORDS
+    word, bit = F.floor(F.col("_id") % row / NAME_BITS).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(_id % {NAME_BITS} as int))").alias("_bit")
+    numbered = materialize(numbered.select(F.col("name").alias("_name"), F.floor(F.col("_id") / row).alias("_block"), word, bit))
+    words = [f"_w{i}" for i in range(NAME_WORDS)]
+    own = names.join(numbered, names["name"].eqNullSafe(numbered["_name"])).groupBy("target", "_block").agg(
+        *[F.bit_or(F.when(F.col("_word") == i, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)]
+    )
+    offered = globs.select("file", "target").repartition("target").distinct().join(own, "target")
+    sets = offered.groupBy("file", "_block").agg(F.collect_list(F.struct("target", *words)).alias("_sets"))
+    none = F.struct(F.lit(0).cast("long").alias("any"), F.lit(0).cast("long").alias("more"))
+
+    def twice(w: str):
+        step = lambda s, x: F.struct(s["any"].bitwiseOR(x[w]).alias("any"), s["more"].bitwiseOR(s["any"].bitwiseAND(x[w])).alias("more"))
+        return F.aggregate("_sets", none, step)["more"].alias(f"_more{w}")
+
+    sets = sets.select("file", "_block", "_sets", *[twice(w) for w in words]).withColumn("s", F.explode("_sets"))
+    bits = F.array(*[F.col(f"s.{w}").bitwiseAND(F.bitwise_not(f"_more{w}")) for w in words])
+    alone = sets.select("file", "_block", F.col("s.target").alias("target"), bits.alias("_bits")).filter(F.exists("_bits", lambda b: b != 0))
+    table = numbered.groupBy("_block").agg(F.collect_list(F.struct("_word", "_bit", "_name")).alias("_names"))
+    named = alone.join(F.broadcast(table) if count <= 200_000 else table, "_block")
+    fits = F.filter("_names", lambda n: F.get("_bits", n["_word"]).bitwiseAND(n["_bit"]) != 0)
+    return named.select("file", F.explode(F.transform(fits, lambda n: n["_name"])).alias("name"), "target")
 
 
 #: What one call must share with another for both to have the same target; C# also looks at the caller, a ``require`` at its line.

@@ -36,3 +36,18 @@ def test_path_endings_of_many_folders_do_not_meet_all_of_each_other(spark):
     began = time.monotonic()
     assert resolve.path_suffix_join(ends, "suffix", files).count() >= n
     assert time.monotonic() - began < 30
+
+
+def test_names_of_globs_travel_as_sets(spark):
+    targets = [(f"t{t}", f"n{i}") for t in range(40) for i in range(20 * t, 20 * t + 200)] + [("t0", None), ("t1", None), ("t50", "n1")]
+    globs = [(f"f{k}", f"t{t}") for k in range(300) for t in (k % 40, k * 7 % 40, k * 3 % 60)] + [("g", "t0"), (None, "t39")]
+    offers = {}
+    for f, t in set(globs):
+        for n in {n for x, n in targets if x == t}:
+            offers.setdefault((f, n), []).append(t)
+    want = {(f, n, t[0]) for (f, n), t in offers.items() if len(t) == 1}
+    left, right = spark.createDataFrame(globs, "file string, target string"), spark.createDataFrame(targets, "target string, name string")
+    found = resolve.unambiguous_globs(left, right)
+    got = [(r.file, r.name, r.target) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each name and glob is dealt
