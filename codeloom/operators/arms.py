@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import ascii_lower, dotted_suffixes
 from codeloom.operators import resolve
-from codeloom.operators.scratch import materialize
+from codeloom.operators.scratch import materialize_bounded
 
 ROUTE = ("call_id", "to_path", "exact", "wanted", "line", "match_rank")
 SCOPES = ("using", "namespace")
@@ -115,7 +115,7 @@ def _deps(deps: DataFrame, language: str, *kinds: str) -> DataFrame:
 
 def _settled(routes: list[DataFrame]) -> list[DataFrame]:
     """``routes`` as one that is written: what reads it has a short plan, however many joins each took."""
-    return [materialize(reduce(DataFrame.unionByName, routes))]
+    return [materialize_bounded(reduce(DataFrame.unionByName, routes))]
 
 
 def java_routes(calls: DataFrame, deps: DataFrame) -> list[DataFrame]:
@@ -208,7 +208,7 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     single = based.filter("instr(wanted, '.') = 0")
     keep = ["call_id", "wanted", "_file_end"]
     near = _scoped(single.filter("instr(type, '.') = 0"), "src", "type", deps).select(*keep).unionByName(_qualified(single, "type").select(*keep))
-    owners = materialize(_files_ending(near, files).select("call_id", "wanted", "owner_id"))
+    owners = materialize_bounded(_files_ending(near, files).select("call_id", "wanted", "owner_id"))
     upper = owners.join(b.select(F.col("dep_src").alias("_up"), F.col("type"), "line"), F.col("owner_id") == F.col("_up"))
     out.append(_route(_scoped(upper, "owner_id", "type", deps), end, F.col("wanted"), 1))
 
@@ -225,10 +225,10 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     out = _settled(out)
 
     # Typed locals, and their properties.
-    bound = materialize(bound_calls(calls, deps))
+    bound = materialize_bounded(bound_calls(calls, deps))
     for shape in (_scoped(bound, "src", "type", deps), _qualified(bound, "type"), _aliased(bound, "src", "type", deps)):
         out.append(_route(shape, end, F.col("tail"), 0))
-    via = materialize(property_parts(bound, deps, files))
+    via = materialize_bounded(property_parts(bound, deps, files))
     out.append(_route(via, F.col("owner_file"), F.concat("property_type", F.lit("."), "tail"), 0, exact=True))
     last = via.filter("instr(tail, '.') = 0")
     for shape in (_scoped(last, "owner_id", "property_type", deps), _qualified(last, "property_type")):
@@ -305,10 +305,10 @@ def reexport_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list
     rust = names.filter(F.col("language") == "rust").drop("language")
     named = deps.filter("kind <> 'rust_reexport' or local_alias is not null")
     globs = deps.filter("kind = 'rust_reexport' and local_alias is null")
-    one = materialize(pass_on(script, deps, ("export_alias",), files))
+    one = materialize_bounded(pass_on(script, deps, ("export_alias",), files))
     space = pass_on(script, deps, ("export_namespace",), files)
     two = pass_on(one.drop("via"), deps, ("export_alias",), files).unionByName(pass_on(one.drop("via"), deps.filter("local_alias is not null"), ("export_namespace",), files))
-    rust_one = materialize(pass_on(rust, named, ("rust_reexport",), files))
+    rust_one = materialize_bounded(pass_on(rust, named, ("rust_reexport",), files))
     rust_two = pass_on(rust_one.drop("via"), named, ("rust_reexport",), files)
     glob_one = pass_on(rust, globs, ("rust_reexport",), files)
     glob_two = pass_on(rust_one.drop("via"), globs, ("rust_reexport",), files)
@@ -402,19 +402,19 @@ def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols:
 
     Later resolvers only see calls that earlier ones left open; confidences never fall.
     """
-    calls = materialize(resolve.reset_calls(calls, files))
+    calls = materialize_bounded(resolve.reset_calls(calls, files))
     open_calls, members = resolve.representatives(calls)
-    members = materialize(members)
+    members = materialize_bounded(members)
     # A handful of names; arms of languages that no open call is written in are left out.
     spoken = {r["language"] for r in open_calls.select("language").distinct().collect()}
-    direct = materialize(direct_candidates(open_calls, deps, files, symbols))
+    direct = materialize_bounded(direct_candidates(open_calls, deps, files, symbols))
     plain = java_routes(open_calls, deps) if "java" in spoken else []
     plain += csharp_routes(open_calls, deps, files) if "csharp" in spoken else []
     passed = reexport_routes(open_calls, deps, files) if spoken & {"javascript", "typescript", "tsx", "rust"} else []
     plain += [r for r, glob in passed if not glob]
     arms = [direct, *[unambiguous(find_members(r, files, symbols)) for r, glob in passed if glob]]
     arms += [find_members(reduce(DataFrame.unionByName, plain), files, symbols)] if plain else []
-    winners = resolve.best_candidates(arms)
+    winners = materialize_bounded(resolve.best_candidates(arms))
     c_like = open_calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
     winners = resolve.drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi"))
     done = resolve.apply_winners(calls, resolve.of_members(winners, members), 0.72)
@@ -426,6 +426,6 @@ def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols:
     )
     for languages, resolver, confidence in late:
         if spoken & languages:
-            done = materialize(done)
+            done = materialize_bounded(done)
             done = resolve.apply_winners(done, resolver(done), confidence)
     return done

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import arms, incremental
-from codeloom.operators.scratch import materialize
+from codeloom.operators.scratch import materialize, materialize_bounded
 from codeloom.parse import paths
 from codeloom.parse.extract import SAME_FILE, UNRESOLVED, extract, same_file_callee
 
@@ -129,8 +129,8 @@ def build_index(files: DataFrame, metadata: dict[str, str] | None = None, known:
     if previous is not None:
         same = incremental.unchanged(readable.select("path", "size", "modified", "hash"), previous.files)
         changed = readable.join(same.select("path"), "path", "left_anti")
-    parsed = materialize(extract_files(changed))
-    table = readable.select(file_id().alias("id"), "path", "language", "hash", "line_count", "size", "modified")
+    parsed = materialize_bounded(extract_files(changed))
+    table = materialize_bounded(readable.select(file_id().alias("id"), "path", "language", "hash", "line_count", "size", "modified"))
 
     symbols = parsed.select("path", "language", F.explode("symbols").alias("s")).select(file_id().alias("file_id"), "path", "language", "s.*")
     symbols = symbols.withColumn("id", F.xxhash64("path", "qualified_name", "start_line", "end_line", "kind"))
@@ -147,9 +147,9 @@ def build_index(files: DataFrame, metadata: dict[str, str] | None = None, known:
         calls = calls.unionByName(previous.calls.join(kept.withColumnRenamed("path", "file"), "file", "left_semi").select(*calls.columns))
     ctx = paths.context_from(metadata or {}, conditions)
     deps = resolve_paths(deps, known if known is not None else table.select("path"), ctx).withColumn("source_file_id", file_id("source_file"))
-    deps = materialize(deps)
+    deps, symbols = materialize_bounded(deps), materialize_bounded(symbols)
     resolved = arms.resolve_calls(calls, deps, table, symbols)
-    return Index(materialize(table), materialize(symbols), deps, materialize(resolved), materialize(errors))
+    return Index(table, symbols, deps, materialize(resolved), materialize(errors))
 
 
 def metadata_texts(spark: SparkSession, root: str) -> dict[str, str]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import ascii_lower, basename, dotted_prefixes, dotted_suffixes
-from codeloom.operators.scratch import materialize
+from codeloom.operators.scratch import bounded, materialize, materialize_bounded
 
 CANDIDATE = ("call_id", "callee_file", "qualified_name", "dependency_line", "start_line", "match_rank")
 
@@ -117,7 +117,7 @@ def representatives(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
         "id", "source_file_id", "language", "callee", F.when(F.col("language") == "csharp", F.col("caller")).alias("_who"),
         F.when(ascii_lower(F.col("callee")).startswith("require."), F.col("line")).alias("_at"),
     )
-    reps = materialize(own.groupBy(*_ALIKE).agg(F.min("id").alias("rep")))
+    reps = materialize_bounded(own.groupBy(*_ALIKE).agg(F.min("id").alias("rep")))
     r = reps.select(F.col("rep"), *[F.col(c).alias(f"_r_{c}") for c in _ALIKE])
     alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in _ALIKE])
     members = own.join(r, alike).select(F.col("id").alias("call_id"), "rep")
@@ -180,13 +180,16 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
     """
     e = edges.select("src", "dst").distinct()
     seen = materialize(starts.select("start", F.col("start").alias("node")).distinct())
-    frontier = seen
+    rows = seen.count()
+    seen = frontier = bounded(seen, rows)
     for _ in range(most_rounds):
         step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
+        new = frontier.count()
+        if not new:
             return seen
-        seen = seen.unionByName(frontier)
+        rows += new
+        frontier, seen = bounded(frontier, new), bounded(seen.unionByName(frontier), rows)
     raise RuntimeError(f"closure has not ended after {most_rounds} rounds")
 
 

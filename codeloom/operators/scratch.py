@@ -46,3 +46,23 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Rows up to which the planner may broadcast a written table.
+SMALL_ROWS = 10_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows, which the planner does not broadcast if they are many.
+
+    It goes by the size of files, which for names and paths that are much alike can be a
+    hundredth of what the driver has to hold. The hint holds for joins of ``df`` and of
+    what is selected, exploded or grouped from it; an explicit broadcast goes before it.
+    """
+    return df if rows <= SMALL_ROWS else df.hint("merge")
+
+
+def materialize_bounded(df: DataFrame) -> DataFrame:
+    """``materialize``, and ``bounded`` by the rows that were written."""
+    written = materialize(df)
+    return bounded(written, written.count())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import line_count
 from codeloom.operators import arms, index
-from codeloom.operators.scratch import materialize
+from codeloom.operators.scratch import materialize_bounded
 from codeloom.parse import paths
 from codeloom.plans import bindings as b
 from codeloom.plans.call_cases import CASES, Case
@@ -36,12 +36,14 @@ def _expected(rows: list[tuple], names: list[str], kinds: list[str]) -> str:
     return f"SELECT {picked} FROM supplier, (VALUES {values}) v({', '.join(names)})"
 
 
-def _generated(spark: SparkSession, sf: str, rows: list[tuple], names: list[str]) -> DataFrame:
-    """``rows`` of texts for every supplier, its key put into each."""
+def _generated(spark: SparkSession, sf: str, rows: list[tuple], names: list[str], spread: bool = False) -> DataFrame:
+    """``rows`` of texts for every supplier, its key put into each; ``spread`` deals the keys to all cores, however few files they come from."""
     key = F.col("s_suppkey").cast("string")
     lit = lambda v: F.lit(v).cast("string") if v is None or isinstance(v, str) else F.lit(v).cast("double" if isinstance(v, float) else "long")
     structs = F.array(*[F.struct(*[lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
-    exploded = b.table(spark, sf, "supplier").select(key.alias("_key"), F.explode(structs).alias("r"))
+    keys = b.table(spark, sf, "supplier").select(key.alias("_key"))
+    keys = keys.repartition(4 * spark.sparkContext.defaultParallelism, "_key") if spread else keys
+    exploded = keys.select("_key", F.explode(structs).alias("r"))
     filled = lambda n: F.replace(F.col(f"r.{n}"), F.lit("{k}"), F.col("_key"))
     texts = {n for n, v in zip(names, rows[0]) if v is None or isinstance(v, str)}
     return exploded.select(*[(filled(n) if n in texts else F.col(f"r.{n}")).alias(n) for n in names])
@@ -95,7 +97,7 @@ for _language in TEXTS:
 
 def generated_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a source tree as its scan gives them: a file of every language for every supplier."""
-    files = _generated(spark, sf, [(path, language, text) for language, (path, text) in TEXTS.items()], ["path", "language", "text"])
+    files = _generated(spark, sf, [(path, language, text) for language, (path, text) in TEXTS.items()], ["path", "language", "text"], spread=True)
     text = F.col("text")
     return files.withColumn("error", F.lit(None).cast("string")).withColumn("size", F.octet_length(text).cast("long")).withColumn("modified", F.lit(0).cast("long")).withColumn(
         "hash", F.sha2(text, 256)
@@ -158,7 +160,7 @@ def _resolved(spark: SparkSession, sf: str, cases: list[Case]) -> DataFrame:
     c = _generated(spark, sf, calls, ["file", "language", "caller", "callee", "line"])
     c = c.withColumn("source_file_id", _id(F.col("file"))).withColumn("id", F.xxhash64("file", "caller", "callee", "line"))
     c = c.withColumn("callee_file", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.55))
-    d, f, s = materialize(d), materialize(f), materialize(s)  # each arm reads them
+    d, f, s = materialize_bounded(d), materialize_bounded(f), materialize_bounded(s)  # each arm reads them
     return arms.resolve_calls(c, d, f, s).select("file", "caller", "callee", "callee_file", "confidence")
 
 

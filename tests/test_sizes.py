@@ -8,7 +8,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from codeloom import catalog
-from codeloom.operators import resolve
+from codeloom.functions.names import line_count
+from codeloom.operators import index, resolve
 from tests import oracle
 
 
@@ -51,3 +52,40 @@ def test_names_of_globs_travel_as_sets(spark):
     got = [(r.file, r.name, r.target) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each name and glob is dealt
+
+
+def _broadcast_bytes(spark, after: int) -> list[int]:
+    """Sizes of the tables that executions past ``after`` sent to all executors."""
+    store, units = spark._jsparkSession.sharedState().statusStore(), {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    out, executions = [], store.executionsList()
+    for e in (executions.apply(i) for i in range(executions.size())):
+        if e.executionId() <= after:
+            continue
+        metrics, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if node.name() == "BroadcastExchange" and m.name() == "data size" and metrics.contains(m.accumulatorId()):
+                    number, unit = metrics.apply(m.accumulatorId()).split("\n")[-1].split(" ")[:2]
+                    out.append(int(float(number.replace(",", "")) * units[unit]))
+    return out
+
+
+def test_index_broadcasts_no_table_that_only_its_files_make_look_small(spark):
+    n = 12_000  # a written table of so many like paths has a few hundred KB
+    folder = "a/folder/of/very/much/the/same/name/" * 4
+    rows = spark.range(n).select(
+        F.format_string(folder + "m%d.sh", "id").alias("path"), F.lit("bash").alias("language"), F.format_string("source ./m%d.sh\nf%d() {\n  f%d\n}\n", (F.col("id") + 1) % n, "id", (F.col("id") + 1) % n).alias("text")
+    )
+    files = rows.withColumn("error", F.lit(None).cast("string")).withColumn("size", F.length("text").cast("long")).withColumn("modified", F.lit(0).cast("long")).withColumn("hash", F.sha2("text", 256))
+    files = files.withColumn("line_count", line_count(F.col("text")))
+    spark.range(1).count()
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+    built = index.build_index(files)
+    counts = built.report().first().asDict()
+    assert (counts["files"], counts["lines"], counts["symbols"], counts["dependencies"], counts["errors"]) == (n, 4 * n, n, n, 0)
+    leads = built.calls.filter("callee_file is not null").select("file", "callee_file").distinct()
+    at = F.regexp_extract("file", r"m(\d+)\.sh", 1).cast("long")
+    assert leads.filter(F.col("callee_file") != F.concat(F.lit(folder + "m"), ((at + 1) % n).cast("string"), F.lit(".sh"))).count() == 0 and leads.count() == n
+    sent = _broadcast_bytes(spark, before)
+    assert sent and max(sent) < 1_000_000  # the paths alone are 1.9 MB
