@@ -43,12 +43,13 @@ def _route(df: DataFrame, path: Column, wanted: Column, rank: int, exact: bool =
     return routes.filter("to_path is not null and wanted is not null and wanted <> ''").distinct()
 
 
-def find_members(routes: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Candidates of routes: the file's symbols whose name or qualified name is, or ends with, the wanted member."""
+def find_members(routes: DataFrame, files: DataFrame, symbols: DataFrame, ended: bool = True) -> DataFrame:
+    """Candidates of routes: the file's symbols whose name or qualified name is, or ends with, the wanted member. Without ``ended`` all routes are exact."""
     f = files.select(F.col("id").alias("_file"), F.col("path").alias("callee_file"))
-    direct = routes.filter("exact").join(f, F.col("to_path") == F.col("callee_file")).select(*ROUTE, "_file", "callee_file")
-    ended = resolve.path_suffix_join(routes.filter("not exact"), "to_path", f, "callee_file").select(*ROUTE, "_file", "callee_file")
-    found = _members(direct.unionByName(ended), symbols)
+    placed = routes.filter("exact").join(f, F.col("to_path") == F.col("callee_file")).select(*ROUTE, "_file", "callee_file")
+    if ended:
+        placed = placed.unionByName(resolve.path_suffix_join(routes.filter("not exact"), "to_path", f, "callee_file").select(*ROUTE, "_file", "callee_file"))
+    found = _members(materialize_bounded(placed), symbols)
     return found.select("call_id", "callee_file", "qualified_name", F.col("line").alias("dependency_line"), "start_line", "match_rank")
 
 
@@ -149,7 +150,7 @@ def _aliased(df: DataFrame, key: str, kind: str, deps: DataFrame) -> DataFrame:
 def _files_ending(df: DataFrame, files: DataFrame) -> DataFrame:
     """``df`` with owner_id and owner_file of the files whose paths end with ``_file_end``."""
     f = files.select(F.col("id").alias("owner_id"), F.col("path").alias("owner_file"))
-    return resolve.path_suffix_join(df, "_file_end", f, "owner_file")
+    return resolve.path_suffix_join(materialize_bounded(df), "_file_end", f, "owner_file")
 
 
 def bound_calls(calls: DataFrame, deps: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     based = dotted.filter("lower(callee) like 'base.%'").join(b, dotted["src"] == b["dep_src"])
     # The class may itself be nested in a scope of the caller's qualified name.
     based = based.filter(ascii_lower(F.col("caller")).startswith(F.concat(ascii_lower(F.col("_class")), F.lit("."))) | (F.instr(ascii_lower(F.col("caller")), F.concat(F.lit("."), ascii_lower(F.col("_class")), F.lit("."))) > 0))
-    based = based.withColumn("wanted", _rest("callee")).select("call_id", "src", "type", "wanted", "line")
+    based = materialize_bounded(based.withColumn("wanted", _rest("callee")).select("call_id", "src", "type", "wanted", "line"))
     for shape in (_scoped(based, "src", "type", deps), _qualified(based, "type")):
         out.append(_route(shape, end, F.col("wanted"), 0))
     single = based.filter("instr(wanted, '.') = 0")
@@ -244,6 +245,7 @@ def csharp_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[D
     typed = bound.join(used, (bound["src"] == used["_u_src"]) & (bound["tail"] == used["_method"]))
     typed = typed.filter(_ends_with(F.col("_on"), F.col("type")) | _ends_with(F.col("type"), F.col("_on")))
     out.append(_route(typed, F.col("_e_path"), F.col("tail"), 1, exact=True, line="_e_line"))
+    out = _settled(out)
     named = dotted.join(used, (dotted["src"] == used["_u_src"]) & (F.substring_index(dotted["callee"], ".", -1) == used["_method"]))
     named = named.filter(_ends_with(F.col("callee"), F.concat("_on", F.lit("."), "_method")))
     out.append(_route(named, F.col("_e_path"), F.col("_method"), 2, exact=True, line="_e_line"))
@@ -299,7 +301,7 @@ def pass_on(state: DataFrame, deps: DataFrame, kinds: tuple[str, ...], files: Da
 
 def reexport_routes(calls: DataFrame, deps: DataFrame, files: DataFrame) -> list[tuple[DataFrame, bool]]:
     """Routes one and two files further; True marks globs of Rust, which count only if unambiguous."""
-    names = imported_names(calls, deps)
+    names = materialize_bounded(imported_names(calls, deps))
     out: list[tuple[DataFrame, bool]] = []
     script = names.filter(F.col("language") != "rust").drop("language")
     rust = names.filter(F.col("language") == "rust").drop("language")
@@ -411,9 +413,10 @@ def resolve_calls(calls: DataFrame, deps: DataFrame, files: DataFrame, symbols:
     plain = java_routes(open_calls, deps) if "java" in spoken else []
     plain += csharp_routes(open_calls, deps, files) if "csharp" in spoken else []
     passed = reexport_routes(open_calls, deps, files) if spoken & {"javascript", "typescript", "tsx", "rust"} else []
-    plain += [r for r, glob in passed if not glob]
-    arms = [direct, *[unambiguous(find_members(r, files, symbols)) for r, glob in passed if glob]]
-    arms += [find_members(reduce(DataFrame.unionByName, plain), files, symbols)] if plain else []
+    named = [r for r, glob in passed if not glob]
+    plain += [r for at in range(0, len(named), 2) for r in _settled(named[at : at + 2])]
+    arms = [direct, *[unambiguous(materialize_bounded(find_members(*_settled([r]), files, symbols, ended=False))) for r, glob in passed if glob]]
+    arms += [materialize_bounded(find_members(reduce(DataFrame.unionByName, plain), files, symbols))] if plain else []
     winners = materialize_bounded(resolve.best_candidates(arms))
     c_like = open_calls.filter(F.col("language").isin("c", "cpp")).select(F.col("id").alias("call_id"))
     winners = resolve.drop_ambiguous(winners, direct.join(c_like, "call_id", "left_semi"))

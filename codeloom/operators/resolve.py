@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import ascii_lower, basename, dotted_prefixes, dotted_suffixes
-from codeloom.operators.scratch import bounded, materialize, materialize_bounded
+from codeloom.operators.scratch import bounded, materialize, materialize_bounded, materialize_counted
 
 CANDIDATE = ("call_id", "callee_file", "qualified_name", "dependency_line", "start_line", "match_rank")
 
@@ -179,17 +179,15 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
     folder, so lineage stays short and a lost executor costs a re-read.
     """
     e = edges.select("src", "dst").distinct()
-    seen = materialize(starts.select("start", F.col("start").alias("node")).distinct())
-    rows = seen.count()
-    seen = frontier = bounded(seen, rows)
+    seen, rows = materialize_counted(starts.select("start", F.col("start").alias("node")).distinct())
+    frontier = seen
     for _ in range(most_rounds):
         step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(seen, ["start", "node"], "left_anti"))
-        new = frontier.count()
+        frontier, new = materialize_counted(step.join(seen, ["start", "node"], "left_anti"))
         if not new:
             return seen
         rows += new
-        frontier, seen = bounded(frontier, new), bounded(seen.unionByName(frontier), rows)
+        seen = bounded(seen.unionByName(frontier), rows)
     raise RuntimeError(f"closure has not ended after {most_rounds} rounds")
 
 

@@ -40,12 +40,16 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; lineage ends here."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; lineage ends here."""
+    return _written(df)[0]
 
 
 #: Rows up to which the planner may broadcast a written table.
@@ -62,7 +66,24 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return df if rows <= SMALL_ROWS else df.hint("merge")
 
 
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of the files under ``path`` by their footers, which take no job; beyond ``SMALL_ROWS`` no more files are looked at."""
+    jvm, conf, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    for status in folder.getFileSystem(conf).listStatus(folder):
+        if rows <= SMALL_ROWS and status.getPath().getName().endswith(".parquet"):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+            rows += reader.getRecordCount()
+            reader.close()
+    return rows
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize``, ``bounded`` by the rows that were written, and their number; beyond ``SMALL_ROWS`` only that there are more."""
+    written, path = _written(df)
+    rows = _rows(df.sparkSession, path)
+    return bounded(written, rows), rows
+
+
 def materialize_bounded(df: DataFrame) -> DataFrame:
-    """``materialize``, and ``bounded`` by the rows that were written."""
-    written = materialize(df)
-    return bounded(written, written.count())
+    return materialize_counted(df)[0]
